@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -94,31 +95,56 @@ def extend_line(p: Column, q: Column, along: float) -> tuple[Column, Column]:
     return moved(p, -1), moved(q, 1)
 
 
-def symmetric_eigen(xx: Column, xy: Column, xz: Column, yy: Column, yz: Column, zz: Column) -> tuple[Column, Column, Column]:
-    """Eigenvalues of a symmetric 3x3 matrix, largest first, by the trigonometric solution."""
-    q = (xx + yy + zz) / 3
-    p2 = (xx - q) * (xx - q) + (yy - q) * (yy - q) + (zz - q) * (zz - q) + 2 * (xy * xy + xz * xz + yz * yz)
-    p = F.sqrt(p2 / 6)
-    a, b, c = (xx - q) / p, (yy - q) / p, (zz - q) / p
-    d, e, f = xy / p, xz / p, yz / p
-    half_det = (a * (b * c - f * f) - d * (d * c - f * e) + e * (d * f - b * e)) / 2
-    angle = F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), half_det))) / 3
-    l1 = F.when(p > 0, q + 2 * p * F.cos(angle)).otherwise(q)
-    l3 = F.when(p > 0, q + 2 * p * F.cos(angle + 2 * math.pi / 3)).otherwise(q)
-    return l1, 3 * q - l1 - l3, l3
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """The body with the value bound to a variable, so that a value used many times is written once in the plan."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def eigenvector(xx: Column, xy: Column, xz: Column, yy: Column, yz: Column, zz: Column, lam: Column) -> Column:
-    """Unit vector of a simple eigenvalue as array(x, y, z).
+def symmetric_eigen(m: Column) -> Column:
+    """Eigenvalues struct(l1, l2, l3), largest first, of struct(xx, xy, xz, yy, yz, zz); trigonometric solution."""
+
+    def spread2(m: Column, q: Column) -> Column:
+        diagonal = sum(((m[k] - q) * (m[k] - q) for k in ("xx", "yy", "zz")), start=F.lit(0.0))
+        return diagonal + 2 * (m["xy"] * m["xy"] + m["xz"] * m["xz"] + m["yz"] * m["yz"])
+
+    def half_det(m: Column, q: Column, p: Column) -> Column:
+        a, b, c, d, e, f = m["xx"] - q, m["yy"] - q, m["zz"] - q, m["xy"], m["xz"], m["yz"]
+        det = a * (b * c - f * f) - d * (d * c - f * e) + e * (d * f - b * e)
+        return F.greatest(F.lit(-1.0), F.least(F.lit(1.0), det / (2 * p * p * p)))
+
+    def roots(q: Column, p: Column, angle: Column) -> Column:
+        l1, l3 = q + 2 * p * F.cos(angle), q + 2 * p * F.cos(angle + 2 * math.pi / 3)
+        return F.struct(l1.alias("l1"), (3 * q - l1 - l3).alias("l2"), l3.alias("l3"))
+
+    def solve(m: Column, q: Column, p: Column) -> Column:
+        equal = F.struct(q.alias("l1"), q.alias("l2"), q.alias("l3"))
+        return F.when(p > 0, let(F.acos(half_det(m, q, p)) / 3, lambda t: roots(q, p, t))).otherwise(equal)
+
+    return let(
+        m,
+        lambda m: let(
+            (m["xx"] + m["yy"] + m["zz"]) / 3,
+            lambda q: let(F.sqrt(spread2(m, q) / 6), lambda p: solve(m, q, p)),
+        ),
+    )
+
+
+def eigenvector(m: Column, lam: Column) -> Column:
+    """Unit vector struct(x, y, z) of a simple eigenvalue.
 
     It is orthogonal to the rows of ``M - lam``; the longest of the three cross
     products is the best conditioned one.  Null when all vanish.
     """
-    rows = ((xx - lam, xy, xz), (xy, yy - lam, yz), (xz, yz, zz - lam))
 
     def cross(u, v):
         x, y, z = u[1] * v[2] - u[2] * v[1], u[2] * v[0] - u[0] * v[2], u[0] * v[1] - u[1] * v[0]
-        return F.struct((x * x + y * y + z * z).alias("len2"), F.array(x, y, z).alias("v"))
+        return F.struct((x * x + y * y + z * z).alias("len2"), x.alias("x"), y.alias("y"), z.alias("z"))
+
+    def longest(m: Column, lam: Column) -> Column:
+        rows = ((m["xx"] - lam, m["xy"], m["xz"]), (m["xy"], m["yy"] - lam, m["yz"]), (m["xz"], m["yz"], m["zz"] - lam))
+        return F.greatest(cross(rows[0], rows[1]), cross(rows[0], rows[2]), cross(rows[1], rows[2]))
+
+    def unit(b: Column) -> Column:
+        return F.when(b["len2"] > 0, F.struct(*[(b[k] / F.sqrt(b["len2"])).alias(k) for k in ("x", "y", "z")]))
 
-    best = F.greatest(cross(rows[0], rows[1]), cross(rows[0], rows[2]), cross(rows[1], rows[2]))
-    return F.when(best["len2"] > 0, F.transform(best["v"], lambda c: c / F.sqrt(best["len2"])))
+    return let(m, lambda m: let(lam, lambda e: let(longest(m, e), unit)))

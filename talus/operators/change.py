@@ -5,27 +5,21 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from talus.functions.geometry import eigenvector, symmetric_eigen
+from talus.functions.geometry import eigenvector, let, symmetric_eigen
 from talus.operators.lineage import cut
 from talus.operators.neighbours import AXES, PAIRS, Cylinder, Sphere, range_moments
 
 CONFIDENCE = 1.96  # two-sided 95 %
 
 
-def _covariance(df: DataFrame) -> DataFrame:
-    """Population covariance columns c_xx .. c_zz from the moments."""
+def _covariance() -> Column:
+    """Population covariance struct(xx .. zz) of the moments."""
     n = F.col("n")
-    return df.withColumns(
-        {f"c_{i}{j}": F.col(f"s{i}{j}") / n - (F.col(f"s{i}") / n) * (F.col(f"s{j}") / n) for i, j in PAIRS}
+    return F.struct(
+        *[(F.col(f"s{i}{j}") / n - (F.col(f"s{i}") / n) * (F.col(f"s{j}") / n)).alias(i + j) for i, j in PAIRS]
     )
 
 
-def _eigen(df: DataFrame) -> DataFrame:
-    c = [F.col(f"c_{p}") for p in PAIRS]
-    l1, l2, l3 = symmetric_eigen(*c)
-    return df.withColumns({"l1": l1, "l2": l2, "l3": l3})
-
-
 def shape_features(points: DataFrame, scales: list[float], by: list[str] = (), key: str = "point_id") -> DataFrame:
     """Shares of variance along the first two principal axes around each point, per scale.
 
@@ -36,15 +30,18 @@ def shape_features(points: DataFrame, scales: list[float], by: list[str] = (), k
     queries = points.withColumnRenamed(key, "query_id")
     out = points
     for s in scales:
-        m = _eigen(_covariance(range_moments(queries, points, Sphere(s / 2), by)))
-        total = F.col("l1") + F.col("l2") + F.col("l3")
-        known = (F.col("n") >= 3) & (total > 0)
         tag = f"{round(s * 100)}cm"
-        share = {
-            f"p{i}_{tag}": F.when(known, F.col(f"l{i}") / total).otherwise(F.lit(1.0 / 3)) for i in (1, 2)
-        }
-        m = m.withColumns(share).select(
-            *by, F.col("query_id").alias(key), F.col("n").alias(f"n_{tag}"), *share
+
+        def shares(e: Column) -> Column:
+            total = e["l1"] + e["l2"] + e["l3"]
+            known = (F.col("n") >= 3) & (total > 0)
+            return F.struct(
+                *[F.when(known, e[f"l{i}"] / total).otherwise(F.lit(1.0 / 3)).alias(f"p{i}_{tag}") for i in (1, 2)]
+            )
+
+        m = range_moments(queries, points, Sphere(s / 2), by)
+        m = m.withColumn("_p", let(symmetric_eigen(_covariance()), shares)).select(
+            *by, F.col("query_id").alias(key), F.col("n").alias(f"n_{tag}"), "_p.*"
         )
         out = out.join(m, by + [key])
     return out
@@ -58,12 +55,17 @@ def normals(
     Core points with fewer than three neighbours have none and are left out.
     """
     by = list(by)
-    m = _eigen(_covariance(range_moments(core, cloud, Sphere(scale / 2), by))).where(F.col("n") >= 3)
-    c = [F.col(f"c_{p}") for p in PAIRS]
-    v = m.withColumn("_v", eigenvector(*c, F.col("l3"))).where(F.col("_v").isNotNull())
-    side = sum((F.get("_v", F.lit(i)) * F.lit(t) for i, t in enumerate(towards)), start=F.lit(0.0))
-    sign = F.when(side < 0, -1.0).otherwise(1.0)
-    found = v.select(*by, "query_id", *[(F.get("_v", F.lit(i)) * sign).alias(f"n{a}") for i, a in enumerate(AXES)])
+    def turned(v: Column) -> Column:
+        side = sum((v[a] * F.lit(t) for a, t in zip(AXES, towards)), start=F.lit(0.0))
+        sign = F.when(side < 0, -1.0).otherwise(1.0)
+        return F.struct(*[(v[a] * sign).alias(f"n{a}") for a in AXES])
+
+    def normal(m: Column) -> Column:
+        return let(symmetric_eigen(m), lambda e: let(eigenvector(m, e["l3"]), lambda v: F.when(v.isNotNull(), turned(v))))
+
+    moments = range_moments(core, cloud, Sphere(scale / 2), by).where(F.col("n") >= 3)
+    found = moments.select(*by, "query_id", let(_covariance(), normal).alias("_v"))
+    found = found.where(F.col("_v").isNotNull()).select(*by, "query_id", "_v.*")
     return core.select(*by, "query_id", *AXES).join(found, by + ["query_id"])
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from talus.config import MIN_CHANGE, NO_CUTOFF, bin_count
 from talus.functions.numeric import z_bin, z_low
+from talus.operators.lineage import cut
 from talus.operators.ranks import quantiles
 from talus.schema import CELL, INTERVAL
 
@@ -56,20 +57,22 @@ def grid_cells(
     ).where(F.col("z_idx").isNotNull())
 
     sizes = binned.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    # at most MAX_HOT_CELLS keys can pass, so they may be broadcast
-    limit = F.greatest(F.lit(hot_cell), (sizes.agg(F.sum("_n")).scalar() / MAX_HOT_CELLS).cast("long"))
-    hot = sizes.where(F.col("_n") > limit).select(*keys)
-    cells = (
-        binned.join(F.broadcast(hot), keys, "left_anti")
-        .groupBy(*keys)
-        .agg(
-            F.median("m3c2").alias("dist"),
-            F.mode("cluster_id", True).alias("cluster_id"),
-            F.sqrt(F.avg(F.col("uncertainty") * F.col("uncertainty"))).alias("unc"),
-            F.count(F.lit(1)).alias("n"),
-        )
-        .unionByName(_hot_cells(binned.join(F.broadcast(hot), keys, "left_semi"), keys))
+    total, largest = sizes.agg(F.sum("_n"), F.max("_n")).first()
+    limit = max(hot_cell, (total or 0) // MAX_HOT_CELLS)
+    ordinary, crowded = binned, None
+    if (largest or 0) > limit:
+        # no more than MAX_HOT_CELLS keys can pass the limit, so they may be broadcast
+        hot = cut(sizes.where(F.col("_n") > limit).select(*keys))
+        ordinary = binned.join(F.broadcast(hot), keys, "left_anti")
+        crowded = binned.join(F.broadcast(hot), keys, "left_semi")
+    cells = ordinary.groupBy(*keys).agg(
+        F.median("m3c2").alias("dist"),
+        F.mode("cluster_id", True).alias("cluster_id"),
+        F.sqrt(F.avg(F.col("uncertainty") * F.col("uncertainty"))).alias("unc"),
+        F.count(F.lit(1)).alias("n"),
     )
+    if crowded is not None:
+        cells = cells.unionByName(_hot_cells(crowded, keys))
     return cells.withColumns({"z_low": z_low(F.col("z_idx"), res), "resolution": F.lit(res)})
 
 

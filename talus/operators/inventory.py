@@ -39,7 +39,7 @@ def surveys_for_locations(surveys: DataFrame, floor_threshold: bool = True, rang
         lambda r: mop_overlap(F.col("mop1"), F.col("mop2"), r["mop_lo"], r["mop_hi"])
         >= overlap_needed(r["mop_lo"], r["mop_hi"], floor_threshold),
     )
-    return surveys.select("*", F.explode(fits)["location"].alias("location"))
+    return surveys.select("*", F.explode(fits).alias("_site")).select(*surveys.columns, "_site.location")
 
 
 def _with_next(df: DataFrame, by: list[str], tie: str) -> DataFrame:

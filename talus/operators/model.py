@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from talus.functions.numeric import safe_pct
+from talus.operators.lineage import cut
 from talus.operators.radiometry import fit_scaler, match_histogram, standardize
 from talus.operators.ranks import row_ranks
 from talus.operators.sampling import draw, sample_frac
@@ -64,7 +65,7 @@ def train_beach_model(
 ) -> tuple[PipelineModel, DataFrame, DataFrame]:
     """Model, scaler and scored test rows."""
     data, scaler = prepare(points, seed, fraction)
-    split = stratified_split(data, seed=seed + 1)
+    split = cut(stratified_split(data, seed=seed + 1))
     model = forest(trees=trees, depth=depth, seed=seed).fit(balanced_weights(split.where(~F.col("is_test"))))
     return model, scaler, model.transform(split.where("is_test"))
 
@@ -74,7 +75,7 @@ def cross_validate(
 ) -> DataFrame:
     """Weighted F1 per fold with its mean and population deviation."""
     fold = F.floor(draw("point_id", seed) * folds).cast("int")
-    marked = df.withColumn("fold", fold)
+    marked = cut(df.withColumn("fold", fold))
     metric = MulticlassClassificationEvaluator(labelCol="label", metricName="weightedFMeasure")
     scores = []
     for k in range(folds):

@@ -80,14 +80,11 @@ class Cylinder:
         )
         return F.array_distinct(F.flatten(samples))
 
-    def _split(self, p: list[Column]) -> tuple[Column, Column]:
+    def member(self, p: list[Column]) -> Column:
         d = [c - F.col(f"q{a}") for a, c in zip(AXES, p)]
         along = reduce(lambda u, v: u + v, [x * F.col(f"n{a}") for a, x in zip(AXES, d)])
-        return along, _norm2(d)
-
-    def member(self, p: list[Column]) -> Column:
-        along, dist2 = self._split(p)
-        return (F.abs(along) <= self.depth) & (dist2 - along * along <= F.lit(self.radius**2))
+        across = [x - along * F.col(f"n{a}") for a, x in zip(AXES, d)]
+        return (F.abs(along) <= self.depth) & (_norm2(across) <= F.lit(self.radius**2))
 
     def holds_box(self, lo: list[Column], hi: list[Column]) -> Column:
         # convex: a box lies inside when its corners do

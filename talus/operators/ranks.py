@@ -12,20 +12,21 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from talus.operators.lineage import cut
+
 HOT_ROWS = 1_000_000
-MAX_HOT = 256  # groups above max(HOT_ROWS, total / MAX_HOT): at most this many exist, so they can be broadcast
-BUCKETS = 512
-ACCURACY = 10_000
+MAX_HOT = 256  # groups above max(HOT_ROWS, total / MAX_HOT): no more than this many can exist
+MAX_BUCKETS = 8192
 
 
-def _cuts(value: str) -> Column:
-    probs = [i / BUCKETS for i in range(1, BUCKETS)]
-    return F.percentile_approx(value, probs, ACCURACY)
+def _cuts(value: str, buckets: int) -> Column:
+    probs = [i / buckets for i in range(1, buckets)]
+    return F.percentile_approx(value, probs, max(10_000, 4 * buckets))
 
 
-def _bucket(value: Column, cuts: Column) -> Column:
+def _bucket(value: Column, cuts: Column, buckets: int) -> Column:
     """Number of cuts below the value, by binary search."""
-    steps = F.array(*[F.lit(BUCKETS >> i) for i in range(1, BUCKETS.bit_length())])
+    steps = F.array(*[F.lit(buckets >> i) for i in range(1, buckets.bit_length())])
 
     def probe(pos: Column, step: Column) -> Column:
         nxt = pos + step
@@ -42,55 +43,57 @@ def ranked(
     Adds ``n`` (copies), ``before`` (rows with a smaller value) and ``total``
     (rows of the group); with ``sums`` also ``sum_before`` and ``sum_total``.
     Null values are left out.  Group keys must not be null.
+
+    The value counts are stored once; the sizes of the groups then tell, before
+    the rest is planned, whether any group needs buckets and how many.
     """
     by = list(by)
-    counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("n"))
+    counts = cut(df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("n")))
     measures = {"n": F.col("n")} | ({"sum": F.col("n") * F.col(value)} if sums else {})
     names = {"n": ("before", "total"), "sum": ("sum_before", "sum_total")}
 
-    if by:
-        sizes = counts.groupBy(*by).agg(F.count(F.lit(1)).alias("_m"))
-        limit = F.greatest(F.lit(hot_rows), (sizes.agg(F.sum("_m")).scalar() / max_hot).cast("long"))
+    sizes = counts.groupBy(*by).agg(F.count(F.lit(1)).alias("_m"))
+    total, largest = sizes.agg(F.sum("_m"), F.max("_m")).first()
+    limit = max(hot_rows, (total or 0) // max_hot)
+    keys, split = list(by), counts
+    offsets = None
+    if (largest or 0) > limit:
+        keys = by + ["_bucket"]
+        buckets = min(MAX_BUCKETS, 1 << (max(2, largest // hot_rows)).bit_length())
         hot = sizes.where(F.col("_m") > limit).select(*by)
-        cuts = counts.join(F.broadcast(hot), by, "left_semi").groupBy(*by).agg(_cuts(value).alias("_cuts"))
-        cut = counts.join(F.broadcast(cuts), by, "left")
-        cut = cut.withColumn(
-            "_bucket", F.when(F.col("_cuts").isNotNull(), _bucket(F.col(value), F.col("_cuts"))).otherwise(-1)
-        ).drop("_cuts")
-        hot_part = counts.join(F.broadcast(cuts), by).withColumn("_bucket", _bucket(F.col(value), F.col("_cuts")))
-    else:
-        cut = counts.withColumn("_cuts", counts.agg(_cuts(value)).scalar())
-        cut = cut.withColumn("_bucket", _bucket(F.col(value), F.col("_cuts"))).drop("_cuts")
-        hot_part = cut
-
-    totals = hot_part.groupBy(*by, "_bucket").agg(*[F.sum(e).alias(f"_{k}") for k, e in measures.items()])
-    ordered = Window.partitionBy(*by).orderBy("_bucket")
-    prior, whole = ordered.rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy(*by)
-    offsets = totals.select(
-        *by,
-        "_bucket",
-        *[F.coalesce(F.sum(f"_{k}").over(prior), F.lit(0)).alias(f"_{k}_offset") for k in measures],
-        *[F.sum(f"_{k}").over(whole).alias(f"_{k}_whole") for k in measures],
-    )
-
-    inner = Window.partitionBy(*by, "_bucket")
+        if by:
+            crowded = counts.join(F.broadcast(hot), by, "left_semi")
+            cuts = cut(crowded.groupBy(*by).agg(_cuts(value, buckets).alias("_cuts")))
+            split = counts.join(F.broadcast(cuts), by, "left")
+        else:
+            split = counts.withColumn("_cuts", counts.agg(_cuts(value, buckets)).scalar())
+        at = F.when(F.col("_cuts").isNotNull(), _bucket(F.col(value), F.col("_cuts"), buckets)).otherwise(-1)
+        split = split.withColumn("_bucket", at).drop("_cuts")
+        per_bucket = split.where("_bucket >= 0").groupBy(*keys).agg(*[F.sum(e).alias(f"_{k}") for k, e in measures.items()])
+        ordered = Window.partitionBy(*by).orderBy("_bucket")
+        prior, whole = ordered.rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy(*by)
+        offsets = per_bucket.select(
+            *keys,
+            *[F.coalesce(F.sum(f"_{k}").over(prior), F.lit(0)).alias(f"_{k}_offset") for k in measures],
+            *[F.sum(f"_{k}").over(whole).alias(f"_{k}_whole") for k in measures],
+        )
+
+    inner = Window.partitionBy(*keys)
     below = inner.orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    local = cut.select(
-        *by,
+    out = split.select(
+        *keys,
         value,
         "n",
-        "_bucket",
-        *[F.coalesce(F.sum(e).over(below), F.lit(0)).alias(f"_{k}_below") for k, e in measures.items()],
-        *[F.sum(e).over(inner).alias(f"_{k}_inner") for k, e in measures.items()],
+        *[F.coalesce(F.sum(e).over(below), F.lit(0)).alias(names[k][0]) for k, e in measures.items()],
+        *[F.sum(e).over(inner).alias(names[k][1]) for k, e in measures.items()],
     )
-    # at most MAX_HOT * BUCKETS offsets
-    joined = local.join(F.broadcast(offsets), by + ["_bucket"], "left")
-    out = []
-    for k in measures:
-        lo, total = names[k]
-        out.append((F.col(f"_{k}_below") + F.coalesce(F.col(f"_{k}_offset"), F.lit(0))).alias(lo))
-        out.append(F.coalesce(F.col(f"_{k}_whole"), F.col(f"_{k}_inner")).alias(total))
-    return joined.select(*by, value, "n", *out)
+    if offsets is not None:
+        # same keys as the windows, so only the small side moves
+        out = out.join(offsets, keys, "left").withColumns(
+            {names[k][0]: F.col(names[k][0]) + F.coalesce(F.col(f"_{k}_offset"), F.lit(0)) for k in measures}
+            | {names[k][1]: F.coalesce(F.col(f"_{k}_whole"), F.col(names[k][1])) for k in measures}
+        )
+    return out.select(*by, value, "n", *[c for k in measures for c in names[k]])
 
 
 def row_ranks(df: DataFrame, by: list[str], value: str, tie: str | None = None, hot_rows: int = HOT_ROWS) -> DataFrame:

@@ -10,9 +10,9 @@ from talus.plans.registry import query, r, sql
 
 
 @query("box_crop", sql("points", f"""
-    SELECT point_id, {r('x', 'x')}, {r('y', 'y')}, {r('z', 'z')} FROM points WHERE x BETWEEN 10 AND 35 AND y BETWEEN 0.1 AND 0.75"""))
+    SELECT point_id, {r('x', 'x')}, {r('y', 'y')}, {r('z', 'z')} FROM points WHERE x BETWEEN 2 AND 35 AND y BETWEEN 0.03 AND 0.75"""))
 def box_crop(spark, d):
-    return spatial.crop_box(tables.points(spark, d), 10.0, 35.0, 0.1, 0.75).select("point_id", "x", "y", "z")
+    return spatial.crop_box(tables.points(spark, d), 2.0, 35.0, 0.03, 0.75).select("point_id", "x", "y", "z")
 
 
 @query("event_box", sql("points", f"""
@@ -82,15 +82,15 @@ def cloud_extent(spark, d):
 _MATCH = """
     , src AS (SELECT *, row_number() OVER (PARTITION BY {by} ORDER BY intensity, point_id) - 1 AS rank,
                      count(*) OVER (PARTITION BY {by}) AS n FROM points WHERE {src}),
-    ref AS (SELECT intensity AS v, lead(intensity) OVER (ORDER BY intensity) AS nxt, row_number() OVER (ORDER BY intensity) - 1 AS at
+    ref AS (SELECT intensity AS v, lead(intensity) OVER (ORDER BY intensity) AS nxt, row_number() OVER (ORDER BY intensity) - 1 AS pos_at
             FROM points WHERE {ref}),
     placed AS (SELECT *, CASE WHEN n > 1 THEN (rank * ((SELECT count(*) FROM ref) - 1))::DOUBLE / (n - 1) ELSE 0 END AS pos FROM src),
-    matched AS (SELECT point_id, {by}, v + (coalesce(nxt, v) - v) * (pos - floor(pos)) AS matched FROM placed JOIN ref ON at = floor(pos)::BIGINT)
+    matched AS (SELECT point_id, {by}, v + (coalesce(nxt, v) - v) * (pos - floor(pos)) AS matched FROM placed JOIN ref ON pos_at = floor(pos)::BIGINT)
 """
 
 
 @query("histogram_match", sql("points", _MATCH.format(by="survey_date", src="TRUE", ref="survey_date = DATE '1998-01-01'")
-    + f"SELECT point_id, survey_date, {r('matched', 'matched', 4)} FROM matched"), digits=4)
+    + f"SELECT point_id, survey_date, {r('matched', 'matched')} FROM matched"))
 def histogram_match(spark, d):
     p = tables.points(spark, d).select("point_id", "survey_date", "intensity")
     out = radiometry.match_histogram(p, p.where("survey_date = DATE '1998-01-01'"))
@@ -98,8 +98,8 @@ def histogram_match(spark, d):
 
 
 @query("sensor_normalization", sql("points", _MATCH.format(by="sensor", src="sensor <> 'R'", ref="sensor = 'R'") + f"""
-    SELECT point_id, sensor, {r('matched', 'matched', 4)} FROM matched
-    UNION ALL SELECT point_id, sensor, {r('intensity', 'matched', 4)} FROM points WHERE sensor = 'R'"""), digits=4)
+    SELECT point_id, sensor, {r('matched', 'matched')} FROM matched
+    UNION ALL SELECT point_id, sensor, {r('intensity', 'matched')} FROM points WHERE sensor = 'R'"""))
 def sensor_normalization(spark, d):
     p = tables.points(spark, d).select("point_id", "sensor", "intensity")
     return radiometry.normalize_sensors(p, "R").select("point_id", "sensor", "matched")
