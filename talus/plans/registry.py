@@ -163,7 +163,7 @@ _FILES = f"""
 fstats AS (
   SELECT l_orderkey AS file_id, {_cases("l_orderkey % 6", SITES)} AS location,
          CASE l_orderkey % 10 WHEN 0 THEN 'Skipped' WHEN 1 THEN 'Error' ELSE 'Success' END AS status,
-         count(*) AS points, sum(l_extendedprice) / 1e6 AS size_mb, sum(l_quantity) / 10 AS duration,
+         count(*) AS points, sum(l_extendedprice) / 1048576 AS size_mb, sum(l_quantity) / 10 AS duration,
          min(l_shipdate)::DATE AS survey_date
   FROM lineitem GROUP BY l_orderkey),
 stage_counts AS (

@@ -120,7 +120,7 @@ def file_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
         .groupBy("l_orderkey")
         .agg(
             F.count(F.lit(1)).alias("points"),
-            (F.sum("l_extendedprice") / 1e6).alias("size_mb"),
+            (F.sum("l_extendedprice") / 1048576).alias("size_mb"),
             (F.sum("l_quantity") / 10).alias("duration"),
             F.min("l_shipdate").cast("date").alias("survey_date"),
         )
