@@ -85,26 +85,28 @@ def dbscan(
 
 def _cell_links(nodes, core_locs, eps, side, by, pair_limit) -> DataFrame:
     """Pairs of cells holding two core points within eps, as (src, dst) node ids."""
-    half = [o for o in itertools.product(range(-2, 3), repeat=3) if o > (0, 0, 0)]
+    # lower corners of two linked cells are at most eps + side apart, so cells meet
+    # through a grid of that side: each of its cells with itself and half of its neighbours
+    coarse = (eps + side) * (1 + 1e-9)
+    half = [o for o in itertools.product((-1, 0, 1), repeat=3) if o >= (0, 0, 0)]
     offsets = F.array(*[F.struct(*[F.lit(d).alias(f"d{a}") for a, d in zip(AXES, o)]) for o in half])
     box = [f"{end}_{a}" for end in ("lo", "hi") for a in AXES]
-    left = nodes.select(
-        *by,
-        F.col("node").alias("src"),
-        F.col("size").alias("size_a"),
-        *[F.col(f"c{a}").alias(f"ca_{a}") for a in AXES],
-        *[F.col(c).alias(f"a_{c}") for c in box],
-        F.explode(offsets).alias("_o"),
-    )
-    left = left.withColumns({f"cb_{a}": F.col(f"ca_{a}") + F.col(f"_o.d{a}") for a in AXES}).drop("_o")
-    right = nodes.select(
-        *by,
-        F.col("node").alias("dst"),
-        F.col("size").alias("size_b"),
-        *[F.col(f"c{a}").alias(f"cb_{a}") for a in AXES],
-        *[F.col(c).alias(f"b_{c}") for c in box],
-    )
-    pairs = left.join(right, by + [f"cb_{a}" for a in AXES])
+
+    def side_of(s: str, name: str) -> DataFrame:
+        return nodes.select(
+            *by,
+            F.col("node").alias(name),
+            F.col("size").alias(f"size_{s}"),
+            *[F.col(f"c{a}").alias(f"c{s}_{a}") for a in AXES],
+            *[F.col(c).alias(f"{s}_{c}") for c in box],
+            *[F.floor(F.col(f"lo_{a}") / F.lit(coarse)).alias(f"k{a}") for a in AXES],
+        )
+
+    left = side_of("a", "src").withColumn("_o", F.explode(offsets))
+    same = reduce(lambda u, v: u & v, [F.col(f"_o.d{a}") == 0 for a in AXES])
+    left = left.withColumn("_same", same).withColumns({f"k{a}": F.col(f"k{a}") + F.col(f"_o.d{a}") for a in AXES})
+    pairs = left.drop("_o").join(side_of("b", "dst"), by + [f"k{a}" for a in AXES])
+    pairs = pairs.where(~F.col("_same") | (F.col("src") < F.col("dst"))).drop("_same", *[f"k{a}" for a in AXES])
     links = []
     while True:
         pairs = cut(

@@ -204,7 +204,7 @@ def keep_clusters(cells: DataFrame, min_cells: int, by: list[str] = tuple(INTERV
     """Zero the cells of clusters with too few cells."""
     by = list(by)
     kept = cluster_sizes(cells, by).where(F.col("cells") >= min_cells)
-    joined = cells.join(kept, by + ["cluster_id"], "left")
+    joined = _lookup(cells, kept, by)
     keep = F.col("cells").isNotNull()
     return joined.select(
         *[c for c in cells.columns if c not in ("dist", "cluster_id")],
@@ -213,6 +213,18 @@ def keep_clusters(cells: DataFrame, min_cells: int, by: list[str] = tuple(INTERV
     )
 
 
+def _lookup(cells: DataFrame, clusters: DataFrame, by: list[str]) -> DataFrame:
+    """Left join on the cluster.
+
+    Most cells of a grid are empty and would share one key; they match nothing,
+    so they are spread by polygon instead.
+    """
+    key = F.when(F.col("cluster_id") != 0, F.col("cluster_id").cast("long"))
+    spread = cells.withColumn("_key", F.coalesce(key, -2 - F.col("polygon_id")))
+    found = clusters.withColumn("_key", F.col("cluster_id").cast("long")).drop("cluster_id")
+    return spread.join(found, by + ["_key"], "left").drop("_key")
+
+
 def clean_cells(cells: DataFrame, cutoffs: DataFrame | None, min_cells: int) -> DataFrame:
     """Cutoff, then cluster-size threshold; everything else becomes zero."""
     return keep_clusters(apply_cutoff(cells, cutoffs).drop("cut"), min_cells)
@@ -233,7 +245,7 @@ def footprint_check(deposition: DataFrame, erosion: DataFrame, buffer_bins: int)
     )
     tops = erosion.where(F.col("dist") > 0).groupBy(*same, "polygon_id").agg(F.max("z_idx").alias("top"))
     backed = _ranges_above(boxes, tops, same, buffer_bins)
-    marked = deposition.join(backed.withColumn("_ok", F.lit(True)), same + ["cluster_id"], "left")
+    marked = _lookup(deposition, backed.withColumn("_ok", F.lit(True)), same)
     ok = F.coalesce("_ok", F.lit(False))
     return marked.withColumns(
         {"dist": F.when(real & ok, F.col("dist")).otherwise(0.0), "cluster_id": F.when(ok, F.col("cluster_id")).otherwise(0)}

@@ -16,6 +16,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from talus.functions.geometry import let
 from talus.operators.lineage import cut
 
 LEAF = 256
@@ -28,15 +29,27 @@ def cell_keys(coords: list[Column], side: float) -> list[Column]:
     return [F.floor(c / F.lit(side)) for c in coords]
 
 
+def cell_hash(keys: list[Column]) -> Column:
+    """One join key per cell.
+
+    Two cells that share a hash only add candidates, which the exact tests
+    remove; within one query the keys are made distinct by hash.
+    """
+    return F.xxhash64(*keys)
+
+
 def _neighbour_keys(coords: list[Column], side: float) -> Column:
-    """The 27 cells around a position."""
-    k = cell_keys(coords, side)
-    return F.array(
-        *[
-            F.struct(*[(k[i] + d).alias(f"k{a}") for i, (a, d) in enumerate(zip(AXES, offset))])
-            for offset in itertools.product((-1, 0, 1), repeat=3)
-        ]
-    )
+    """Hashes of the 27 cells around a position."""
+
+    def hashes(k: Column) -> Column:
+        return F.array(
+            *[
+                cell_hash([k[a] + F.lit(d).cast("long") for a, d in zip(AXES, offset)])
+                for offset in itertools.product((-1, 0, 1), repeat=3)
+            ]
+        )
+
+    return let(F.struct(*[k.alias(a) for a, k in zip(AXES, cell_keys(coords, side))]), hashes)
 
 
 class Sphere:
@@ -48,7 +61,7 @@ class Sphere:
         self.radius = self.side = radius
 
     def keys(self) -> Column:
-        return _neighbour_keys([F.col(f"q{a}") for a in AXES], self.side)
+        return F.array_distinct(_neighbour_keys([F.col(f"q{a}") for a in AXES], self.side))
 
     def member(self, p: list[Column]) -> Column:
         return _norm2([c - F.col(f"q{a}") for a, c in zip(AXES, p)]) <= F.lit(self.radius**2)
@@ -137,9 +150,9 @@ def range_moments(
         *[F.col(a).alias(f"p{a}") for a in AXES],
         w.alias("w"),
         *([F.col(least).alias("least")] if least else []),
-        *[k.alias(f"k{a}") for a, k in zip(AXES, cell_keys([F.col(a) for a in AXES], shape.side))],
+        cell_hash(cell_keys([F.col(a) for a in AXES], shape.side)).alias("k"),
     )
-    keys = by + [f"k{a}" for a in AXES]
+    keys = by + ["k"]
     wanted = list(moments) + (["least"] if least else [])
     p = [F.col(f"p{a}") for a in AXES]
 
@@ -150,7 +163,7 @@ def range_moments(
             *[m[k].alias(k) for k in moments], *([F.min("least").alias("least")] if least else [])
         )
 
-    reach = q.select("*", F.explode(shape.keys()).alias("_k")).select(*q.columns, "_k.*")
+    reach = q.select("*", F.explode(shape.keys()).alias("k"))
     heavy = pts.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > leaf).select(*keys)
     if heavy.isEmpty():
         return from_points(reach.join(pts, keys))
@@ -172,13 +185,15 @@ def range_moments(
 
 def _from_boxes(frontier, locs, shape, by, moments, least, leaf, from_points) -> list[DataFrame]:
     parts, side = [], shape.side
-    keys = by + [f"k{a}" for a in AXES]
+    keys = by + ["k"]
+    at = [f"k{a}" for a in AXES]
     q_cols = ["query_id", *[f"q{a}" for a in AXES], *shape.columns]
     while True:
         placed = locs.withColumns({f"k{a}": F.floor(F.col(f"p{a}") / F.lit(side)) for a in AXES})
+        placed = placed.withColumn("k", cell_hash([F.col(c) for c in at]))
         corner = [F.col(f"k{a}") * F.lit(side) for a in AXES]
         m = _point_moments(F.col("w"), [F.col(f"p{a}") - c for a, c in zip(AXES, corner)])
-        boxes = placed.groupBy(*keys).agg(
+        boxes = placed.groupBy(*keys, *at).agg(
             F.count(F.lit(1)).alias("_locs"),
             *[F.min(f"p{a}").alias(f"lo_{a}") for a in AXES],
             *[F.max(f"p{a}").alias(f"hi_{a}") for a in AXES],
@@ -202,19 +217,19 @@ def _from_boxes(frontier, locs, shape, by, moments, least, leaf, from_points) ->
             )
         )
         split = met.where(~F.col("_whole"))
-        near = split.where(F.col("_locs") <= leaf).select(*keys, *q_cols)
-        parts.append(from_points(near.join(placed, keys)))
+        near = split.where(F.col("_locs") <= leaf).select(*keys, *at, *q_cols)
+        parts.append(from_points(near.join(placed, keys + at)))
 
         children = F.array(
             *[
-                F.struct(*[(F.col(f"k{a}") * 2 + d).alias(f"k{a}") for a, d in zip(AXES, offset)])
+                cell_hash([F.col(f"k{a}") * 2 + F.lit(d).cast("long") for a, d in zip(AXES, offset)])
                 for offset in itertools.product((0, 1), repeat=3)
             ]
         )
         big = split.where(F.col("_locs") > leaf)
         if big.isEmpty():
             return parts
-        frontier = big.select(*by, *q_cols, F.explode(children).alias("_k")).select(*by, *q_cols, "_k.*")
+        frontier = big.select(*by, *q_cols, F.explode(F.array_distinct(children)).alias("k")).distinct()
         side /= 2
 
 
@@ -237,13 +252,13 @@ def radius_pairs(points: DataFrame, radius: float, by: list[str] = (), key: str
     at = [F.col(a) for a in AXES]
     shape = Sphere(radius)
     q = points.select(*by, F.col(key).alias("a"), *[F.col(c).alias(f"q{c}") for c in AXES])
-    q = q.select("*", F.explode(shape.keys()).alias("_k")).select(*q.columns, "_k.*")
+    q = q.select("*", F.explode(shape.keys()).alias("k"))
     p = points.select(
         *by,
         F.col(key).alias("b"),
         *[F.col(c).alias(f"p{c}") for c in AXES],
-        *[k.alias(f"k{c}") for c, k in zip(AXES, cell_keys(at, shape.side))],
+        cell_hash(cell_keys(at, shape.side)).alias("k"),
     )
     d2 = _norm2([F.col(f"p{c}") - F.col(f"q{c}") for c in AXES])
-    hit = q.join(p, by + [f"k{c}" for c in AXES]).where(F.col("a") < F.col("b")).where(d2 <= F.lit(radius**2))
+    hit = q.join(p, by + ["k"]).where(F.col("a") < F.col("b")).where(d2 <= F.lit(radius**2))
     return hit.select(*by, "a", "b", F.sqrt(d2).alias("distance"))

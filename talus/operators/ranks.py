@@ -35,85 +35,102 @@ def _bucket(value: Column, cuts: Column, buckets: int) -> Column:
     return F.aggregate(steps, F.lit(0), probe)
 
 
-def ranked(
-    df: DataFrame, by: list[str], value: str, sums: bool = False, hot_rows: int = HOT_ROWS, max_hot: int = MAX_HOT
+def _placed(
+    rows: DataFrame, keys: DataFrame, by: list[str], value: str, order: list[str], measures: dict, hot_rows: int, max_hot: int
 ) -> DataFrame:
-    """One row per group and distinct value.
-
-    Adds ``n`` (copies), ``before`` (rows with a smaller value) and ``total``
-    (rows of the group); with ``sums`` also ``sum_before`` and ``sum_total``.
-    Null values are left out.  Group keys must not be null.
+    """``rows`` with, for every measure, the sum over earlier rows of the group and over the whole group.
 
-    The value counts are stored once; the sizes of the groups then tell, before
-    the rest is planned, whether any group needs buckets and how many.
+    ``measures`` maps the names of the two results to an expression over a row.
+    ``keys`` holds the same groups and values with few other columns; group
+    sizes are read off it before the rest is planned and tell whether any group
+    has to be cut into buckets, and into how many.
     """
-    by = list(by)
-    counts = cut(df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("n")))
-    measures = {"n": F.col("n")} | ({"sum": F.col("n") * F.col(value)} if sums else {})
-    names = {"n": ("before", "total"), "sum": ("sum_before", "sum_total")}
-
-    sizes = counts.groupBy(*by).agg(F.count(F.lit(1)).alias("_m"))
+    sizes = keys.groupBy(*by).agg(F.count(F.lit(1)).alias("_m"))
     total, largest = sizes.agg(F.sum("_m"), F.max("_m")).first()
     limit = max(hot_rows, (total or 0) // max_hot)
-    keys, split = list(by), counts
-    offsets = None
+    parts, split, offsets = list(by), rows, None
     if (largest or 0) > limit:
-        keys = by + ["_bucket"]
+        parts = by + ["_bucket"]
         buckets = min(MAX_BUCKETS, 1 << (max(2, largest // hot_rows)).bit_length())
-        hot = sizes.where(F.col("_m") > limit).select(*by)
         if by:
-            crowded = counts.join(F.broadcast(hot), by, "left_semi")
+            hot = sizes.where(F.col("_m") > limit).select(*by)
+            crowded = keys.join(F.broadcast(hot), by, "left_semi")
             cuts = cut(crowded.groupBy(*by).agg(_cuts(value, buckets).alias("_cuts")))
-            split = counts.join(F.broadcast(cuts), by, "left")
+            mark = lambda df: df.join(F.broadcast(cuts), by, "left")
         else:
-            split = counts.withColumn("_cuts", counts.agg(_cuts(value, buckets)).scalar())
+            cuts = cut(keys.agg(_cuts(value, buckets).alias("_cuts")))
+            mark = lambda df: df.withColumn("_cuts", cuts.scalar())
         at = F.when(F.col("_cuts").isNotNull(), _bucket(F.col(value), F.col("_cuts"), buckets)).otherwise(-1)
-        split = split.withColumn("_bucket", at).drop("_cuts")
-        per_bucket = split.where("_bucket >= 0").groupBy(*keys).agg(*[F.sum(e).alias(f"_{k}") for k, e in measures.items()])
+        split = mark(rows).withColumn("_bucket", at).drop("_cuts")
+        sums = [F.sum(e).alias(f"_{lo}") for (lo, _), e in measures.items()]
+        per_bucket = mark(rows).withColumn("_bucket", at).where("_bucket >= 0").groupBy(*parts).agg(*sums)
         ordered = Window.partitionBy(*by).orderBy("_bucket")
         prior, whole = ordered.rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy(*by)
         offsets = per_bucket.select(
-            *keys,
-            *[F.coalesce(F.sum(f"_{k}").over(prior), F.lit(0)).alias(f"_{k}_offset") for k in measures],
-            *[F.sum(f"_{k}").over(whole).alias(f"_{k}_whole") for k in measures],
+            *parts,
+            *[F.coalesce(F.sum(f"_{lo}").over(prior), F.lit(0)).alias(f"_{lo}_offset") for lo, _ in measures],
+            *[F.sum(f"_{lo}").over(whole).alias(f"_{lo}_whole") for lo, _ in measures],
         )
 
-    inner = Window.partitionBy(*keys)
-    below = inner.orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    inner = Window.partitionBy(*parts)
+    below = inner.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     out = split.select(
-        *keys,
-        value,
-        "n",
-        *[F.coalesce(F.sum(e).over(below), F.lit(0)).alias(names[k][0]) for k, e in measures.items()],
-        *[F.sum(e).over(inner).alias(names[k][1]) for k, e in measures.items()],
+        "*",
+        *[F.coalesce(F.sum(e).over(below), F.lit(0)).alias(lo) for (lo, _), e in measures.items()],
+        *[F.sum(e).over(inner).alias(hi) for (_, hi), e in measures.items()],
     )
     if offsets is not None:
         # same keys as the windows, so only the small side moves
-        out = out.join(offsets, keys, "left").withColumns(
-            {names[k][0]: F.col(names[k][0]) + F.coalesce(F.col(f"_{k}_offset"), F.lit(0)) for k in measures}
-            | {names[k][1]: F.coalesce(F.col(f"_{k}_whole"), F.col(names[k][1])) for k in measures}
+        out = out.join(offsets, parts, "left").withColumns(
+            {lo: F.col(lo) + F.coalesce(F.col(f"_{lo}_offset"), F.lit(0)) for lo, _ in measures}
+            | {hi: F.coalesce(F.col(f"_{lo}_whole"), F.col(hi)) for lo, hi in measures}
         )
-    return out.select(*by, value, "n", *[c for k in measures for c in names[k]])
+    return out.select(*rows.columns, *[c for names in measures for c in names])
+
+
+def ranked(
+    df: DataFrame, by: list[str], value: str, sums: bool = False, hot_rows: int = HOT_ROWS, max_hot: int = MAX_HOT
+) -> DataFrame:
+    """One row per group and distinct value.
+
+    Adds ``n`` (copies), ``before`` (rows with a smaller value) and ``total``
+    (rows of the group); with ``sums`` also ``sum_before`` and ``sum_total``.
+    Null values are left out.  Group keys must not be null.
+    """
+    by = list(by)
+    counts = cut(df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("n")))
+    measures = {("before", "total"): F.col("n")}
+    if sums:
+        measures[("sum_before", "sum_total")] = F.col("n") * F.col(value)
+    return _placed(counts, counts, by, value, [value], measures, hot_rows, max_hot)
 
 
-def row_ranks(df: DataFrame, by: list[str], value: str, tie: str | None = None, hot_rows: int = HOT_ROWS) -> DataFrame:
+def row_ranks(
+    df: DataFrame, by: list[str], value: str, tie: str | None = None, hot_rows: int = HOT_ROWS, max_hot: int = MAX_HOT
+) -> DataFrame:
     """Every row with its 0-based ``rank`` in the group and the group's ``total``.
 
     Without ``tie`` the value must be unique within the group; with it, copies
-    are ordered by the (unique) tie column.
+    are ordered by the (unique) tie column.  Null values are left out.
     """
     by = list(by)
-    r = ranked(df, by, value, hot_rows=hot_rows)
-    if tie is None:
-        return df.join(r.select(*by, value, F.col("before").alias("rank"), "total"), by + [value])
-    rows = df.join(r, by + [value])
-    order = ranked(rows.where("n > 1").select(*by, value, tie), by + [value], tie, hot_rows=hot_rows)
-    order = order.select(*by, value, tie, F.col("before").alias("_within"))
-    return (
-        rows.join(order, by + [value, tie], "left")
-        .withColumn("rank", F.col("before") + F.coalesce("_within", F.lit(0)))
-        .drop("n", "before", "_within")
-    )
+    rows, one = df.where(F.col(value).isNotNull()), F.lit(1).cast("long")
+    keys = rows.select(*by, value)
+    copies = None
+    if tie is not None:
+        counts = keys.groupBy(*by, value).agg(F.count(F.lit(1)).alias("_c"))
+        most, total = counts.agg(F.max("_c"), F.sum("_c")).first()
+        copies = (most or 0) > max(hot_rows, (total or 0) // max_hot)
+    if not copies:
+        order = [value] if tie is None else [value, tie]
+        return _placed(rows, keys, by, value, order, {("rank", "total"): one}, hot_rows, max_hot)
+    # one value alone would fill a bucket: rank the values, then the copies of each
+    rows = rows.join(ranked(df, by, value, hot_rows=hot_rows, max_hot=max_hot), by + [value])
+    inside = row_ranks(rows.drop("total"), by + [value], tie, None, hot_rows, max_hot).withColumnRenamed("total", "_copies")
+    totals = cut(df.where(F.col(value).isNotNull()).groupBy(*by).agg(F.count(F.lit(1)).alias("total")))
+    inside = inside.withColumn("rank", F.col("before") + F.col("rank"))
+    out = inside.join(totals, by) if by else inside.withColumn("total", totals.scalar())
+    return out.select(*df.columns, "rank", "total")
 
 
 def quantiles(

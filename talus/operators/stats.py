@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from talus.config import POWER_LAW_CUTOFF, QC_MIN_POINTS, WINTER_MONTHS
 from talus.functions.numeric import safe_ratio
+from talus.operators.lineage import cut
 from talus.operators.ranks import quantiles, ranked
 
 QUARTILES = {"q1": 0.25, "median": 0.5, "q3": 0.75}
@@ -215,7 +216,7 @@ def remove_outliers(df: DataFrame, by: list[str], value: str) -> DataFrame:
 
 def class_summary(df: DataFrame, by: list[str], value: str) -> DataFrame:
     """Mean and median per group after outlier removal."""
-    clean = remove_outliers(df, by, value)
+    clean = cut(remove_outliers(df, by, value).select(*by, value))
     means = clean.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.avg(value).alias("mean"))
     return means.join(quantiles(clean, by, value, {"median": 0.5}), list(by))
 

@@ -20,59 +20,55 @@ def thin(points: DataFrame, radius: float = THIN_RADIUS, by: list[str] = (), see
     Points of one cell of side radius/sqrt(3) exclude each other, so a cell
     keeps at most one point.  Each round every cell puts forward its open point
     of least hashed priority; one that beats the candidates of all cells around
-    is kept, and open points too close to a kept point leave.  Rounds work on
-    one candidate per cell, whatever the cells hold.
+    is kept, and open points too close to a kept point leave.  Candidates meet
+    through a grid of side radius, which holds at most 27 of them per cell
+    whatever the number of points.
     """
     by = list(by)
     side = radius / math.sqrt(3) * (1 - 1e-9)
-    cell = [f"c{a}" for a in AXES]
+    cell, coarse = [f"c{a}" for a in AXES], [f"k{a}" for a in AXES]
     offsets = F.array(
         *[
             F.struct(*[F.lit(d).alias(f"d{a}") for a, d in zip(AXES, o)])
-            for o in itertools.product(range(-2, 3), repeat=3)
+            for o in itertools.product((-1, 0, 1), repeat=3)
         ]
     )
 
     def around(df: DataFrame) -> DataFrame:
-        """The rows repeated for the cells within reach, positions renamed."""
-        near = df.select(*by, F.col("point_id").alias("o_id"), F.col("pri").alias("o_pri"),
-                         *[F.col(a).alias(f"o_{a}") for a in AXES], *cell, F.explode(offsets).alias("_o"))
-        moved = {f"c{a}": F.col(f"c{a}") + F.col(f"_o.d{a}") for a in AXES}
-        return near.withColumns(moved).drop("_o")
+        """The rows repeated for the coarse cells within reach, positions renamed."""
+        near = df.select(
+            *by,
+            F.col("point_id").alias("o_id"),
+            F.col("pri").alias("o_pri"),
+            *[F.col(a).alias(f"o_{a}") for a in AXES],
+            *coarse,
+            F.explode(offsets).alias("_o"),
+        )
+        return near.withColumns({f"k{a}": F.col(f"k{a}") + F.col(f"_o.d{a}") for a in AXES}).drop("_o")
 
-    d2 = reduce(lambda u, v: u + v, [(F.col(a) - F.col(f"o_{a}")) ** 2 for a in AXES])
-    row = F.struct("pri", "point_id", *AXES)
-    open_points = points.select(
-        *by, "point_id", *AXES, F.xxhash64(F.col("point_id"), F.lit(seed)).alias("pri"),
-        *[F.floor(F.col(a) / F.lit(side)).alias(f"c{a}") for a in AXES],
-    )
+    def keyed(df: DataFrame, names: list[str], size: float) -> DataFrame:
+        return df.withColumns({n: F.floor(F.col(a) / F.lit(size)) for n, a in zip(names, AXES)})
+
+    close = reduce(lambda u, v: u + v, [(F.col(a) - F.col(f"o_{a}")) ** 2 for a in AXES]) < F.lit(radius**2)
     # of exact copies only one can stay
-    open_points = cut(
-        open_points.groupBy(*by, *cell, *AXES).agg(F.min(F.struct("pri", "point_id")).alias("_m")).select(
-            *by, *cell, *AXES, "_m.*"
-        )
-    )
+    first = F.min(F.struct(F.xxhash64(F.col("point_id"), F.lit(seed)).alias("pri"), "point_id")).alias("_m")
+    unique = points.groupBy(*by, *AXES).agg(first).select(*by, *AXES, "_m.*")
+    open_points = cut(keyed(keyed(unique, cell, side), coarse, radius))
+    row = F.struct("pri", "point_id", *AXES, *coarse)
     kept = []
-    while True:
+    while not open_points.isEmpty():
         candidates = cut(open_points.groupBy(*by, *cell).agg(F.min(row).alias("_r")).select(*by, *cell, "_r.*"))
-        rivals = around(candidates)
         beaten = (
-            candidates.join(rivals, by + cell)
-            .where((F.col("o_id") != F.col("point_id")) & (d2 < F.lit(radius**2)))
-            .where(F.struct("o_pri", "o_id") < F.struct("pri", "point_id"))
+            candidates.join(around(candidates), by + coarse)
+            .where(close & (F.struct("o_pri", "o_id") < F.struct("pri", "point_id")))
             .select(*by, "point_id")
             .distinct()
         )
         winners = cut(candidates.join(beaten, by + ["point_id"], "left_anti"))
         kept.append(winners.select(*by, "point_id"))
-        rest = open_points.join(winners.select(*by, *cell), by + cell, "left_anti")
-        lost = (
-            rest.join(around(winners), by + cell)
-            .where(d2 < F.lit(radius**2))
-            .select(*by, "point_id")
-            .distinct()
-        )
-        open_points = cut(rest.join(lost, by + ["point_id"], "left_anti"))
-        if open_points.isEmpty():
-            break
+        # a kept point is close to itself and to the rest of its cell
+        lost = open_points.join(around(winners), by + coarse).where(close).select(*by, "point_id").distinct()
+        open_points = cut(open_points.join(lost, by + ["point_id"], "left_anti"))
+    if not kept:
+        return points
     return points.join(reduce(DataFrame.unionByName, kept), by + ["point_id"], "left_semi")

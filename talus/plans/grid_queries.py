@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from talus.functions.numeric import error_bars
 from talus.operators import events, fill, grid, series, spatial, stats
 from talus.operators.inventory import latest_run as keep_latest
+from talus.operators.lineage import cut
 from talus.operators.ranks import ecdf as ecdf_of
 from talus.plans import tables
 from talus.plans.registry import query, r, sql
@@ -40,7 +41,7 @@ def dense(spark, d):
 
 
 def cleaned(spark, d):
-    return grid.clean_cells(dense(spark, d), tables.cutoffs(spark, d), 2)
+    return grid.clean_cells(cut(dense(spark, d)), tables.cutoffs(spark, d), 2)
 
 
 def all_events(spark, d):
@@ -159,8 +160,9 @@ def cluster_filter(spark, d):
            CASE WHEN k.cluster_id IS NOT NULL THEN d.cluster_id ELSE 0 END AS cluster_id
     FROM dep d LEFT JOIN backed k USING (location, d1, d2, cluster_id)"""))
 def footprint(spark, d):
-    clean = cleaned(spark, d).where("mode = 'deposition'")
-    eroded = grid.apply_cutoff(dense(spark, d), tables.cutoffs(spark, d)).where("mode = 'erosion'")
+    frame, tops = cut(dense(spark, d)), tables.cutoffs(spark, d)
+    clean = grid.clean_cells(frame, tops, 2).where("mode = 'deposition'")
+    eroded = grid.apply_cutoff(frame, tops).where("mode = 'erosion'")
     return grid.footprint_check(clean, eroded, 2).select(*KEYS.split(", "), "polygon_id", "z_idx", "dist", "cluster_id")
 
 
@@ -350,8 +352,10 @@ def top_intervals(spark, d):
     FROM vol WINDOW w AS (PARTITION BY location, mode, resolution, stage ORDER BY d2, d1)"""))
 def volume_series(spark, d):
     pick = ["location", "mode", "resolution", "stage", "d1", "d2", "dist", "unc"]
-    raw = cells(spark, d).withColumn("stage", F.lit("raw")).select(*pick)
-    return series.volume_series(raw.unionByName(cleaned(spark, d).withColumn("stage", F.lit("cleaned")).select(*pick)))
+    c = cut(cells(spark, d))
+    clean = grid.clean_cells(grid.densify(c, tables.polygons(spark, d), 1.0, 30.0), tables.cutoffs(spark, d), 2)
+    staged = [df.withColumn("stage", F.lit(s)).select(*pick) for df, s in ((c, "raw"), (clean, "cleaned"))]
+    return series.volume_series(staged[0].unionByName(staged[1]))
 
 
 _MEASURES = "unnest(['volume', 'elevation', 'width', 'height']) AS measure, unnest([volume, elevation, width, height]) AS value"
@@ -509,7 +513,11 @@ def nearest_cluster(spark, d):
 
 
 def filled(spark, d):
-    return fill.fill_holes(cleaned(spark, d).where("mode = 'erosion'").withColumn("stage", F.lit("cleaned")), 0.01, 2.0)
+    return fill_from(cleaned(spark, d))
+
+
+def fill_from(clean):
+    return fill.fill_holes(clean.where("mode = 'erosion'").withColumn("stage", F.lit("cleaned")), 0.01, 2.0)
 
 
 @query("fill_holes")
@@ -519,4 +527,5 @@ def fill_holes(spark, d):
 
 @query("fill_stats")
 def fill_stats(spark, d):
-    return events.fill_stats(cleaned(spark, d).where("mode = 'erosion'"), filled(spark, d), 2.0)
+    clean = cut(cleaned(spark, d).where("mode = 'erosion'"))
+    return events.fill_stats(clean, fill_from(clean), 2.0)
