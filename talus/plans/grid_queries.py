@@ -235,13 +235,13 @@ _MEAN = f"""
 
 
 @query("bounds_mean", sql("cells", _MEAN + f"""
-    SELECT {KEYS}, {r('volume', 'volume')}, {r('vol_lower', 'vol_lower')}, {r('vol_upper', 'vol_upper')}, days FROM bm"""))
+    SELECT {KEYS}, {r('volume', 'volume', 8)}, {r('vol_lower', 'vol_lower', 8)}, {r('vol_upper', 'vol_upper', 8)}, days FROM bm"""), digits=8)
 def bounds_mean(spark, d):
     return events.volume_bounds_mean(cells(spark, d))
 
 
 @query("error_bars", sql("cells", _MEAN + f"""
-    SELECT {KEYS}, {r('greatest(0, volume - vol_lower)', 'err_low')}, {r('greatest(0, vol_upper - volume)', 'err_high')} FROM bm"""))
+    SELECT {KEYS}, {r('greatest(0, volume - vol_lower)', 'err_low', 8)}, {r('greatest(0, vol_upper - volume)', 'err_high', 8)} FROM bm"""), digits=8)
 def error_bar_widths(spark, d):
     return error_bars(bounds_mean(spark, d)).select(*KEYS.split(", "), "err_low", "err_high")
 
