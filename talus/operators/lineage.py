@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -21,6 +22,12 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Compute once, store reliably and drop the lineage."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint()
+    """Compute once, store as a table in the checkpoint folder and go on from there.
+
+    A stored table survives lost executors, ends the lineage, and gives the
+    rest of the plan true sizes and column pruning.
+    """
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark).rstrip('/')}/talus-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

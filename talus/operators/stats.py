@@ -109,6 +109,7 @@ def power_law_hist(
     centre reaches the cutoff; with fewer than three of them ``beta`` is 0.
     """
     by = list(by)
+    df = cut(df.select(*by, value))
     bins = n_edges - 1
     counts = (
         _log_bins(df, by, value, n_edges)
@@ -152,6 +153,7 @@ def bin_uncertainty(
 ) -> DataFrame:
     """Mean uncertainty per half-open log bin; the largest value belongs to none."""
     by = list(by)
+    df = cut(df.select(*by, value, unc))
     binned = _log_bins(df, by, value, n_edges).where(F.col("bin") < n_edges - 1)
     return binned.groupBy(*by, "bin").agg(F.avg(unc).alias("mean_unc"), F.count(F.lit(1)).alias("events"))
 
@@ -237,6 +239,7 @@ def distinct_values(df: DataFrame, col: str) -> DataFrame:
 def color_limits(df: DataFrame, by: list[str], value: str) -> DataFrame:
     """2nd and 98th percentile of the non-zero values and 99.5th of all."""
     by = list(by)
+    df = cut(df.select(*by, value))
     nz = quantiles(df.where(F.col(value) != 0), by, value, {"p2": 0.02, "p98": 0.98})
     every = quantiles(df, by, value, {"p99_5": 0.995})
     return every.join(nz, by, "left") if by else every.withColumn("_n", nz.select(F.struct("p2", "p98")).scalar()).select(

@@ -37,7 +37,7 @@ def two_resolutions(spark, d):
 
 
 def dense(spark, d):
-    return grid.densify(cells(spark, d), tables.polygons(spark, d), 1.0, 30.0)
+    return grid.densify(cut(cells(spark, d)), tables.polygons(spark, d), 1.0, 30.0)
 
 
 def cleaned(spark, d):
@@ -237,7 +237,7 @@ _MEAN = f"""
 @query("bounds_mean", sql("cells", _MEAN + f"""
     SELECT {KEYS}, {r('volume', 'volume', 8)}, {r('vol_lower', 'vol_lower', 8)}, {r('vol_upper', 'vol_upper', 8)}, days FROM bm"""), digits=8)
 def bounds_mean(spark, d):
-    return events.volume_bounds_mean(cells(spark, d))
+    return events.volume_bounds_mean(cut(cells(spark, d)))
 
 
 @query("error_bars", sql("cells", _MEAN + f"""
@@ -295,7 +295,7 @@ def cumulative_grid(spark, d):
     SELECT *, n_rows = first(n_rows) OVER w AND n_cols = first(n_cols) OVER w AS same_shape FROM shp
     WINDOW w AS (PARTITION BY location, mode, resolution ORDER BY d1, d2)"""))
 def shape_flags(spark, d):
-    return grid.shape_flags(cells(spark, d))
+    return grid.shape_flags(cut(cells(spark, d)))
 
 
 @query("cumulative_frames", sql("cells dense", f"""

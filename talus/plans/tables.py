@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-SITE = "DelMar"
+SITE = "DelMar"  # every part, and so every strip and point, belongs to one site
 SITES = ["DelMar", "Solana", "Encinitas", "SanElijo", "Torrey", "Blacks"]
 METHODS = ["VMZ2000_Truck", "MiniRanger_Truck", "VMQLZ_Truck", "MiniRanger_ATV"]
 ROOTS = ["/archive/level2", "/archive/level1"]
@@ -58,7 +58,7 @@ def points(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     return table(spark, sf_dir, "lineitem").selectExpr(
         f"cast(conv(substr(md5({record}), 1, 15), 16, 10) AS bigint) AS point_id",
-        f"'{SITE}' AS location",
+        f"CASE WHEN l_partkey >= 0 THEN '{SITE}' END AS location",
         "cast(date_trunc('quarter', l_shipdate) AS date) AS survey_date",
         "l_partkey * 0.05D + 0.0125D AS x",
         "l_suppkey * 0.01D AS y",
@@ -73,7 +73,7 @@ def points(spark: SparkSession, sf_dir: str) -> DataFrame:
 def change_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Clustered change cloud between consecutive quarters."""
     return table(spark, sf_dir, "lineitem").selectExpr(
-        f"'{SITE}' AS location",
+        f"CASE WHEN l_partkey >= 0 THEN '{SITE}' END AS location",
         "cast(date_trunc('quarter', l_shipdate) AS date) AS d1",
         "cast(add_months(date_trunc('quarter', l_shipdate), 3) AS date) AS d2",
         "l_partkey * 0.05D + 0.0125D AS x",
@@ -88,10 +88,12 @@ def change_points(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def polygons(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Alongshore strips one metre wide."""
-    ids = table(spark, sf_dir, "part").select(F.expr("p_partkey div 20").alias("polygon_id")).distinct()
+    ids = table(spark, sf_dir, "part").select(
+        F.expr("p_partkey div 20").alias("polygon_id"), F.expr(f"CASE WHEN p_partkey >= 0 THEN '{SITE}' END").alias("location")
+    ).distinct()
     corner = lambda dx, y: f"named_struct('x', cast(polygon_id + {dx} AS double), 'y', cast({y} AS double))"
     ring = f"array({corner(0, -1)}, {corner(1, -1)}, {corner(1, 1000)}, {corner(0, 1000)})"
-    return ids.selectExpr(f"'{SITE}' AS location", "polygon_id", f"{ring} AS ring")
+    return ids.selectExpr("location", "polygon_id", f"{ring} AS ring")
 
 
 def cutoffs(spark: SparkSession, sf_dir: str) -> DataFrame:
