@@ -64,8 +64,7 @@ def normals(
         return let(symmetric_eigen(m), lambda e: let(eigenvector(m, e["l3"]), lambda v: F.when(v.isNotNull(), turned(v))))
 
     moments = range_moments(core, cloud, Sphere(scale / 2), by).where(F.col("n") >= 3)
-    found = moments.select(*by, "query_id", let(_covariance(), normal).alias("_v"))
-    found = found.where(F.col("_v").isNotNull()).select(*by, "query_id", "_v.*")
+    found = moments.select(*by, "query_id", F.inline(F.array(let(_covariance(), normal)))).where(F.col("nx").isNotNull())
     return core.select(*by, "query_id", *AXES).join(found, by + ["query_id"])
 
 

@@ -95,7 +95,8 @@ def ranked(
 
     Adds ``n`` (copies), ``before`` (rows with a smaller value) and ``total``
     (rows of the group); with ``sums`` also ``sum_before`` and ``sum_total``.
-    Null values are left out.  Group keys must not be null.
+    Null values are left out.  Group keys must not be null; values are numbers,
+    dates or timestamps.
     """
     by = list(by)
     counts = cut(df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("n")))

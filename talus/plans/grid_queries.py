@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from talus.functions.numeric import error_bars
-from talus.operators import events, fill, grid, series, spatial, stats
+from talus.functions.numeric import alongshore_m, error_bars, zoom
+from talus.operators import cluster, events, fill, grid, series, spatial, stats
 from talus.operators.inventory import latest_run as keep_latest
 from talus.operators.lineage import cut
 from talus.operators.ranks import ecdf as ecdf_of
@@ -529,3 +529,45 @@ def fill_holes(spark, d):
 def fill_stats(spark, d):
     clean = cut(cleaned(spark, d).where("mode = 'erosion'"))
     return events.fill_stats(clean, fill_from(clean), 2.0)
+
+
+@query("align_cells", sql("cells dense clean", f"""
+    SELECT c.location, c.mode, c.d1, c.d2, c.resolution, c.polygon_id, c.z_idx, {r('c.dist', 'dist')}, k.cluster_id, {r('c.unc', 'unc')}
+    FROM cells c JOIN cleaned k USING ({KEYS}, polygon_id, z_idx) WHERE k.cluster_id <> 0"""))
+def align_cells(spark, d):
+    raw = cut(cells(spark, d))
+    clean = grid.clean_cells(grid.densify(raw, tables.polygons(spark, d), 1.0, 30.0), tables.cutoffs(spark, d), 2)
+    return grid.align_cells(raw, clean.where("cluster_id <> 0"), raw)
+
+
+@query("alongshore_zoom", sql("cells", f"""
+    SELECT polygon_id, z_idx, {r('polygon_id * resolution', 'x_m')}, {r('sum(dist)', 'cum_dist')} FROM cells
+    WHERE mode = 'erosion' AND polygon_id * resolution BETWEEN 3 AND 60 GROUP BY ALL"""))
+def alongshore_zoom(spark, d):
+    total = grid.cumulative_grid(cells(spark, d).where("mode = 'erosion'"))
+    placed = total.withColumn("x_m", alongshore_m(F.col("polygon_id"), F.col("resolution")))
+    return zoom(placed, 3.0, 60.0).select("polygon_id", "z_idx", "x_m", "cum_dist")
+
+
+_GROUP = "location, mode, d1, d2"
+
+
+@query("change_clusters", sql("change", f"""
+    , p AS (SELECT {_GROUP}, x, y, z, point_id AS id FROM modes),
+    near AS (SELECT a.location, a.mode, a.d1, a.d2, a.id AS a, b.id AS b FROM p a JOIN p b USING ({_GROUP})
+             WHERE (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z) <= 2.25),
+    core AS (SELECT {_GROUP}, a AS id FROM near GROUP BY ALL HAVING count(*) >= 4),
+    links AS (SELECT {_GROUP}, a, b FROM near SEMI JOIN core ON core.location = near.location AND core.mode = near.mode AND core.d1 = near.d1 AND core.d2 = near.d2 AND core.id = near.a),
+    ll AS (SELECT {_GROUP}, a, b FROM links SEMI JOIN core ON core.location = links.location AND core.mode = links.mode AND core.d1 = links.d1 AND core.d2 = links.d2 AND core.id = links.b),
+    reach AS (SELECT * FROM (WITH RECURSIVE walk(location, mode, d1, d2, id, root) AS (
+        SELECT {_GROUP}, id, id FROM core UNION SELECT w.location, w.mode, w.d1, w.d2, l.b, w.root FROM walk w JOIN ll l
+        ON l.location = w.location AND l.mode = w.mode AND l.d1 = w.d1 AND l.d2 = w.d2 AND l.a = w.id)
+        SELECT {_GROUP}, id, min(root) AS root FROM walk GROUP BY ALL)),
+    numbered AS (SELECT *, dense_rank() OVER (PARTITION BY {_GROUP} ORDER BY root) AS label FROM reach),
+    border AS (SELECT {_GROUP}, a AS id, min(label) AS label FROM near JOIN numbered n USING ({_GROUP}) WHERE n.id = near.b GROUP BY ALL)
+    SELECT p.location, p.mode, p.d1, p.d2, p.id AS point_id, coalesce(n.label, b.label, -1)::INTEGER AS cluster_id
+    FROM p LEFT JOIN numbered n USING ({_GROUP}, id) LEFT JOIN border b USING ({_GROUP}, id)"""))
+def change_clusters(spark, d):
+    keys = ["location", "mode", "d1", "d2"]
+    pts = changes(spark, d).select(*keys, "point_id", "x", "y", "z")
+    return cluster.dbscan(pts, 1.5, 4, by=keys).select(*keys, "point_id", "cluster_id")

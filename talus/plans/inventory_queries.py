@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from talus.functions import naming
+from talus.functions.geometry import UTM_EASTING, UTM_K0, WGS84_A, WGS84_F, extend_line, to_utm
 from talus.functions.numeric import qc_flag, safe_pct
 from talus.operators import inventory, stats
+from talus.operators.lineage import checkpoint_dir
 from talus.operators.series import cumulative
 from talus.plans import tables
 from talus.plans.registry import query, r, sql
+from talus.streaming.ingest import merge_stream, read_table
 
 
 def located(spark, d, floor_threshold=True):
@@ -236,7 +241,7 @@ def find_text(spark, d):
     """).replace("survey_id * 7 / (1024.0 * 1024.0)::DOUBLE AS size_mb_raw", "round(survey_id * 700000 / 1048576.0::DOUBLE, 6) AS size_mb, round(survey_id * 700000 / 1e9, 6) AS size_gb, strptime(left(filename, 8), '%Y%m%d')::DATE AS survey_date"),
 )
 def path_parts(spark, d):
-    f = tables.survey_files(spark, d).join(tables.surveys(spark, d).select("folder", "method"), "folder")
+    f = tables.survey_files(spark, d)
     raw = f.select(
         F.concat(F.lit("/project/group/results/"), "method", F.lit("/x/"), "filename").alias("path"),
         (F.col("survey_id") * 700000).alias("length"),
@@ -356,3 +361,74 @@ def removal_pct(spark, d):
 def describe_surveys(spark, d):
     f = tables.file_stats(spark, d)
     return stats.describe_surveys(f.select((F.col("size_mb") / 1000).alias("size_gb"), (F.col("points") / F.col("duration")).alias("density")))
+
+
+@query("survey_stream", sql("surveys", """
+    SELECT location, survey_date, s.mop1, s.mop2, folder FROM surveys s JOIN sites ON least(mop2, hi) - greatest(mop1, lo) >= (hi - lo) * 2 / 3.0
+    WHERE survey_id % 5 <> 0"""))
+def survey_stream(spark, d):
+    schema = tables.table(spark, d, "orders").schema
+    stream = spark.readStream.schema(schema).option("pathGlobFilter", "orders.parquet").parquet(d)
+    folder = f"{checkpoint_dir(spark).rstrip('/')}/ingest-{uuid.uuid4().hex}"
+    merge_stream(tables.survey_files_of(tables.surveys_of(stream)), f"{folder}/table", f"{folder}/state")
+    return read_table(spark, f"{folder}/table").select("location", "survey_date", "mop1", "mop2", "folder")
+
+
+@query("distinct_methods", sql("surveys", " SELECT DISTINCT method FROM surveys"))
+def distinct_methods(spark, d):
+    return stats.distinct_values(tables.surveys(spark, d), "method")
+
+
+@query("sorted_surveys", sql("surveys", " SELECT folder, survey_date FROM surveys"))
+def sorted_surveys(spark, d):
+    return inventory.sort_by(tables.surveys(spark, d).select("folder", "survey_date"), "survey_date", "folder")
+
+
+_N = WGS84_F / (2 - WGS84_F)
+_E = 2 * _N**0.5 / (1 + _N)
+_A = WGS84_A / (1 + _N) * (1 + _N**2 / 4 + _N**4 / 64)
+_ALPHA = (_N / 2 - 2 * _N**2 / 3 + 5 * _N**3 / 16, 13 * _N**2 / 48 - 3 * _N**3 / 5, 61 * _N**3 / 240)
+
+
+def _utm_sql(lon: str, lat: str) -> str:
+    series = lambda own, other: " + ".join(f"{a!r} * {own}(2 * {j} * xi) * {other}(2 * {j} * eta)" for j, a in enumerate(_ALPHA, 1))
+    return f"""
+    a AS (SELECT *, radians({lat}) AS phi, radians({lon} + 117) AS lam FROM verts),
+    b AS (SELECT *, sinh(atanh(sin(phi)) - {_E!r} * atanh({_E!r} * sin(phi))) AS t FROM a),
+    c AS (SELECT *, atan2(t, cos(lam)) AS xi, atanh(sin(lam) / sqrt(1 + t * t)) AS eta FROM b),
+    utm AS (SELECT *, {UTM_EASTING} + {UTM_K0 * _A!r} * (eta + {series("cos", "sinh")}) AS x,
+                   {UTM_K0 * _A!r} * (xi + {series("sin", "cosh")}) AS y FROM c)"""
+
+
+def _vertices(spark, d):
+    s = tables.surveys(spark, d)
+    return s.select(
+        "survey_id",
+        (F.lit(-117.3) + F.col("mop1") * 0.0003).alias("lon"),
+        (F.lit(32.5) + F.col("mop2") * 0.0008).alias("lat"),
+    )
+
+
+_VERTS = ", verts AS (SELECT survey_id, -117.3::DOUBLE + mop1 * 0.0003::DOUBLE AS lon, 32.5::DOUBLE + mop2 * 0.0008::DOUBLE AS lat FROM surveys),"
+
+
+@query("utm_vertices", sql("surveys", _VERTS + _utm_sql("lon", "lat") + f" SELECT survey_id, {r('x', 'x', 4)}, {r('y', 'y', 4)} FROM utm"), digits=4)
+def utm_vertices(spark, d):
+    return _vertices(spark, d).select("survey_id", to_utm(F.col("lon"), F.col("lat")).alias("p")).select("survey_id", "p.x", "p.y")
+
+
+@query("extended_lines", sql("surveys", f"""
+    , l AS (SELECT survey_id, mop1::DOUBLE AS x1, mop2::DOUBLE AS y1, (mop1 + survey_id % 7)::DOUBLE AS x2, (mop2 - survey_id % 5)::DOUBLE AS y2 FROM surveys),
+    u AS (SELECT *, CASE WHEN x1 = x2 AND y1 = y2 THEN 0 ELSE 500 / sqrt((x2 - x1) ** 2 + (y2 - y1) ** 2) END AS s FROM l)
+    SELECT survey_id, {r('x1 - s * (x2 - x1)', 'x1')}, {r('y1 - s * (y2 - y1)', 'y1')}, {r('x2 + s * (x2 - x1)', 'x2')}, {r('y2 + s * (y2 - y1)', 'y2')} FROM u"""))
+def extended_lines(spark, d):
+    point = lambda x, y: F.struct(x.cast("double").alias("x"), y.cast("double").alias("y"))
+    k = F.col("survey_id")
+    lines = tables.surveys(spark, d).select(
+        "survey_id",
+        point(F.col("mop1"), F.col("mop2")).alias("p"),
+        point(F.col("mop1") + k % 7, F.col("mop2") - k % 5).alias("q"),
+    )
+    p, q = extend_line(F.col("p"), F.col("q"), 500.0)
+    ends = lines.select("survey_id", p.alias("a"), q.alias("b"))
+    return ends.select("survey_id", F.col("a.x").alias("x1"), F.col("a.y").alias("y1"), F.col("b.x").alias("x2"), F.col("b.y").alias("y2"))

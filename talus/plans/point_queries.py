@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from talus.operators import change, cluster, model, neighbours, radiometry, ranks, sampling, spatial, stats, thin
+from talus.operators.lineage import cut
 from talus.plans import tables
 from talus.plans.registry import query, r, sql
 
@@ -285,3 +286,32 @@ def beach_removal(spark, d):
 def cross_validate(spark, d):
     data, _ = model.prepare(tables.points(spark, d), 1)
     return model.cross_validate(data, trees=10, depth=6)
+
+
+@query("intensity_rank", sql("points", """
+    SELECT point_id, survey_date, row_number() OVER (PARTITION BY survey_date ORDER BY intensity, point_id) - 1 AS rank,
+           count(*) OVER (PARTITION BY survey_date) AS total FROM points"""))
+def intensity_rank(spark, d):
+    p = tables.points(spark, d).select("point_id", "survey_date", "intensity")
+    return ranks.row_ranks(p, ["survey_date"], "intensity", "point_id").drop("intensity")
+
+
+@query("first_member_numbers", sql("points", """
+    , members AS (SELECT survey_date, min(point_id) AS member, count(*) AS points FROM points GROUP BY survey_date, sensor)
+    SELECT survey_date, member, points, (dense_rank() OVER (PARTITION BY survey_date ORDER BY member))::INTEGER AS cluster_id FROM members"""))
+def first_member_numbers(spark, d):
+    members = tables.points(spark, d).groupBy("survey_date", "sensor").agg(
+        F.min("point_id").alias("member"), F.count(F.lit(1)).alias("points")
+    )
+    return cluster.number_clusters(members.drop("sensor"), "member", ["survey_date"])
+
+
+@query("vegetation_removal")
+def vegetation_removal(spark, d):
+    # uneven surroundings stand for vegetation; a third of the labels is turned over
+    shaped = change.shape_features(tables.cloud3d(spark, d), [1.0, 2.0])
+    uneven = F.col("p1_200cm") < 0.6
+    marked = cut(shaped.withColumn("label", (uneven != (F.col("point_id") % 3 == 0)).cast("int")))
+    names = ["p1_100cm", "p2_100cm", "p1_200cm", "p2_200cm"]
+    fitted = model.vegetation_classifier(names).fit(marked)
+    return model.remove_vegetation(marked.drop("label"), fitted, 0.6).select("point_id", "p1_100cm", "p1_200cm")

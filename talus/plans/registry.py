@@ -83,7 +83,9 @@ cutoffs AS (SELECT location, polygon_id, (15 + polygon_id % 10)::DOUBLE AS cliff
 
 _CHANGE = """
 change AS (
-  SELECT 'DelMar' AS location, date_trunc('quarter', l_shipdate)::DATE AS d1,
+  SELECT ('0x' || substr(md5(concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey,
+            CAST(round(l_extendedprice * 100) AS BIGINT), strftime(l_shipdate, '%Y%m%d'))), 1, 15))::BIGINT AS point_id,
+         'DelMar' AS location, date_trunc('quarter', l_shipdate)::DATE AS d1,
          (date_trunc('quarter', l_shipdate) + INTERVAL 3 MONTH)::DATE AS d2,
          l_partkey * 0.05::DOUBLE + 0.0125::DOUBLE AS x, l_suppkey * 0.01::DOUBLE AS y,
          l_quantity * 0.5::DOUBLE + l_linenumber * 0.07::DOUBLE AS z,

@@ -25,7 +25,11 @@ def _pick(names: list[str], index: str) -> str:
 
 def surveys(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Survey folders with date, transects and instrument."""
-    base = table(spark, sf_dir, "orders").selectExpr(
+    return surveys_of(table(spark, sf_dir, "orders"))
+
+
+def surveys_of(orders: DataFrame) -> DataFrame:
+    base = orders.selectExpr(
         "o_orderkey AS survey_id",
         "cast(o_orderdate AS date) AS survey_date",
         "cast(500 + o_custkey % 250 AS int) AS mop1",
@@ -39,25 +43,31 @@ def surveys(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def survey_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One or two files per survey folder, under one of two roots; a fifth of the folders lack the target file."""
-    s = surveys(spark, sf_dir)
+    return survey_files_of(surveys(spark, sf_dir))
+
+
+def survey_files_of(s: DataFrame) -> DataFrame:
     suffix = F.when(F.col("survey_id") % 5 == 0, "_other.las").otherwise("_beach_cliff_ground.las")
     copies = F.explode(
         F.when(F.col("survey_id") % 3 == 0, F.array(*map(F.lit, ROOTS))).otherwise(
             F.array(F.when(F.col("survey_id") % 2 == 0, F.lit(ROOTS[0])).otherwise(F.lit(ROOTS[1])))
         )
     )
-    named = s.select("survey_id", "folder", F.concat("folder", suffix).alias("filename"), copies.alias("root"))
+    named = s.select("survey_id", "folder", "method", F.concat("folder", suffix).alias("filename"), copies.alias("root"))
     return named.withColumn("path", F.concat_ws("/", "root", "folder", "filename"))
 
 
+RECORD = (
+    "concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey, "
+    "cast(round(l_extendedprice * 100) AS bigint), date_format(l_shipdate, 'yyyyMMdd'))"
+)
+RECORD_ID = f"cast(conv(substr(md5({RECORD}), 1, 15), 16, 10) AS bigint) AS point_id"
+
+
 def points(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Point cloud; the record id is derived from all columns that tell two records apart."""
-    record = (
-        "concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey, "
-        "cast(round(l_extendedprice * 100) AS bigint), date_format(l_shipdate, 'yyyyMMdd'))"
-    )
     return table(spark, sf_dir, "lineitem").selectExpr(
-        f"cast(conv(substr(md5({record}), 1, 15), 16, 10) AS bigint) AS point_id",
+        RECORD_ID,
         f"CASE WHEN l_partkey >= 0 THEN '{SITE}' END AS location",
         "cast(date_trunc('quarter', l_shipdate) AS date) AS survey_date",
         "l_partkey * 0.05D + 0.0125D AS x",
@@ -73,6 +83,7 @@ def points(spark: SparkSession, sf_dir: str) -> DataFrame:
 def change_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Clustered change cloud between consecutive quarters."""
     return table(spark, sf_dir, "lineitem").selectExpr(
+        RECORD_ID,
         f"CASE WHEN l_partkey >= 0 THEN '{SITE}' END AS location",
         "cast(date_trunc('quarter', l_shipdate) AS date) AS d1",
         "cast(add_months(date_trunc('quarter', l_shipdate), 3) AS date) AS d2",

@@ -21,16 +21,16 @@ def read_table(spark: SparkSession, table: str) -> DataFrame:
         return spark.createDataFrame([], TABLE)
 
 
-def ingest_surveys(spark: SparkSession, roots: dict[str, str], table: str, checkpoint: str, late: str = "drop"):
-    """Add the surveys whose files arrived since the last run; returns the finished query.
+def merge_stream(files: DataFrame, table: str, checkpoint: str, late: str = "drop"):
+    """Merge a stream of survey files (``folder``, ``filename``, ``method``) into the survey table, then stop.
 
-    The stream's checkpoint remembers which files were seen.  A batch is its
-    own partition of the table and is compared with the other batches only, so
-    a replayed batch replaces itself.
+    A batch is its own partition of the table and is compared with the other
+    batches only, so a replayed batch replaces itself.
     """
+    spark = files.sparkSession
 
-    def merge(files: DataFrame, batch: int) -> None:
-        found = with_parsed_name(_below_roots(files, roots).select("folder", "filename", "method"))
+    def merge(arrived: DataFrame, batch: int) -> None:
+        found = with_parsed_name(arrived.select("folder", "filename", "method"))
         located = surveys_for_locations(found, floor_threshold=False)
         names = located.select("folder", "filename").distinct()
         existing = read_table(spark, table).where(F.col("batch") != batch)
@@ -39,6 +39,18 @@ def ingest_surveys(spark: SparkSession, roots: dict[str, str], table: str, check
         rows = fresh.select("location", "survey_date", "mop1", "mop2", "method", "folder", F.lit(batch).alias("batch"))
         rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(table)
 
+    query = (
+        files.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    )
+    query.awaitTermination()
+    return query
+
+
+def ingest_surveys(spark: SparkSession, roots: dict[str, str], table: str, checkpoint: str, late: str = "drop"):
+    """Add the surveys whose files arrived since the last run; returns the finished query.
+
+    The stream's checkpoint remembers which files were seen.
+    """
     # the common parent is watched; folders outside the roots are left out by name
     parent = _common_parent(list(roots.values()))
     stream = (
@@ -49,14 +61,7 @@ def ingest_surveys(spark: SparkSession, roots: dict[str, str], table: str, check
         .load(parent)
         .select(F.regexp_replace("path", r"^file:/+", "/").alias("path"))
     )
-    query = (
-        stream.writeStream.foreachBatch(merge)
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .start()
-    )
-    query.awaitTermination()
-    return query
+    return merge_stream(_below_roots(stream, roots), table, checkpoint, late)
 
 
 def _common_parent(paths: list[str]) -> str:
