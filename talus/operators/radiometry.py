@@ -2,25 +2,45 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from talus.operators.lineage import cut
 from talus.operators.ranks import quantiles, ranked, row_ranks
 
+SLICES = 4096  # slices of the reference's rank range, each ordered on its own
 
-def _reference_steps(ref: DataFrame, by: list[str], col: str) -> DataFrame:
-    """Reference value at each rank with the one at the next rank, and the reference size."""
-    r = ranked(ref, by, col)
-    ranks = F.sequence(F.col("before"), F.col("before") + F.col("n") - 1)
-    at = r.select(*by, F.col(col).alias("_v"), "total", F.explode(ranks).alias("_at"))
-    # a value is the lower end at its own rank and the upper end one rank below
-    ends = at.select(*by, F.col("_at").alias("_lo_at"), F.col("_v").alias("_lo"), F.lit(None).cast("double").alias("_hi"), "total")
-    uppers = at.where(F.col("_at") > 0).select(
-        *by, (F.col("_at") - 1).alias("_lo_at"), F.lit(None).cast("double").alias("_lo"), F.col("_v").alias("_hi"), "total"
-    )
-    return ends.unionByName(uppers).groupBy(*by, "_lo_at").agg(
-        F.max("_lo").alias("_lo"), F.max("_hi").alias("_hi"), F.max("total").alias("_m")
-    )
+
+def _reference_at(placed: DataFrame, ref: DataFrame, col: str) -> DataFrame:
+    """Adds the reference values ``_lo`` and ``_hi`` at rank ``_at`` and the one after it.
+
+    The reference is one step per distinct value, however many copies it has.
+    Steps and positions are merged slice by slice; the step that reaches into a
+    slice from below comes from a table with one row per slice.
+    """
+    steps = ranked(ref, [], col)
+    follow = steps.select(F.col("before").alias("_end"), F.col(col).cast("double").alias("_next"))
+    steps = steps.select(
+        F.col("before").alias("_at"), (F.col("before") + F.col("n")).alias("_end"), F.col(col).cast("double").alias("_v"), "total"
+    ).join(follow, "_end", "left")
+    steps = cut(steps.withColumn("_slice", F.floor(F.col("_at") * SLICES / F.col("total"))))
+    total = steps.agg(F.max("total")).scalar()
+    step = F.struct("_v", "_end", "_next")
+
+    tops = steps.groupBy("_slice").agg(F.max_by(step, "_at").alias("_top"))
+    slices = placed.sparkSession.range(SLICES).withColumnRenamed("id", "_slice").join(tops, "_slice", "left")
+    below = Window.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    carried = slices.select("_slice", F.last("_top", ignorenulls=True).over(below).alias("_carried"))
+
+    marks = steps.select("_slice", "_at", F.lit(0).alias("_kind"), step.alias("_step"))
+    asked = placed.withColumns({"_slice": F.floor(F.col("_at") * SLICES / total), "_kind": F.lit(1)})
+    merged = asked.unionByName(marks, allowMissingColumns=True)
+    upto = Window.partitionBy("_slice").orderBy("_at", "_kind").rowsBetween(Window.unboundedPreceding, 0)
+    found = merged.withColumn("_found", F.last("_step", ignorenulls=True).over(upto)).where("_kind = 1")
+    # one row per slice
+    found = found.join(F.broadcast(carried), "_slice").withColumn("_s", F.coalesce("_found", "_carried"))
+    after = F.when(F.col("_at") + 1 < F.col("_s._end"), F.col("_s._v")).otherwise(F.coalesce("_s._next", "_s._v"))
+    return found.select(*placed.columns, F.col("_s._v").alias("_lo"), after.alias("_hi"))
 
 
 def match_histogram(
@@ -39,10 +59,9 @@ def match_histogram(
     size = ref.where(F.col(col).isNotNull()).agg(F.count(F.lit(1))).scalar()
     ranks = row_ranks(df, by, col, tie)
     pos = F.when(F.col("total") > 1, F.col("rank") * (size - 1) / (F.col("total") - 1)).otherwise(0.0)
-    placed = ranks.withColumn("_pos", pos).withColumn("_lo_at", F.floor("_pos"))
-    steps = _reference_steps(ref, [], col)
-    joined = placed.join(steps.drop("_m"), "_lo_at")
-    blend = F.col("_lo") + (F.coalesce("_hi", "_lo") - F.col("_lo")) * (F.col("_pos") - F.col("_lo_at"))
+    placed = ranks.withColumn("_pos", pos).withColumn("_at", F.floor("_pos"))
+    joined = _reference_at(placed, ref, col)
+    blend = F.col("_lo") + (F.col("_hi") - F.col("_lo")) * (F.col("_pos") - F.col("_at"))
     return joined.select(*df.columns, blend.alias(out))
 
 

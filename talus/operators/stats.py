@@ -10,6 +10,7 @@ from talus.functions.numeric import safe_ratio
 from talus.operators.lineage import cut
 from talus.operators.ranks import quantiles, ranked
 
+CHUNK = 100_000
 QUARTILES = {"q1": 0.25, "median": 0.5, "q3": 0.75}
 
 
@@ -46,7 +47,10 @@ def gini(df: DataFrame, by: list[str], value: str = "volume") -> DataFrame:
 def lorenz(df: DataFrame, by: list[str], value: str = "volume") -> DataFrame:
     """Share of the total held by the largest events, one row per event, largest first."""
     r = ranked(df, by, value, sums=True)
-    j = F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("n"))).alias("_j")
+    # copies are listed chunk by chunk, so no array grows with their number
+    chunk = F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("n"), F.lit(CHUNK))).alias("_c")
+    r = r.select("*", chunk)
+    j = F.explode(F.sequence(F.col("_c"), F.least(F.col("n"), F.col("_c") + CHUNK - 1))).alias("_j")
     at = r.select("*", j).withColumn("rank", F.col("total") - F.col("before") - F.col("n") + F.col("_j"))
     held = F.col("sum_total") - F.col("sum_before") - (F.col("n") - F.col("_j")) * F.col(value)
     return at.select(
