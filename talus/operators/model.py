@@ -55,7 +55,7 @@ def forest(features: list[str] = FEATURES, trees: int = TREES, depth: int = 10,
 
 def prepare(points: DataFrame, seed: int = 0, fraction: float = SUBSAMPLE) -> tuple[DataFrame, DataFrame]:
     """Complete, subsampled rows with normalised intensity, and the scaler."""
-    clean = sample_frac(points.na.drop(subset=["x", "y", "z", "intensity"]), fraction, "point_id", seed)
+    clean = cut(sample_frac(points.na.drop(subset=["x", "y", "z", "intensity"]), fraction, "point_id", seed))
     scaler = fit_scaler(clean)
     return standardize(clean, scaler), scaler
 

@@ -11,7 +11,7 @@ from talus.functions.naming import change_columns
 from talus.functions.numeric import z_bin
 from talus.operators import events, grid, spatial
 from talus.operators.fill import fill_holes, nearest_cluster
-from talus.plans import pipeline
+from talus.plans import stages
 from talus.sources import grids
 
 D1, D2 = datetime.date(2020, 1, 1), datetime.date(2020, 3, 1)
@@ -199,12 +199,12 @@ def test_finished_grid_and_events(spark, tmp_path):
     rows = [(p, z, 0.5, 1) for p in range(3, 9) for z in range(2, 7) if (p, z) != (5, 4)]
     raw = cells(spark, rows).unionByName(cells(spark, [(4, 4, 0.3, 1), (5, 4, 0.3, 1), (30, 4, 0.2, 2)], "deposition"))
     polys = spark.createDataFrame([("S", i) for i in range(40)], "location string, polygon_id long")
-    done = pipeline.finished_grid(raw, polys, None, "S", RESOLUTIONS["1m"])
+    done = stages.finished_grid(raw, polys, None, "S", RESOLUTIONS["1m"])
     filled = done.where("stage = 'filled' and polygon_id = 5 and z_idx = 4").first()
     assert filled.dist == pytest.approx(0.5) and filled.cluster_id == 1
     dep = done.where("mode = 'deposition' and cluster_id <> 0")
     assert {r.cluster_id for r in dep.collect()} == {1}
-    ev = pipeline.events_of(done, 0.005).collect()
+    ev = stages.events_of(done, 0.005).collect()
     assert len(ev) == 1 and ev[0].volume == pytest.approx(15.0) and ev[0].width == 6.0 and ev[0].height == 5.0
     assert ev[0].mid == datetime.datetime(2020, 1, 31) and ev[0].month == 1 and ev[0].winter
 
