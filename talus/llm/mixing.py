@@ -6,23 +6,24 @@ part, the end and an escape have a Huffman code; any other word is the escape
 and then its bytes, which have a Huffman code of their own. So a text is a
 sequence of binary decisions, each at a node of a code.
 
-Four predictors see a decision in different contexts (words: none, the last
-word, the last two, the one before the last; bytes: none, and the last one, two
-or three bytes of the word). Context and node are hashed to a slot that counts
-decisions and ones. The stretched predictions are weighted with weights chosen
-by a gate (depth in the code, or place in the word), squashed, and refined by
-an adaptive probability map over gate and prediction.
+Three predictors see a decision in different contexts (words: none, the last
+word, the last two; bytes: the last one, two or three bytes of the word).
+Context and node are hashed to a slot that counts decisions and ones. The
+stretched predictions are weighted with weights chosen by a gate (the level in
+the code), squashed, and refined by an adaptive probability map over gate and
+prediction.
 
 Training goes once over all training texts. Each task predicts every batch of
-its own texts from the counts it has so far, moves weights and map, and then
-adds the batch to its counts; tables are summed over tasks, weights averaged by
+its own texts from the counts it has so far, moves weights (online Newton steps)
+and map, and then adds the batch to its counts; tables are summed over tasks, weights averaged by
 the decisions behind them. Tables travel in blocks of slots, summed in a sorted
 stream, and have a fixed size; word counts are summed by a hash aggregation and
-stay distributed. Only the most frequent ``known`` words come to the driver;
+stay distributed. Only the ``words`` most frequent come to the driver;
 the others get their counts by a join.
 
-Scoring starts each text from the trained state and refines the weights within
-the text, segment by segment, from the decisions before. The result is the sum
+Scoring starts each text from the trained state and refines the mixture within
+the text, segment by segment, with a scale and a shift learned from the
+decisions before. The result is the sum
 of log10 probabilities, so total bits per byte are -score * log2(10) / bytes.
 
 A null text is empty: the end alone. Repeated rows count each time. Nothing to
@@ -45,14 +46,13 @@ from pyspark.sql import functions as F
 from talus.llm.common import cut
 
 SLOTS = 1 << 19  # for each predictor
-PREDICTORS = 4
-GATES = 32  # 20 depths of word codes, then places in a spelled word
+PREDICTORS = 3
+GATES = 32  # 20 levels of the word code, 12 of the byte code
 _BLOCK = 1 << 12
-_BATCH = 60_000  # tokens
+_BATCH = 200_000  # tokens
 _STEP = 1 << 15  # decisions for each move of the weights
 _BINS = 24
 _END = b""
-_RATE = 0.02
 
 
 def tokens(text: str | None) -> list[bytes]:
@@ -82,23 +82,28 @@ def huffman(weights: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.array(first), np.array(nodes, np.uint32), np.array(bits, np.uint8)
 
 
+def _hashed(code, salt: int):
+    first, nodes, bits = code
+    return first, nodes * np.uint32(0x85EBCA77) + np.uint32(salt), bits
+
+
 class Vocabulary:
     """Counts of the most frequent words, and the codes of words and bytes."""
 
-    def __init__(self, counts: list[tuple[bytes, int]], total: int, distinct: int, words: int) -> None:
+    def __init__(self, counts: list[tuple[bytes, int]], total: int, distinct: int) -> None:
         self.total, self.distinct = total, distinct
-        ranked = sorted(counts, key=lambda x: (-x[1], x[0]))
-        self.known = dict(ranked)
-        listed = [(w, c) for w, c in ranked if w != _END][:words]
+        listed = sorted(((w, c) for w, c in counts if w != _END), key=lambda x: (-x[1], x[0]))
         self.number = {w: i for i, (w, _) in enumerate(listed)}
         self.end, self.escape = len(listed), len(listed) + 1
-        ends = self.known.get(_END, 0)
+        ends = dict(counts).get(_END, 0)
         rest = total - ends - sum(c for _, c in listed)
-        self.word_code = huffman([c for _, c in listed] + [ends + 1, max(rest, 0) + 1])
+        self.word_code = _hashed(huffman([c for _, c in listed] + [ends + 1, max(rest, 0) + 1]), 0)
         letters = np.ones(256)
         for w, c in listed[: 1 << 13]:
             np.add.at(letters, np.frombuffer(w + b" ", np.uint8), c)
-        self.byte_code = huffman([int(x) for x in letters])
+        self.byte_code = _hashed(huffman([int(x) for x in letters]), 0x5BD1E995)
+        #: log10 of the base probability of each symbol; nothing for the escape
+        self.base_of = np.append(self.base(np.array([c for _, c in listed] + [ends], float)), 0.0)
 
     def base(self, count: float | np.ndarray) -> np.ndarray:
         return np.log10((count + 0.5) / (self.total + 0.5 * (self.distinct + 1)))
@@ -109,21 +114,6 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint32(13))
 
 
-def _decisions(code, symbols: np.ndarray, contexts: np.ndarray, owner: np.ndarray, gate_of, salt: int):
-    """Slots (predictor by decision), bits, gates and texts of the codes of a run of symbols."""
-    first, nodes, bits = code
-    length = first[symbols + 1] - first[symbols]
-    at = np.repeat(np.arange(len(symbols)), length)
-    depth = np.arange(len(at)) - np.repeat(np.cumsum(length) - length, length)
-    place = first[symbols][at] + depth
-    node = nodes[place] * np.uint32(0x9E3779B1) + np.uint32(salt)
-    slots = np.empty((PREDICTORS, len(at)), np.int32)
-    shift = np.uint32(32 - SLOTS.bit_length() + 1)
-    for p in range(PREDICTORS):
-        slots[p] = _mix(contexts[p][at] + node) >> shift
-    return slots, bits[place], gate_of(depth, at), owner[at]
-
-
 def _before(values: np.ndarray, owner: np.ndarray, by: int) -> np.ndarray:
     """The value some places earlier in the same text or word, or 0."""
     out = np.zeros_like(values)
@@ -133,34 +123,51 @@ def _before(values: np.ndarray, owner: np.ndarray, by: int) -> np.ndarray:
     return out
 
 
-def streams(texts: list[list[bytes]], vocabulary: Vocabulary):
-    """The decisions of the words, and those of the bytes of spelled words."""
-    number, escape = vocabulary.number.get, vocabulary.escape
-    symbols = np.array([s for own in texts for s in [*[number(w, escape) for w in own], vocabulary.end]])
+class Run:
+    """A run of coded symbols with their contexts. Decisions come level by level of the code; a level is a gate."""
+
+    def __init__(self, code, symbols: np.ndarray, contexts: list[np.ndarray], owner: np.ndarray, gates: range) -> None:
+        self.code, self.symbols, self.contexts, self.owner, self.gates = code, symbols, contexts, owner, gates
+
+    def levels(self) -> Iterator[tuple[int, np.ndarray, list[np.ndarray], np.ndarray]]:
+        """Gate, places of the symbols that go on, slots by predictor, bits."""
+        first, nodes, bits = self.code
+        shift = np.uint32(32 - SLOTS.bit_length() + 1)
+        start, length = first[self.symbols], first[self.symbols + 1] - first[self.symbols]
+        alive, depth = np.flatnonzero(length > 0), 0
+        while len(alive):
+            place = start[alive] + depth
+            node = nodes[place]
+            slots = [((c[alive] ^ node) * np.uint32(0x9E3779B1)) >> shift for c in self.contexts]
+            yield self.gates[min(depth, len(self.gates) - 1)], alive, slots, bits[place]
+            depth += 1
+            alive = alive[length[alive] > depth]
+
+
+def runs(texts: list[list[bytes]], vocabulary: Vocabulary) -> tuple[list[Run], np.ndarray, np.ndarray, list[bytes], np.ndarray]:
+    """The words and the bytes of spelled words; then symbols, owners, spelled words and their owners."""
+    number, escape, end = vocabulary.number.get, vocabulary.escape, vocabulary.end
+    symbols = np.array([s for own in texts for s in (*[number(w, escape) for w in own], end)])
     owner = np.repeat(np.arange(len(texts)), [len(own) + 1 for own in texts])
-    flat = [w for own in texts for w in (*own, _END)]
-    hashes = symbols.astype(np.uint32) * np.uint32(0xC2B2AE35) + np.uint32(1)
     spelled = np.flatnonzero(symbols == escape)
-    rare = [flat[i] for i in spelled]
+    before = np.arange(len(texts))[owner[spelled]]  # ends of earlier texts stand between the words
+    flat = [w for own in texts for w in own]
+    rare = [flat[i] for i in spelled - before]
+    hashes = symbols.astype(np.uint32) * np.uint32(0xC2B2AE35) + np.uint32(1)
     hashes[spelled] = np.array([zlib.crc32(w) for w in rare], np.uint32)
     last, older = _before(hashes, owner, 1), _before(hashes, owner, 2)
-    contexts = np.stack([np.full(len(symbols), 0x1234567, np.uint32), _mix(last), _mix(last * np.uint32(3) + _mix(older)), _mix(older) + np.uint32(77)])
-    words = _decisions(vocabulary.word_code, symbols, contexts, owner, lambda depth, at: np.minimum(depth, 19), 0)
+    contexts = [np.full(len(symbols), 0x1234567, np.uint32), _mix(last), _mix(last * np.uint32(3) + _mix(older))]
+    words = Run(vocabulary.word_code, symbols, contexts, owner, range(20))
     if not rare:
-        return [words]
+        return [words], symbols, owner, rare, owner[spelled]
     data = np.frombuffer(b"".join([w + b" " for w in rare]), np.uint8)
-    size = np.array([len(w) + 1 for w in rare])
-    word = np.repeat(np.arange(len(rare)), size)
-    place = np.arange(len(data)) - np.repeat(np.cumsum(size) - size, size)
+    word = np.repeat(np.arange(len(rare)), [len(w) + 1 for w in rare])
     chars = data.astype(np.uint32) + np.uint32(1)
     one, two, three = (_before(chars, word, n) for n in (1, 2, 3))
-    contexts = np.stack([np.full(len(data), 0x7654321, np.uint32), _mix(one + np.uint32(1 << 20)), _mix(one + (two << np.uint32(9)) + np.uint32(1 << 21)), _mix(one + (two << np.uint32(9)) + (three << np.uint32(18)) + np.uint32(1 << 29))])
-    gate = 20 + np.minimum(place, GATES - 21)
-    return [words, _decisions(vocabulary.byte_code, data.astype(np.int64), contexts, owner[spelled][word], lambda depth, at: gate[at], 0x5BD1E995)]
-
-
-def _stretch(p: np.ndarray) -> np.ndarray:
-    return np.log(p / (1 - p))
+    pair = one + (two << np.uint32(9))
+    contexts = [_mix(one + np.uint32(1 << 20)), _mix(pair + np.uint32(1 << 21)), _mix(pair + (three << np.uint32(18)) + np.uint32(1 << 29))]
+    spelling = Run(vocabulary.byte_code, data.astype(np.int64), contexts, owner[spelled][word], range(20, GATES))
+    return [words, spelling], symbols, owner, rare, owner[spelled]
 
 
 def _squash(x: np.ndarray) -> np.ndarray:
@@ -174,66 +181,79 @@ class Mixer:
         self.counts = np.zeros((2, PREDICTORS, SLOTS), np.uint32)  # decisions, ones
         self.weights = np.full((GATES, PREDICTORS), 0.4)
         self.map = np.zeros((2, GATES, _BINS))
+        self.curve = np.tile(np.eye(PREDICTORS) * 20, (GATES, 1, 1))
 
-    def stretched(self, slots: np.ndarray) -> np.ndarray:
-        out = np.empty(slots.shape, np.float32)
-        for p in range(PREDICTORS):
-            n, ones = self.counts[0, p][slots[p]], self.counts[1, p][slots[p]]
-            out[p] = _stretch((ones + np.float32(0.4)) / (n + np.float32(0.8)))
-        return out
+    def stretched(self) -> np.ndarray:
+        """log odds that each slot predicts"""
+        n, ones = self.counts
+        return np.log((ones + np.float32(0.4)) / (n - ones + np.float32(0.4)))
 
     @staticmethod
     def _bin(mixed: np.ndarray) -> np.ndarray:
         return np.clip((mixed + 12) * (_BINS / 24), 0, _BINS - 1).astype(np.int64)
 
-    def refined(self, gate: np.ndarray, mixed: np.ndarray) -> np.ndarray:
-        """Half the squashed mixture, half what decisions like this one came to."""
-        at = gate * _BINS + self._bin(mixed)
-        plain = _squash(mixed)
-        n, ones = self.map.reshape(2, -1)
-        return 0.5 * plain + 0.5 * (ones[at] + 16 * plain) / (n[at] + 16)
-
-    def learn(self, stream) -> int:
-        slots, bits, gate, _ = stream
-        inputs = self.stretched(slots)
-        for a in range(0, len(bits), _STEP):
-            x, y, g = inputs[:, a : a + _STEP], bits[a : a + _STEP], gate[a : a + _STEP]
-            mixed = (self.weights[g].T * x).sum(axis=0)
-            error = y - _squash(mixed)
-            seen = np.bincount(g, minlength=GATES)
-            for p in range(PREDICTORS):
-                self.weights[:, p] += 8 * _RATE * np.bincount(g, error * x[p], GATES) / np.maximum(seen, 64)
-            at = g * _BINS + self._bin(mixed)
-            self.map[0] += np.bincount(at, minlength=GATES * _BINS).reshape(GATES, _BINS)
-            self.map[1] += np.bincount(at, y, GATES * _BINS).reshape(GATES, _BINS)
-        for p in range(PREDICTORS):
-            self.counts[0, p] += np.bincount(slots[p], minlength=SLOTS).astype(np.uint32)
-            self.counts[1, p] += np.bincount(slots[p][bits == 1], minlength=SLOTS).astype(np.uint32)
-        return len(bits)
-
-    def log10(self, stream, table: np.ndarray, texts: int) -> np.ndarray:
+    def learn(self, run: Run) -> int:
+        """Predicts, then moves the weights by an online Newton step every ``_STEP`` decisions, then counts."""
+        table = self.stretched()
+        slots: list[list[np.ndarray]] = []
+        ones: list[np.ndarray] = []
+        for gate, _, level, bits in run.levels():
+            x = np.stack([table[p][level[p]] for p in range(PREDICTORS)])
+            for a in range(0, len(bits), _STEP):
+                part, y = x[:, a : a + _STEP], bits[a : a + _STEP]
+                mixed = self.weights[gate].astype(np.float32) @ part
+                p = _squash(mixed)
+                self.curve[gate] = 0.999 * self.curve[gate] + (part * (p * (1 - p))) @ part.T
+                self.weights[gate] += np.linalg.solve(self.curve[gate] + np.eye(PREDICTORS), part @ (y - p))
+                at = self._bin(mixed)
+                self.map[0, gate] += np.bincount(at, minlength=_BINS)
+                self.map[1, gate] += np.bincount(at, y, _BINS)
+            slots.append(level)
+            ones.append(bits == 1)
+        one = np.concatenate(ones) if ones else np.zeros(0, bool)
+        for p in range(PREDICTORS if ones else 0):
+            own = np.concatenate([level[p] for level in slots])
+            self.counts[0, p] += np.bincount(own, minlength=SLOTS).astype(np.uint32)
+            self.counts[1, p] += np.bincount(own[one], minlength=SLOTS).astype(np.uint32)
+        return len(one)
+
+    def log10(self, run: Run, table: np.ndarray, texts: int) -> np.ndarray:
         """Sum over the decisions of each text. table: stretched predictions of all slots."""
-        slots, bits, gate, owner = stream
+        mixed, bits, places, gates = [], [], [], []
+        for gate, alive, level, own in run.levels():
+            x = np.stack([table[p][level[p]] for p in range(PREDICTORS)])
+            mixed.append(self.weights[gate].astype(np.float32) @ x)
+            bits.append(own)
+            places.append(alive)
+            gates.append(np.full(len(own), gate * _BINS))
         total = np.zeros(texts)
-        if not len(bits):
+        if not bits:
             return total
-        start = np.concatenate([[True], owner[1:] != owner[:-1]])
-        first = np.maximum.accumulate(np.where(start, np.arange(len(owner)), 0))
-        segment = np.log2((np.arange(len(owner)) - first) // 512 + 1).astype(np.int8)
-        moved, seen = np.zeros((texts, PREDICTORS)), np.full(texts, 2048.0)
-        for s in range(int(segment.max()) + 1):
-            at = np.flatnonzero(segment == s) if s or segment.any() else slice(None)
-            g, d, y = gate[at], owner[at], bits[at]
-            x = np.stack([table[p][slots[p][at]] for p in range(PREDICTORS)])
-            weight = self.weights[g].T + (moved[d] / seen[d, None]).T if s else self.weights[g].T
-            mixed = (weight * x).sum(axis=0)
-            p = self.refined(g, mixed)
+        mixed, bits, places, gates = map(np.concatenate, (mixed, bits, places, gates))
+        # segments of a text by its symbols: the first 64, the next 128, ...
+        start = np.concatenate([[True], run.owner[1:] != run.owner[:-1]])
+        first = np.maximum.accumulate(np.where(start, np.arange(len(start)), 0))
+        segments = np.log2((np.arange(len(start)) - first) // 64 + 1).astype(np.int8)[places]
+        order = np.argsort(segments, kind="stable")
+        mixed, bits, owner, gates = mixed[order], bits[order], run.owner[places[order]], gates[order]
+        edges = np.append(0, np.cumsum(np.bincount(segments)))
+        scale, shift = np.ones(texts, np.float32), np.zeros(texts, np.float32)
+        curve = np.tile(np.eye(2) * 400, (texts, 1, 1))
+        n, ones = (m.ravel().astype(np.float32) for m in self.map)
+        for a, b in zip(edges, edges[1:]):
+            d, y, x, g = owner[a:b], bits[a:b], mixed[a:b], gates[a:b]
+            own = scale[d] * x + shift[d]
+            plain = _squash(own)
+            at = g + self._bin(own)
+            p = 0.5 * plain + 0.5 * (ones[at] + 16 * plain) / (n[at] + 16)
             total += np.bincount(d, np.log10(np.where(y == 1, p, 1 - p)), texts)
-            if s < segment.max():
-                error = y - _squash(mixed)
-                for k in range(PREDICTORS):
-                    moved[:, k] += _RATE * 8 * np.bincount(d, error * x[k], texts)
-                seen += np.bincount(d, minlength=texts)
+            if b < len(bits):  # a Newton step of scale and shift, by text
+                error, spread = y - plain, plain * (1 - plain)
+                sums = [np.bincount(d, v, texts) for v in (spread * x * x, spread * x, spread, error * x, error)]
+                curve += np.stack([sums[0], sums[1], sums[1], sums[2]], -1).reshape(-1, 2, 2)
+                step = np.linalg.solve(curve, np.stack(sums[3:], -1)[..., None])[..., 0]
+                scale += step[:, 0].astype(np.float32)
+                shift += step[:, 1].astype(np.float32)
         return total
 
     def blocks(self, decisions: int) -> Iterator[tuple[int, bytes]]:
@@ -307,16 +327,16 @@ def count_tokens(texts: DataFrame) -> DataFrame:
     return cut(texts.mapInPandas(count, "token binary, n bigint").groupBy("token").agg(F.sum("n").alias("n")))
 
 
-def vocabulary(counts: DataFrame, known: int, words: int) -> Vocabulary:
-    """Takes the words above the count that at most ``known`` words reach, and the end."""
+def vocabulary(counts: DataFrame, words: int) -> Vocabulary:
+    """Takes the words above the count that at most ``words`` words reach, and the end."""
     level = F.when(F.col("n") < 1024, F.col("n")).otherwise(F.floor(F.log2("n") * 64) + 1024).alias("level")
     levels = counts.groupBy(level).agg(F.count(F.lit(1)).alias("tokens"), F.sum("n").alias("n"), F.min("n").alias("least")).toPandas()
     levels = levels.sort_values("level", ascending=False)
-    inside = levels[levels["tokens"].cumsum() <= known]
+    inside = levels[levels["tokens"].cumsum() <= words]
     least = int(inside["least"].min()) if len(inside) else 1 << 62
     top = counts.where((F.col("n") >= least) | (F.col("token") == F.lit(_END))).toPandas()
     frequent = [(bytes(t), int(n)) for t, n in zip(top["token"], top["n"])]
-    return Vocabulary(frequent, int(levels["n"].sum()), int(levels["tokens"].sum()), words)
+    return Vocabulary(frequent, int(levels["n"].sum()), int(levels["tokens"].sum()))
 
 
 def train(texts: DataFrame, words) -> Mixer:
@@ -325,8 +345,8 @@ def train(texts: DataFrame, words) -> Mixer:
     def learn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         mixer, decisions = Mixer(), 0
         for own in _batches(tokens(t) for batch in batches for t in batch["t"]):
-            for stream in streams(own, words.value):
-                decisions += mixer.learn(stream)
+            for run in runs(own, words.value)[0]:
+                decisions += mixer.learn(run)
         if decisions:
             for block, data in mixer.blocks(decisions):
                 yield pd.DataFrame({"block": [block], "data": [data]})
@@ -336,46 +356,43 @@ def train(texts: DataFrame, words) -> Mixer:
 
 
 def score(
-    docs: DataFrame, held_out, *, doc_id: str = "doc_id", text: str = "text", known: int = 1 << 18, words: int = 1 << 16
+    docs: DataFrame, held_out, *, doc_id: str = "doc_id", text: str = "text", words: int = 1 << 17
 ) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, n_bytes. Learns where ``held_out`` is false."""
     context = docs.sparkSession.sparkContext
     own = docs.select(F.col(doc_id).alias("d"), F.col(text).alias("t"), held_out.alias("h"))
     learned = own.where("NOT h").select("t")
     counts = count_tokens(learned)
-    vocab = context.broadcast(vocabulary(counts, known, words))
+    vocab = context.broadcast(vocabulary(counts, words))
     mixer = context.broadcast(train(learned, vocab))
     total, distinct = vocab.value.total, vocab.value.distinct
 
     def rate(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         v, m = vocab.value, mixer.value
-        n, ones = m.counts
-        table = _stretch((ones + np.float32(0.4)) / (n + np.float32(0.8))).astype(np.float32)
-        base = {w: (c, float(v.base(c))) for w, c in v.known.items()}
+        table = m.stretched()
         row = TaskContext.get().partitionId() << 33
         for batch in batches:
             at = 0
             for split in _batches(tokens(t) for t in batch["t"]):
-                logs = sum(m.log10(s, table, len(split)) for s in streams(split, v))
-                out = []
-                for t in split:
-                    seen, sure, low, rest = Counter(t), 0, 0.0, []
-                    seen[_END] += 1
-                    for w, k in seen.items():
-                        if w in base:
-                            sure += k
-                            low += k * base[w][1]
-                        else:
-                            rest.append({"token": w, "k": k})
-                    out.append((len(t) + 1, sure, low, rest))
+                coded, symbols, owner, rare, owners = runs(split, v)
+                rest: list[Counter[bytes]] = [Counter() for _ in split]
+                for w, d in zip(rare, owners):
+                    rest[d][w] += 1
+                size = np.array([len(t) + 1 for t in split])
                 part = batch.iloc[at : at + len(split)]
-                found = pd.DataFrame(out, columns=["n_tokens", "sure", "low", "rest"])
-                found.insert(0, "d", part["d"].to_numpy())
-                found.insert(1, "h", part["h"].to_numpy())
-                found["score"] = logs
-                found["n_bytes"] = [0 if not isinstance(t, str) else len(t.encode("utf-8", "surrogatepass")) for t in part["t"]]
-                found["row"] = row + np.arange(len(split))
-                yield found.astype({"sure": "int64", "low": "float64"})
+                yield pd.DataFrame(
+                    {
+                        "d": part["d"].to_numpy(),
+                        "h": part["h"].to_numpy(),
+                        "n_tokens": size,
+                        "sure": size - np.bincount(owners, minlength=len(split)),
+                        "low": np.bincount(owner, v.base_of[symbols] * (symbols != v.escape), len(split)),
+                        "rest": [[{"token": w, "k": k} for w, k in r.items()] for r in rest],
+                        "score": sum(m.log10(run, table, len(split)).astype(float) for run in coded),
+                        "n_bytes": [len(t.encode("utf-8", "surrogatepass")) if isinstance(t, str) else 0 for t in part["t"]],
+                        "row": row + np.arange(len(split)),
+                    }
+                )
                 at += len(split)
                 row += len(split)
 

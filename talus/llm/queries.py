@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from talus.llm import chat, decontaminate, language, mixing, packing, sanitize, simhash, vptree
+from talus.llm import bestfit, chat, decontaminate, language, mixing, packing, quality, sanitize, simhash, vptree
 from talus.llm.common import register, remainder, table
 
 _OP6 = r"""
@@ -118,3 +118,17 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("op4_logistic_mixing")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.score(table(spark, sf_dir, "documents"), remainder("doc_id", 5) == 1)
+
+
+@register("op1_pack_best_fit")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bestfit.pack_rows(table(spark, sf_dir, "documents"))
+
+
+@register("op3_quality_attention")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality.train(docs, table(spark, sf_dir, "labels"), remainder("doc_id", 3) != 1)
+    return quality.score(docs, model).select(
+        "doc_id", (remainder("doc_id", 3) == 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted")
+    )
