@@ -51,10 +51,12 @@ class Room:
     def take(self, need: int) -> tuple[int, int] | None:
         """(room, row) of the fullest row with room for ``need``; the row is no longer open."""
         i = need + self.leaves
-        while i and not self.any[i]:  # up, until a subtree to the right has an open row
-            i = 0 if i == 1 else i + 1 if i % 2 == 0 and self.any[i + 1] else i // 2
-        if i == 0:
-            return None
+        if not self.any[i]:  # up, until a subtree to the right has an open row
+            while i > 1 and (i % 2 or not self.any[i + 1]):
+                i //= 2
+            if i <= 1:
+                return None
+            i += 1
         while i < self.leaves:
             i = 2 * i if self.any[2 * i] else 2 * i + 1
         room = i - self.leaves
