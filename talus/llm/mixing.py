@@ -7,7 +7,7 @@ and then its bytes, which have a Huffman code of their own. So a text is a
 sequence of binary decisions, each at a node of a code.
 
 Three predictors see a decision in different contexts (words: none, the last
-word, the last two; bytes: the last one, two or three bytes of the word).
+word, the last two; bytes: the last two, three or four bytes of the word).
 Context and node are hashed to a slot that counts decisions and ones. The
 stretched predictions are weighted with weights chosen by a gate (the level in
 the code), squashed, and refined by an adaptive probability map over gate and
@@ -22,8 +22,7 @@ stay distributed. Only the ``words`` most frequent come to the driver;
 the others get their counts by a join.
 
 Scoring starts each text from the trained state and refines the mixture within
-the text, segment by segment, with a scale and a shift learned from the
-decisions before. The result is the sum
+the text, segment by segment, with a scale learned from the decisions before. The result is the sum
 of log10 probabilities, so total bits per byte are -score * log2(10) / bytes.
 
 A null text is empty: the end alone. Repeated rows count each time. Nothing to
@@ -45,11 +44,12 @@ from pyspark.sql import functions as F
 
 from talus.llm.common import cut
 
-SLOTS = 1 << 19  # for each predictor
+SLOTS = 1 << 18  # for each predictor
 PREDICTORS = 3
 GATES = 32  # 20 levels of the word code, 12 of the byte code
 _BLOCK = 1 << 12
-_BATCH = 200_000  # tokens
+_BATCH = 200_000  # tokens to learn from at once
+_SCORED = 50_000  # tokens to score at once
 _STEP = 1 << 15  # decisions for each move of the weights
 _BINS = 24
 _END = b""
@@ -95,7 +95,7 @@ class Vocabulary:
         listed = sorted(((w, c) for w, c in counts if w != _END), key=lambda x: (-x[1], x[0]))
         self.number = {w: i for i, (w, _) in enumerate(listed)}
         self.end, self.escape = len(listed), len(listed) + 1
-        ends = dict(counts).get(_END, 0)
+        self.ends = ends = dict(counts).get(_END, 0)
         rest = total - ends - sum(c for _, c in listed)
         self.word_code = _hashed(huffman([c for _, c in listed] + [ends + 1, max(rest, 0) + 1]), 0)
         letters = np.ones(256)
@@ -163,9 +163,10 @@ def runs(texts: list[list[bytes]], vocabulary: Vocabulary) -> tuple[list[Run], n
     data = np.frombuffer(b"".join([w + b" " for w in rare]), np.uint8)
     word = np.repeat(np.arange(len(rare)), [len(w) + 1 for w in rare])
     chars = data.astype(np.uint32) + np.uint32(1)
-    one, two, three = (_before(chars, word, n) for n in (1, 2, 3))
+    one, two, three, four = (_before(chars, word, n) for n in (1, 2, 3, 4))
     pair = one + (two << np.uint32(9))
-    contexts = [_mix(one + np.uint32(1 << 20)), _mix(pair + np.uint32(1 << 21)), _mix(pair + (three << np.uint32(18)) + np.uint32(1 << 29))]
+    triple = pair + (three << np.uint32(18))
+    contexts = [_mix(pair + np.uint32(1 << 20)), _mix(triple + np.uint32(1 << 29)), _mix(_mix(triple + np.uint32(1 << 30)) + four)]
     spelling = Run(vocabulary.byte_code, data.astype(np.int64), contexts, owner[spelled][word], range(20, GATES))
     return [words, spelling], symbols, owner, rare, owner[spelled]
 
@@ -237,23 +238,18 @@ class Mixer:
         order = np.argsort(segments, kind="stable")
         mixed, bits, owner, gates = mixed[order], bits[order], run.owner[places[order]], gates[order]
         edges = np.append(0, np.cumsum(np.bincount(segments)))
-        scale, shift = np.ones(texts, np.float32), np.zeros(texts, np.float32)
-        curve = np.tile(np.eye(2) * 400, (texts, 1, 1))
+        scale, curve = np.ones(texts, np.float32), np.full(texts, 400.0)
         n, ones = (m.ravel().astype(np.float32) for m in self.map)
         for a, b in zip(edges, edges[1:]):
             d, y, x, g = owner[a:b], bits[a:b], mixed[a:b], gates[a:b]
-            own = scale[d] * x + shift[d]
+            own = scale[d] * x
             plain = _squash(own)
             at = g + self._bin(own)
-            p = 0.5 * plain + 0.5 * (ones[at] + 16 * plain) / (n[at] + 16)
+            p = np.float32(0.5) * (plain + (ones[at] + np.float32(16) * plain) / (n[at] + np.float32(16)))
             total += np.bincount(d, np.log10(np.where(y == 1, p, 1 - p)), texts)
-            if b < len(bits):  # a Newton step of scale and shift, by text
-                error, spread = y - plain, plain * (1 - plain)
-                sums = [np.bincount(d, v, texts) for v in (spread * x * x, spread * x, spread, error * x, error)]
-                curve += np.stack([sums[0], sums[1], sums[1], sums[2]], -1).reshape(-1, 2, 2)
-                step = np.linalg.solve(curve, np.stack(sums[3:], -1)[..., None])[..., 0]
-                scale += step[:, 0].astype(np.float32)
-                shift += step[:, 1].astype(np.float32)
+            if b < len(bits):  # a Newton step of the scale of each text
+                curve += np.bincount(d, plain * (1 - plain) * x * x, texts)
+                scale += (np.bincount(d, (y - plain) * x, texts) / curve).astype(np.float32)
         return total
 
     def blocks(self, decisions: int) -> Iterator[tuple[int, bytes]]:
@@ -298,12 +294,12 @@ def _sum_blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"block": [now], "data": [total.tobytes()]})
 
 
-def _batches(texts: Iterator[list[bytes]]) -> Iterator[list[list[bytes]]]:
+def _batches(texts: Iterator[list[bytes]], most: int) -> Iterator[list[list[bytes]]]:
     own, size = [], 0
     for t in texts:
         own.append(t)
         size += len(t) + 1
-        if size >= _BATCH:
+        if size >= most:
             yield own
             own, size = [], 0
     if own:
@@ -344,7 +340,7 @@ def train(texts: DataFrame, words) -> Mixer:
 
     def learn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         mixer, decisions = Mixer(), 0
-        for own in _batches(tokens(t) for batch in batches for t in batch["t"]):
+        for own in _batches((tokens(t) for batch in batches for t in batch["t"]), _BATCH):
             for run in runs(own, words.value)[0]:
                 decisions += mixer.learn(run)
         if decisions:
@@ -373,7 +369,7 @@ def score(
         row = TaskContext.get().partitionId() << 33
         for batch in batches:
             at = 0
-            for split in _batches(tokens(t) for t in batch["t"]):
+            for split in _batches((tokens(t) for t in batch["t"]), _SCORED):
                 coded, symbols, owner, rare, owners = runs(split, v)
                 rest: list[Counter[bytes]] = [Counter() for _ in split]
                 for w, d in zip(rare, owners):
@@ -385,7 +381,7 @@ def score(
                         "d": part["d"].to_numpy(),
                         "h": part["h"].to_numpy(),
                         "n_tokens": size,
-                        "sure": size - np.bincount(owners, minlength=len(split)),
+                        "sure": size - np.bincount(owners, minlength=len(split)) - (v.ends == 0),
                         "low": np.bincount(owner, v.base_of[symbols] * (symbols != v.escape), len(split)),
                         "rest": [[{"token": w, "k": k} for w, k in r.items()] for r in rest],
                         "score": sum(m.log10(run, table, len(split)).astype(float) for run in coded),

@@ -70,8 +70,10 @@ def patterns(histogram: dict[int, int], size: int) -> list[tuple[int, tuple[int,
         left = histogram[length]
         while left:
             free = max((r for r, packs in room.items() if packs and r >= length), default=None)
-            if free is None:
-                room.setdefault(size - length, []).append((left, (length,)))
+            if free is None:  # new packs: each takes as many as it can
+                for count, each in ((left // (size // length), size // length), (1, left % (size // length))):
+                    if count and each:
+                        room.setdefault(size - each * length, []).append((count, (length,) * each))
                 break
             count, pack = room[free].pop()
             taken = min(count, left)
