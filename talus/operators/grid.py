@@ -15,7 +15,7 @@ from talus.operators.ranks import quantiles
 from talus.schema import CELL, INTERVAL
 
 HOT_CELL = 1_000_000
-MAX_HOT_CELLS = 10_000
+SALTS = 64
 STAGES = ("filled", "cleaned", "raw")
 
 
@@ -57,14 +57,12 @@ def grid_cells(
     ).where(F.col("z_idx").isNotNull())
 
     sizes = binned.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    total, largest = sizes.agg(F.sum("_n"), F.max("_n")).first()
-    limit = max(hot_cell, (total or 0) // MAX_HOT_CELLS)
+    largest = sizes.agg(F.max("_n")).first()[0]
     ordinary, crowded = binned, None
-    if (largest or 0) > limit:
-        # no more than MAX_HOT_CELLS keys can pass the limit, so they may be broadcast
-        hot = cut(sizes.where(F.col("_n") > limit).select(*keys))
-        ordinary = binned.join(F.broadcast(hot), keys, "left_anti")
-        crowded = binned.join(F.broadcast(hot), keys, "left_semi")
+    if (largest or 0) > hot_cell:
+        hot = cut(sizes.where(F.col("_n") > hot_cell).select(*keys))
+        ordinary = binned.join(hot, keys, "left_anti")
+        crowded = binned.join(hot, keys, "left_semi")
     cells = ordinary.groupBy(*keys).agg(
         F.median("m3c2").alias("dist"),
         F.mode("cluster_id", True).alias("cluster_id"),
@@ -123,13 +121,16 @@ def grid_run_report(stats: DataFrame) -> DataFrame:
 def densify(cells: DataFrame, polys: DataFrame, res: float, height: float, by: list[str] = tuple(INTERVAL)) -> DataFrame:
     """Every polygon and bin of each interval; cells without data are null.
 
-    The frame is generated from the polygon layer, interval by interval of the same site.
+    Polygons meet the intervals of their site. A site is dealt over ``SALTS``
+    keys, with its few intervals repeated for each, so no task gets a whole site.
     """
     by = list(by)
-    intervals = cells.select(*by).distinct()
+    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt")
+    intervals = cells.select(*by).distinct().select("*", salts)
     frame = (
-        polys.select("location", "polygon_id")
-        .join(intervals, "location")
+        polys.select("location", "polygon_id", F.pmod(F.hash("polygon_id"), F.lit(SALTS)).alias("_salt"))
+        .join(intervals, ["location", "_salt"])
+        .drop("_salt")
         .withColumn("z_idx", F.explode(F.sequence(F.lit(0), F.lit(bin_count(height, res) - 1))))
         .withColumn("z_low", z_low(F.col("z_idx"), res))
     )

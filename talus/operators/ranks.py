@@ -15,8 +15,7 @@ from pyspark.sql import functions as F
 from talus.operators.lineage import cut
 
 HOT_ROWS = 1_000_000
-MAX_HOT = 256  # groups above max(HOT_ROWS, total / MAX_HOT): no more than this many can exist
-MAX_BUCKETS = 8192
+MAX_BUCKETS = 1 << 16
 
 
 def _cuts(value: str, buckets: int) -> Column:
@@ -36,7 +35,7 @@ def _bucket(value: Column, cuts: Column, buckets: int) -> Column:
 
 
 def _placed(
-    rows: DataFrame, keys: DataFrame, by: list[str], value: str, order: list[str], measures: dict, hot_rows: int, max_hot: int
+    rows: DataFrame, keys: DataFrame, by: list[str], value: str, order: list[str], measures: dict, hot_rows: int
 ) -> DataFrame:
     """``rows`` with, for every measure, the sum over earlier rows of the group and over the whole group.
 
@@ -46,17 +45,16 @@ def _placed(
     has to be cut into buckets, and into how many.
     """
     sizes = keys.groupBy(*by).agg(F.count(F.lit(1)).alias("_m"))
-    total, largest = sizes.agg(F.sum("_m"), F.max("_m")).first()
-    limit = max(hot_rows, (total or 0) // max_hot)
+    largest = sizes.agg(F.max("_m")).first()[0]
     parts, split, offsets = list(by), rows, None
-    if (largest or 0) > limit:
+    if (largest or 0) > hot_rows:
         parts = by + ["_bucket"]
         buckets = min(MAX_BUCKETS, 1 << (max(2, largest // hot_rows)).bit_length())
         if by:
-            hot = sizes.where(F.col("_m") > limit).select(*by)
-            crowded = keys.join(F.broadcast(hot), by, "left_semi")
+            hot = sizes.where(F.col("_m") > hot_rows).select(*by)
+            crowded = keys.join(hot, by, "left_semi")
             cuts = cut(crowded.groupBy(*by).agg(_cuts(value, buckets).alias("_cuts")))
-            mark = lambda df: df.join(F.broadcast(cuts), by, "left")
+            mark = lambda df: df.join(cuts, by, "left")
         else:
             cuts = cut(keys.agg(_cuts(value, buckets).alias("_cuts")))
             mark = lambda df: df.withColumn("_cuts", cuts.scalar())
@@ -89,7 +87,7 @@ def _placed(
 
 
 def ranked(
-    df: DataFrame, by: list[str], value: str, sums: bool = False, hot_rows: int = HOT_ROWS, max_hot: int = MAX_HOT
+    df: DataFrame, by: list[str], value: str, sums: bool = False, hot_rows: int = HOT_ROWS
 ) -> DataFrame:
     """One row per group and distinct value.
 
@@ -103,11 +101,11 @@ def ranked(
     measures = {("before", "total"): F.col("n")}
     if sums:
         measures[("sum_before", "sum_total")] = F.col("n") * F.col(value)
-    return _placed(counts, counts, by, value, [value], measures, hot_rows, max_hot)
+    return _placed(counts, counts, by, value, [value], measures, hot_rows)
 
 
 def row_ranks(
-    df: DataFrame, by: list[str], value: str, tie: str | None = None, hot_rows: int = HOT_ROWS, max_hot: int = MAX_HOT
+    df: DataFrame, by: list[str], value: str, tie: str | None = None, hot_rows: int = HOT_ROWS
 ) -> DataFrame:
     """Every row with its 0-based ``rank`` in the group and the group's ``total``.
 
@@ -120,14 +118,13 @@ def row_ranks(
     copies = None
     if tie is not None:
         counts = keys.groupBy(*by, value).agg(F.count(F.lit(1)).alias("_c"))
-        most, total = counts.agg(F.max("_c"), F.sum("_c")).first()
-        copies = (most or 0) > max(hot_rows, (total or 0) // max_hot)
+        copies = (counts.agg(F.max("_c")).first()[0] or 0) > hot_rows
     if not copies:
         order = [value] if tie is None else [value, tie]
-        return _placed(rows, keys, by, value, order, {("rank", "total"): one}, hot_rows, max_hot)
+        return _placed(rows, keys, by, value, order, {("rank", "total"): one}, hot_rows)
     # one value alone would fill a bucket: rank the values, then the copies of each
-    rows = rows.join(ranked(df, by, value, hot_rows=hot_rows, max_hot=max_hot), by + [value])
-    inside = row_ranks(rows.drop("total"), by + [value], tie, None, hot_rows, max_hot).withColumnRenamed("total", "_copies")
+    rows = rows.join(ranked(df, by, value, hot_rows=hot_rows), by + [value])
+    inside = row_ranks(rows.drop("total"), by + [value], tie, None, hot_rows).withColumnRenamed("total", "_copies")
     totals = cut(df.where(F.col(value).isNotNull()).groupBy(*by).agg(F.count(F.lit(1)).alias("total")))
     inside = inside.withColumn("rank", F.col("before") + F.col("rank"))
     out = inside.join(totals, by) if by else inside.withColumn("total", totals.scalar())

@@ -278,10 +278,9 @@ def event_series(spark, d):
 
 
 @query("blank_intervals", sql("cells dense clean", f"""
-    SELECT {KEYS}, 0.0::DOUBLE AS volume, 'Zero Volume' AS reason FROM (SELECT {KEYS}, sum(coalesce(dist, 0)) AS v FROM cleaned WHERE polygon_id % 10 = 3 AND z_idx > 20 GROUP BY ALL) WHERE v = 0"""))
+    SELECT {KEYS}, 0.0::DOUBLE AS volume, 'Zero Volume' AS reason FROM (SELECT {KEYS}, sum(coalesce(dist, 0)) AS v FROM cleaned GROUP BY ALL) WHERE v = 0"""))
 def blank_intervals(spark, d):
-    part = cleaned(spark, d).where("polygon_id % 10 = 3 AND z_idx > 20")
-    return events.blank_intervals(events.interval_volume(part))
+    return events.blank_intervals(events.interval_volume(cleaned(spark, d)))
 
 
 @query("cumulative_grid", sql("cells", f"""

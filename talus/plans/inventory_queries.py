@@ -236,17 +236,17 @@ def find_text(spark, d):
 @query(
     "path_parts",
     sql("surveys", """
-    SELECT '/Volumes/group/results/' || method || '/x/' || filename AS path, method AS location, filename,
+    SELECT '/new/root/results/' || method || '/x/' || filename AS path, method AS location, filename,
            survey_id * 7 / (1024.0 * 1024.0)::DOUBLE AS size_mb_raw FROM files JOIN surveys USING (survey_id, folder)
     """).replace("survey_id * 7 / (1024.0 * 1024.0)::DOUBLE AS size_mb_raw", "round(survey_id * 700000 / 1048576.0::DOUBLE, 6) AS size_mb, round(survey_id * 700000 / 1e9, 6) AS size_gb, strptime(left(filename, 8), '%Y%m%d')::DATE AS survey_date"),
 )
 def path_parts(spark, d):
     f = tables.survey_files(spark, d)
     raw = f.select(
-        F.concat(F.lit("/project/group/results/"), "method", F.lit("/x/"), "filename").alias("path"),
+        F.concat(F.lit("/old/root/results/"), "method", F.lit("/x/"), "filename").alias("path"),
         (F.col("survey_id") * 700000).alias("length"),
     )
-    moved = raw.withColumn("path", naming.normalize_path(F.col("path"), "/project/group", "/Volumes/group"))
+    moved = raw.withColumn("path", naming.normalize_path(F.col("path"), "/old/root", "/new/root"))
     return naming.file_meta(moved).withColumn("survey_date", naming.leading_date(F.col("filename"))).drop("length")
 
 

@@ -68,7 +68,7 @@ def points(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Point cloud; the record id is derived from all columns that tell two records apart."""
     return table(spark, sf_dir, "lineitem").selectExpr(
         RECORD_ID,
-        f"CASE WHEN l_partkey >= 0 THEN '{SITE}' END AS location",
+        f"'{SITE}' AS location",
         "cast(date_trunc('quarter', l_shipdate) AS date) AS survey_date",
         "l_partkey * 0.05D + 0.0125D AS x",
         "l_suppkey * 0.01D AS y",
@@ -84,7 +84,7 @@ def change_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Clustered change cloud between consecutive quarters."""
     return table(spark, sf_dir, "lineitem").selectExpr(
         RECORD_ID,
-        f"CASE WHEN l_partkey >= 0 THEN '{SITE}' END AS location",
+        f"'{SITE}' AS location",
         "cast(date_trunc('quarter', l_shipdate) AS date) AS d1",
         "cast(add_months(date_trunc('quarter', l_shipdate), 3) AS date) AS d2",
         "l_partkey * 0.05D + 0.0125D AS x",
@@ -100,7 +100,7 @@ def change_points(spark: SparkSession, sf_dir: str) -> DataFrame:
 def polygons(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Alongshore strips one metre wide."""
     ids = table(spark, sf_dir, "part").select(
-        F.expr("p_partkey div 20").alias("polygon_id"), F.expr(f"CASE WHEN p_partkey >= 0 THEN '{SITE}' END").alias("location")
+        F.expr("p_partkey div 20").alias("polygon_id"), F.lit(SITE).alias("location")
     ).distinct()
     corner = lambda dx, y: f"named_struct('x', cast(polygon_id + {dx} AS double), 'y', cast({y} AS double))"
     ring = f"array({corner(0, -1)}, {corner(1, -1)}, {corner(1, 1000)}, {corner(0, 1000)})"

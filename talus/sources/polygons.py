@@ -31,10 +31,11 @@ def select_layer(polygons: DataFrame, location: str, resolution: str) -> DataFra
 
 def read_ring_text(spark: SparkSession, path: str) -> list[tuple[float, float]]:
     """Crop polygon from lines ``x y 0.0``: a handful of vertices that parametrise a crop."""
+    whole = spark.read.option("wholetext", True).text(path)
+    lines = whole.select(F.posexplode(F.split("value", r"\r?\n")).alias("line", "value")).where(F.trim("value") != "")
     parts = F.split(F.trim("value"), r"\s+")
-    lines = spark.read.text(path).where(F.trim("value") != "")
-    rows = lines.select(parts[0].cast("double").alias("x"), parts[1].cast("double").alias("y"))
-    return [(r.x, r.y) for r in rows.collect()]
+    rows = lines.select("line", parts[0].cast("double").alias("x"), parts[1].cast("double").alias("y"))
+    return [(r.x, r.y) for r in rows.orderBy("line").collect()]
 
 
 def write_ring_text(spark: SparkSession, ring: list[tuple[float, float]], path: str) -> None:

@@ -14,10 +14,12 @@ TABLE = "location string, survey_date date, mop1 int, mop2 int, method string, f
 
 
 def read_table(spark: SparkSession, table: str) -> DataFrame:
-    """The survey table; empty before the first batch."""
+    """The survey table; empty before the first batch. Any other failure to read is raised."""
     try:
         return spark.read.schema(TABLE).parquet(table)
-    except AnalysisException:
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
         return spark.createDataFrame([], TABLE)
 
 

@@ -20,7 +20,7 @@ def skewed(spark):
 @pytest.mark.parametrize("by", [[], ["g"]])
 def test_ranked(skewed, by, hot_rows):
     pdf, df = skewed
-    got = ranks.ranked(df, by, "v", sums=True, hot_rows=hot_rows, max_hot=10).toPandas()
+    got = ranks.ranked(df, by, "v", sums=True, hot_rows=hot_rows).toPandas()
     groups = pdf.groupby(by)["v"] if by else [((), pdf["v"])]
     for key, vals in groups:
         mine = got[got.g == key[0]] if by else got
