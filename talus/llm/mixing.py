@@ -49,7 +49,7 @@ PREDICTORS = 3
 GATES = 32  # 20 levels of the word code, 12 of the byte code
 _BLOCK = 1 << 12
 _BATCH = 200_000  # tokens to learn from at once
-_SCORED = 50_000  # tokens to score at once
+_SCORED = 150_000  # tokens to score at once
 _STEP = 1 << 15  # decisions for each move of the weights
 _BINS = 24
 _END = b""
@@ -134,14 +134,23 @@ class Run:
         first, nodes, bits = self.code
         shift = np.uint32(32 - SLOTS.bit_length() + 1)
         start, length = first[self.symbols], first[self.symbols + 1] - first[self.symbols]
-        alive, depth = np.flatnonzero(length > 0), 0
-        while len(alive):
-            place = start[alive] + depth
+        alive, contexts, depth = np.arange(len(start)), self.contexts, 0
+        while True:
+            more = length > depth
+            if not more.all():  # few levels end codes; the others need no copies
+                alive, start, length = alive[more], start[more], length[more]
+                contexts = [c[more] for c in contexts]
+            if not len(alive):
+                return
+            place = start + depth
             node = nodes[place]
-            slots = [((c[alive] ^ node) * np.uint32(0x9E3779B1)) >> shift for c in self.contexts]
+            slots = [((c ^ node) * np.uint32(0x9E3779B1)) >> shift for c in contexts]
             yield self.gates[min(depth, len(self.gates) - 1)], alive, slots, bits[place]
             depth += 1
-            alive = alive[length[alive] > depth]
+
+    def part(self, at: np.ndarray) -> Run:
+        """Some of the symbols."""
+        return Run(self.code, self.symbols[at], [c[at] for c in self.contexts], self.owner[at], self.gates)
 
 
 def runs(texts: list[list[bytes]], vocabulary: Vocabulary) -> tuple[list[Run], np.ndarray, np.ndarray, list[bytes], np.ndarray]:
@@ -172,7 +181,8 @@ def runs(texts: list[list[bytes]], vocabulary: Vocabulary) -> tuple[list[Run], n
 
 
 def _squash(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-np.clip(x, -12, 12)))
+    half = np.float32(0.5)
+    return half + half * np.tanh(half * np.clip(x, -12, 12))
 
 
 class Mixer:
@@ -199,7 +209,9 @@ class Mixer:
         slots: list[list[np.ndarray]] = []
         ones: list[np.ndarray] = []
         for gate, _, level, bits in run.levels():
-            x = np.stack([table[p][level[p]] for p in range(PREDICTORS)])
+            x = np.empty((PREDICTORS, len(bits)), np.float32)
+            for p in range(PREDICTORS):
+                x[p] = table[p][level[p]]
             for a in range(0, len(bits), _STEP):
                 part, y = x[:, a : a + _STEP], bits[a : a + _STEP]
                 mixed = self.weights[gate].astype(np.float32) @ part
@@ -210,46 +222,49 @@ class Mixer:
                 self.map[0, gate] += np.bincount(at, minlength=_BINS)
                 self.map[1, gate] += np.bincount(at, y, _BINS)
             slots.append(level)
-            ones.append(bits == 1)
-        one = np.concatenate(ones) if ones else np.zeros(0, bool)
+            ones.append(bits)
+        one = np.concatenate(ones) if ones else np.zeros(0, np.uint8)
         for p in range(PREDICTORS if ones else 0):
             own = np.concatenate([level[p] for level in slots])
-            self.counts[0, p] += np.bincount(own, minlength=SLOTS).astype(np.uint32)
-            self.counts[1, p] += np.bincount(own[one], minlength=SLOTS).astype(np.uint32)
+            seen = np.bincount(own * np.uint32(2) + one, minlength=2 * SLOTS).reshape(-1, 2).astype(np.uint32)
+            self.counts[0, p] += seen.sum(axis=1, dtype=np.uint32)
+            self.counts[1, p] += seen[:, 1]
         return len(one)
 
     def log10(self, run: Run, table: np.ndarray, texts: int) -> np.ndarray:
         """Sum over the decisions of each text. table: stretched predictions of all slots."""
-        mixed, bits, places, gates = [], [], [], []
-        for gate, alive, level, own in run.levels():
-            x = np.stack([table[p][level[p]] for p in range(PREDICTORS)])
-            mixed.append(self.weights[gate].astype(np.float32) @ x)
-            bits.append(own)
-            places.append(alive)
-            gates.append(np.full(len(own), gate * _BINS))
         total = np.zeros(texts)
-        if not bits:
+        if not len(run.owner):
             return total
-        mixed, bits, places, gates = map(np.concatenate, (mixed, bits, places, gates))
         # segments of a text by its symbols: the first 64, the next 128, ...
         start = np.concatenate([[True], run.owner[1:] != run.owner[:-1]])
         first = np.maximum.accumulate(np.where(start, np.arange(len(start)), 0))
-        segments = np.log2((np.arange(len(start)) - first) // 64 + 1).astype(np.int8)[places]
+        segments = np.log2((np.arange(len(start)) - first) // 64 + 1).astype(np.int8)
         order = np.argsort(segments, kind="stable")
-        mixed, bits, owner, gates = mixed[order], bits[order], run.owner[places[order]], gates[order]
         edges = np.append(0, np.cumsum(np.bincount(segments)))
         scale, curve = np.ones(texts, np.float32), np.full(texts, 400.0)
-        n, ones = (m.ravel().astype(np.float32) for m in self.map)
+        weights, prior = self.weights.astype(np.float32), np.float32(16)
+        n, ones = self.map.astype(np.float32)
         for a, b in zip(edges, edges[1:]):
-            d, y, x, g = owner[a:b], bits[a:b], mixed[a:b], gates[a:b]
-            own = scale[d] * x
-            plain = _squash(own)
-            at = g + self._bin(own)
-            p = np.float32(0.5) * (plain + (ones[at] + np.float32(16) * plain) / (n[at] + np.float32(16)))
-            total += np.bincount(d, np.log10(np.where(y == 1, p, 1 - p)), texts)
-            if b < len(bits):  # a Newton step of the scale of each text
-                curve += np.bincount(d, plain * (1 - plain) * x * x, texts)
-                scale += (np.bincount(d, (y - plain) * x, texts) / curve).astype(np.float32)
+            own = run.part(order[a:b])
+            size = scale[own.owner]
+            logs, slope, bend = np.zeros((3, b - a), np.float32)
+            for gate, alive, level, y in own.levels():
+                x = sum(weights[gate, p] * table[p][level[p]] for p in range(PREDICTORS))
+                whole = len(alive) == b - a
+                mixed = x * (size if whole else size[alive])
+                plain = _squash(mixed)
+                at = self._bin(mixed)
+                p = np.float32(0.5) * (plain + (ones[gate][at] + prior * plain) / (n[gate][at] + prior))
+                rows = slice(None) if whole else alive
+                logs[rows] += np.log10(np.where(y, p, 1 - p))
+                if b < len(order):
+                    slope[rows] += (y - plain) * x
+                    bend[rows] += plain * (1 - plain) * x * x
+            total += np.bincount(own.owner, logs, texts)
+            if b < len(order):  # a Newton step of the scale of each text
+                curve += np.bincount(own.owner, bend, texts)
+                scale += (np.bincount(own.owner, slope, texts) / curve).astype(np.float32)
         return total
 
     def blocks(self, decisions: int) -> Iterator[tuple[int, bytes]]:
