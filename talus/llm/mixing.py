@@ -49,7 +49,7 @@ PREDICTORS = 3
 GATES = 32  # 20 levels of the word code, 12 of the byte code
 _BLOCK = 1 << 12
 _BATCH = 200_000  # tokens to learn from at once
-_SCORED = 150_000  # tokens to score at once
+_SCORED = 400_000  # tokens to score at once
 _STEP = 1 << 15  # decisions for each move of the weights
 _BINS = 24
 _END = b""
@@ -180,9 +180,9 @@ def runs(texts: list[list[bytes]], vocabulary: Vocabulary) -> tuple[list[Run], n
     return [words, spelling], symbols, owner, rare, owner[spelled]
 
 
-def _squash(x: np.ndarray) -> np.ndarray:
-    half = np.float32(0.5)
-    return half + half * np.tanh(half * np.clip(x, -12, 12))
+def _squash(clipped: np.ndarray) -> np.ndarray:
+    one = np.float32(1)
+    return one / (one + np.exp(-clipped))
 
 
 class Mixer:
@@ -200,8 +200,9 @@ class Mixer:
         return np.log((ones + np.float32(0.4)) / (n - ones + np.float32(0.4)))
 
     @staticmethod
-    def _bin(mixed: np.ndarray) -> np.ndarray:
-        return np.clip((mixed + 12) * (_BINS / 24), 0, _BINS - 1).astype(np.int64)
+    def _bin(clipped: np.ndarray) -> np.ndarray:
+        """Bin of a mixed prediction; the upper end of the range is one more."""
+        return ((clipped + 12) * (_BINS / 24)).astype(np.int32)
 
     def learn(self, run: Run) -> int:
         """Predicts, then moves the weights by an online Newton step every ``_STEP`` decisions, then counts."""
@@ -211,14 +212,15 @@ class Mixer:
         for gate, _, level, bits in run.levels():
             x = np.empty((PREDICTORS, len(bits)), np.float32)
             for p in range(PREDICTORS):
-                x[p] = table[p][level[p]]
+                x[p] = table[p].take(level[p], mode="clip")  # slots are within the table; the mode is the fast one
             for a in range(0, len(bits), _STEP):
                 part, y = x[:, a : a + _STEP], bits[a : a + _STEP]
-                mixed = self.weights[gate].astype(np.float32) @ part
+                mixed = np.clip(self.weights[gate].astype(np.float32) @ part, -12, 12)
                 p = _squash(mixed)
-                self.curve[gate] = 0.999 * self.curve[gate] + (part * (p * (1 - p))) @ part.T
+                bent = part * (p * (1 - p))
+                self.curve[gate] = 0.999 * self.curve[gate] + np.stack([bent @ row for row in part])
                 self.weights[gate] += np.linalg.solve(self.curve[gate] + np.eye(PREDICTORS), part @ (y - p))
-                at = self._bin(mixed)
+                at = np.minimum(self._bin(mixed), _BINS - 1)
                 self.map[0, gate] += np.bincount(at, minlength=_BINS)
                 self.map[1, gate] += np.bincount(at, y, _BINS)
             slots.append(level)
@@ -243,25 +245,33 @@ class Mixer:
         order = np.argsort(segments, kind="stable")
         edges = np.append(0, np.cumsum(np.bincount(segments)))
         scale, curve = np.ones(texts, np.float32), np.full(texts, 400.0)
-        weights, prior = self.weights.astype(np.float32), np.float32(16)
-        n, ones = self.map.astype(np.float32)
+        weights, half, prior = self.weights.astype(np.float32), np.float32(0.5), np.float32(16)
+        # the refined prediction is half the plain one, half the map's: lift + keep * plain, by bin (the upper end is one more)
+        n, ones = np.pad(self.map, ((0, 0), (0, 0), (0, 1)), "edge").astype(np.float32)
+        keep, lift = half + half * prior / (n + prior), half * ones / (n + prior)
         for a, b in zip(edges, edges[1:]):
             own = run.part(order[a:b])
             size = scale[own.owner]
-            logs, slope, bend = np.zeros((3, b - a), np.float32)
-            for gate, alive, level, y in own.levels():
-                x = sum(weights[gate, p] * table[p][level[p]] for p in range(PREDICTORS))
+            slope, bend = np.zeros((2, b - a), np.float32)
+            logs, chance = np.zeros(b - a), np.ones(b - a)
+            for depth, (gate, alive, level, y) in enumerate(own.levels()):
+                x = weights[gate, 0] * table[0].take(level[0], mode="clip")
+                for p in range(1, PREDICTORS):
+                    x += weights[gate, p] * table[p].take(level[p], mode="clip")
                 whole = len(alive) == b - a
-                mixed = x * (size if whole else size[alive])
+                mixed = np.clip(x * (size if whole else size[alive]), -12, 12)
                 plain = _squash(mixed)
                 at = self._bin(mixed)
-                p = np.float32(0.5) * (plain + (ones[gate][at] + prior * plain) / (n[gate][at] + prior))
+                p = lift[gate].take(at, mode="clip") + keep[gate].take(at, mode="clip") * plain
                 rows = slice(None) if whole else alive
-                logs[rows] += np.log10(np.where(y, p, 1 - p))
+                chance[rows] *= np.abs((1 - y) - p)  # p of a one, 1 - p of a zero
+                if depth % 32 == 31:  # before a product of so many can vanish
+                    logs += np.log10(chance)
+                    chance[:] = 1
                 if b < len(order):
                     slope[rows] += (y - plain) * x
                     bend[rows] += plain * (1 - plain) * x * x
-            total += np.bincount(own.owner, logs, texts)
+            total += np.bincount(own.owner, logs + np.log10(chance), texts)
             if b < len(order):  # a Newton step of the scale of each text
                 curve += np.bincount(own.owner, bend, texts)
                 scale += (np.bincount(own.owner, slope, texts) / curve).astype(np.float32)
