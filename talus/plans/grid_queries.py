@@ -33,7 +33,8 @@ def fine_cells(spark, d):
 
 
 def two_resolutions(spark, d):
-    return cells(spark, d).unionByName(fine_cells(spark, d))
+    points = cut(placed(spark, d))
+    return grid.grid_cells(points, 1.0, 30.0).unionByName(grid.grid_cells(points, 0.25, 30.0))
 
 
 def dense(spark, d):
@@ -124,11 +125,14 @@ def grid_long(spark, d):
     return grid.to_long(wide, KEYS.split(", ") + ["polygon_id"], 1.0, "dist")
 
 
-@query("elevation_rows", sql("cells", " SELECT mode, z_idx, " + ", ".join(
-    f'round(sum(CASE WHEN polygon_id = {p} THEN dist END), 6) AS "{p}"' for p in range(5)) + " FROM cells GROUP BY mode, z_idx"))
+@query("elevation_rows", sql("cells", " SELECT mode, (polygon_id // 10)::BIGINT AS block, z_idx, " + ", ".join(
+    f'round(sum(CASE WHEN polygon_id % 10 = {p} THEN dist END), 6) AS "{p}"' for p in range(10)) + " FROM cells GROUP BY ALL"))
 def elevation_rows(spark, d):
-    total = grid.cumulative_grid(cells(spark, d))
-    return grid.to_elevation_rows(total, "cum_dist", list(range(5)), ["mode"])
+    # ten polygons a row, so that the columns stay the same however long the layer is
+    total = grid.cumulative_grid(cells(spark, d)).withColumn("block", F.expr("polygon_id div 10"))
+    return grid.to_elevation_rows(
+        total.withColumn("polygon_id", F.col("polygon_id") % 10), "cum_dist", list(range(10)), ["mode", "block"]
+    )
 
 
 @query("vertical_cutoff", sql("cells dense clean", f"""
@@ -322,18 +326,18 @@ def rolling_rate(spark, d):
 
 
 _BOTH = f"""
-    , both_ AS (SELECT * FROM cells UNION ALL SELECT * FROM fine)
+    , both_ AS (SELECT * FROM cells UNION ALL SELECT * FROM fine_whole)
 """
 
 
-@query("resolution_compare", sql("cells fine", _BOTH + f"""
+@query("resolution_compare", sql("cells fine_whole", _BOTH + f"""
     SELECT location, mode, d1, d2, {r(f'sum(dist * {AREA}) FILTER (resolution = 0.25)', 'vol_25cm')}, {r(f'sum(dist * {AREA}) FILTER (resolution = 1.0)', 'vol_100cm')}
     FROM both_ GROUP BY ALL"""))
 def resolution_compare(spark, d):
     return series.resolution_compare(two_resolutions(spark, d), [0.25, 1.0])
 
 
-@query("top_intervals", sql("cells fine", _BOTH + f"""
+@query("top_intervals", sql("cells fine_whole", _BOTH + f"""
     , vol AS (SELECT {KEYS}, round(sum(dist * {AREA}), 9) AS volume FROM both_ GROUP BY ALL)
     SELECT {KEYS}, {r('volume', 'volume')}, rank::INTEGER AS rank FROM (SELECT *, row_number() OVER (PARTITION BY resolution, mode ORDER BY volume DESC, d1, d2) AS rank FROM vol) WHERE rank <= 15"""))
 def top_intervals(spark, d):

@@ -270,22 +270,22 @@ def m3c2(spark, d):
 @query("beach_model")
 def beach_model(spark, d):
     points = tables.points(spark, d)
-    fitted, scaler, scored = model.train_beach_model(points, seed=1, trees=20, depth=8)
+    fitted, scaler, scored = model.train_beach_model(points, seed=1)
     return stats.evaluate(scored)
 
 
 @query("beach_removal")
 def beach_removal(spark, d):
     points = tables.points(spark, d)
-    fitted, scaler, _ = model.train_beach_model(points, seed=1, trees=10, depth=8)
-    ref = sampling.sample_n(points.select("point_id", "intensity"), 1000, "point_id", 3)
+    fitted, scaler, _ = model.train_beach_model(points, seed=1)
+    ref = sampling.sample_n(points.select("point_id", "intensity"), 100_000, "point_id", 3)
     return model.removal_stats(model.score(points, fitted, scaler, ref), ["survey_date"])
 
 
 @query("cross_validate")
 def cross_validate(spark, d):
     data, _ = model.prepare(tables.points(spark, d), 1)
-    return model.cross_validate(data, trees=10, depth=6)
+    return model.cross_validate(data)
 
 
 @query("intensity_rank", sql("points", """
@@ -308,10 +308,10 @@ def first_member_numbers(spark, d):
 
 @query("vegetation_removal")
 def vegetation_removal(spark, d):
-    # uneven surroundings stand for vegetation; a third of the labels is turned over
-    shaped = change.shape_features(tables.cloud3d(spark, d), [1.0, 2.0])
+    # uneven surroundings stand for vegetation; a tenth of the labels is turned over
+    shaped = cut(change.shape_features(tables.cloud3d(spark, d), [1.0, 2.0]))
     uneven = F.col("p1_200cm") < 0.6
-    marked = cut(shaped.withColumn("label", (uneven != (F.col("point_id") % 3 == 0)).cast("int")))
+    marked = cut(model.stratified_split(shaped.withColumn("label", (uneven != (F.col("point_id") % 10 == 0)).cast("int"))))
     names = ["p1_100cm", "p2_100cm", "p1_200cm", "p2_200cm"]
-    fitted = model.vegetation_classifier(names).fit(marked)
-    return model.remove_vegetation(marked.drop("label"), fitted, 0.6).select("point_id", "p1_100cm", "p1_200cm")
+    fitted = model.vegetation_classifier(names).fit(marked.where("NOT is_test"))
+    return model.remove_vegetation(marked.where("is_test").drop("label"), fitted).select("point_id", "p1_100cm", "p1_200cm")

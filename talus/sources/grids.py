@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.utils import AnalysisException
 
 from talus.functions.naming import base_name, parse_interval, resolution_metres
 from talus.operators.grid import to_long, to_wide
@@ -55,14 +56,16 @@ def write_grid_csv(dense: DataFrame, path: str, kind: str, res: float, height: f
 
 def read_cutoffs(spark: SparkSession, candidates: list[str], location: str) -> DataFrame | None:
     """Cliff tops from the first candidate that exists; ``None`` when none does."""
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
     for path in candidates:
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        if p.getFileSystem(conf).exists(p):
+        try:
             raw = spark.read.csv(path, header=True)
-            return raw.select(
-                F.lit(location).alias("location"),
-                F.col("Polygon_ID").cast("double").cast("long").alias("polygon_id"),
-                F.col("CliffTop_Z").try_cast("double").alias("cliff_top_z"),
-            )
+        except AnalysisException as error:
+            if error.getCondition() != "PATH_NOT_FOUND":
+                raise
+            continue
+        return raw.select(
+            F.lit(location).alias("location"),
+            F.col("Polygon_ID").cast("double").cast("long").alias("polygon_id"),
+            F.col("CliffTop_Z").try_cast("double").alias("cliff_top_z"),
+        )
     return None
