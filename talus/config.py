@@ -18,8 +18,9 @@ MOP_RANGES = {
     "Blacks": (520, 567),
 }
 
-# site -> grid height in metres
+# site -> grid height in metres; sites that are not listed use DEFAULT_HEIGHT
 GRID_HEIGHTS = {"DelMar": 30.0, "SanElijo": 40.0, "Solana": 50.0, "Encinitas": 50.0, "Torrey": 75.0, "Blacks": 100.0}
+DEFAULT_HEIGHT = 30.0
 
 # instrument label -> name fragments; the first rule that matches wins
 SENSOR_RULES = (
@@ -71,9 +72,7 @@ RESOLUTIONS = {
 
 
 def grid_height(location: str) -> float:
-    if location not in GRID_HEIGHTS:
-        raise ValueError(f"no grid height for {location}")
-    return GRID_HEIGHTS[location]
+    return GRID_HEIGHTS.get(location, DEFAULT_HEIGHT)
 
 
 def min_change(location: str) -> float:
