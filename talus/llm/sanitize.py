@@ -6,15 +6,16 @@ running sum over the texts between matches and the matches themselves, taken
 in blocks, so a long text with many matches stays cheap.
 
 The values found are the protected entities. A term (three letters or more, in
-lower case) within ``reach`` characters of an entity reveals it as far as the
-corpus says so: with document frequencies over all N documents,
+lower case) in the same document, however far off, reveals an entity as far as
+the corpus says so: with document frequencies over all N documents,
 
     PMI(e; t) = log2(N * df(e, t) / (df(e) * df(t))),  IC(e) = log2(N / df(e)),
 
 and the disclosure is PMI / IC: 1 means that who sees t knows e. Pairs seen in
 fewer than ``support`` documents prove nothing. From ``generalise`` on, a term
-becomes ``[WORD]``; from ``remove`` on, it goes altogether. Terms that lie in
-or touch a pattern span are left to it. An entity in every document is no
+becomes ``[WORD]``; from ``remove`` on, it goes altogether, wherever it stands
+in a document that holds the entity. Occurrences that lie in or touch a pattern
+span are left to it. An entity in every document is no
 secret.
 
 A null text is empty. Copies count as documents. Spans depend on the text and
@@ -40,6 +41,7 @@ PATTERNS = {
 MASKS = {"email": "[EMAIL]", "ip": "[IP]", "card": "[CARD]", "phone": "[PHONE]"}
 _TERM = r"\p{L}{3,}"
 _BLOCK = 256
+_SALTS = 32
 _SPAN = "array<struct<start:bigint,end:bigint,value:string,left:string,right:string>>"
 
 
@@ -132,57 +134,72 @@ def _digest(text: str) -> Column:
     return F.sha2(F.col(text), 256)
 
 
-def entities(docs: DataFrame, *, doc_id: str, text: str, reach: int) -> DataFrame:
-    """Stored: id, digest of the text, and one list of spans for each kind."""
+def _words(text: Column) -> Column:
+    """The distinct terms of a text."""
+    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(_TERM), F.lit(0)), lambda w: F.lower(w)))
+
+
+def entities(docs: DataFrame, *, doc_id: str, text: str) -> DataFrame:
+    """Stored: id, digest of the text, one list of spans for each kind, and the terms of a text that has spans."""
     own = docs.select(F.col(doc_id).alias("doc"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     own = own.withColumn("digest", _digest("text"))
-    found = pattern_spans(own, "text", {k: k for k in PATTERNS}, reach)
-    return cut(found.select("doc", "digest", F.monotonically_increasing_id().alias("row"), *PATTERNS))
-
-
-def _terms(side: Column, offset: Column, open_end: str, reach: int) -> Column:
-    """Terms of a text beside an entity. One that the window may have cut is left out."""
-    words = F.regexp_extract_all(side, F.lit(_TERM), F.lit(0))
-    spans = placed(F.split(side, _TERM, -1), words, 0)
-    if open_end == "left":
-        whole = F.filter(spans, lambda s: (s.start > 0) | (F.length(side) < reach))
-    else:
-        whole = F.filter(spans, lambda s: (s.end < F.length(side)) | (F.length(side) < reach))
-    return F.transform(
-        whole, lambda s: F.struct(F.lower(s.value).alias("term"), (s.start + offset).alias("start"), (s.end + offset).alias("end"))
+    found = pattern_spans(own, "text", {k: k for k in PATTERNS}, 0)
+    held = F.size(F.concat(*[F.transform(F.col(k), lambda s: s.start) for k in PATTERNS])) > 0
+    return cut(found.select("doc", "digest", *PATTERNS, F.when(held, _words(F.col("text"))).alias("words")))
+
+
+def _places(gaps: Column, values: Column, risk: Column, base: Column) -> Column:
+    """Every occurrence of a risky term that no pattern span holds or touches, in order."""
+    spans = placed(gaps, values, 0)
+    known = F.transform(
+        spans, lambda s: F.struct(s.start.alias("start"), s.end.alias("end"), F.try_element_at(risk, F.lower(s.value)).alias("disclosure"))
     )
+    risky = F.filter(known, lambda s: s.disclosure.isNotNull())
+    return F.filter(risky, lambda s: ~F.exists(base, lambda b: (b.start <= s.end) & (b.end >= s.start)))
 
 
-def neighbours(found: DataFrame, reach: int) -> DataFrame:
-    """Stored: each term beside each entity (row, digest, entity, term, start, end)."""
-    every = _each(lambda kind: lambda s: F.struct(F.lit(kind).alias("kind"), s.alias("s")))
-    base = F.transform(every, lambda e: F.struct(e["s"].start.alias("start"), e["s"].end.alias("end")))
-    flat = found.where(F.size(every) > 0).select("row", "digest", base.alias("base"), F.explode(every).alias("e"))
-    flat = flat.select("row", "digest", "base", F.concat_ws(":", "e.kind", F.lower("e.s.value")).alias("entity"), "e.s.*")
-    left = _terms(F.col("left"), F.col("start") - F.length("left"), "left", reach)
-    right = _terms(F.col("right"), F.col("end"), "right", reach)
-    terms = flat.select("row", "digest", "base", "entity", F.explode(F.concat(left, right)).alias("t"))
-    free = ~F.exists("base", lambda b: (b.start <= F.col("t.end")) & (b.end >= F.col("t.start")))
-    return cut(terms.where(free).select("row", "digest", "entity", "t.*"))
-
-
-def disclosing_terms(
-    docs: DataFrame, *, doc_id: str, text: str, reach: int, support: int, generalise: float
-) -> tuple[DataFrame, DataFrame]:
-    """The stored entities by document, and (digest, spans) of the terms that disclose one."""
-    found = entities(docs, doc_id=doc_id, text=text, reach=reach)
-    near = neighbours(found, reach)
+def disclosing_terms(docs: DataFrame, *, doc_id: str, text: str, support: int, generalise: float) -> tuple[DataFrame, DataFrame]:
+    """The stored entities by document, and (digest, spans) of the terms that disclose one.
+
+    Copies of a text are counted together. A pair can reach ``generalise`` only
+    if df(t) <= N^(1 - generalise) * df(e)^generalise, since df(e, t) is no more
+    than either; other pairs are left out before they are joined.
+    """
+    found = entities(docs, doc_id=doc_id, text=text)
     total = found.agg(F.count(F.lit(1)).alias("N")).first().N
     every = _each(lambda kind: lambda s: F.concat_ws(":", F.lit(kind), F.lower(s.value)))
-    df_entity = found.select(F.explode(F.array_distinct(every)).alias("entity")).groupBy("entity").agg(F.count(F.lit(1)).alias("de"))
-    words = F.array_distinct(F.regexp_extract_all(F.lower(F.col(text)), F.lit(_TERM), F.lit(0)))
-    df_term = docs.select(F.explode(words).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("dt"))
-    df_pair = near.select("row", "entity", "term").distinct().groupBy("entity", "term").agg(F.count(F.lit(1)).alias("det"))
-    pairs = df_pair.where(F.col("det") >= support).join(df_entity, "entity").join(df_term, "term")
+    base = _each(lambda kind: lambda s: F.struct(s.start.alias("start"), s.end.alias("end")))
+    texts = cut(
+        found.where(F.col("words").isNotNull())
+        .select("digest", F.array_distinct(every).alias("entities"), base.alias("base"), "words")
+        .groupBy("digest")
+        .agg(F.count(F.lit(1)).alias("copies"), *[F.first(c).alias(c) for c in ("entities", "base", "words")])
+    )
+
+    def most(de: Column) -> Column:
+        return F.pow(F.lit(float(total)), F.lit(1 - generalise)) * F.pow(de, F.lit(generalise)) * (1 + 1e-9)
+
+    single = texts.select("digest", "copies", F.explode("entities").alias("entity"))
+    df_entity = single.groupBy("entity").agg(F.sum("copies").alias("de")).where((F.col("de") >= support) & (F.col("de") < total))
+    salts = F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(_SALTS - 1).cast("bigint")))
+    salted = single.withColumn("salt", F.pmod(F.xxhash64("digest"), F.lit(_SALTS).cast("bigint")))
+    holders = cut(salted.join(df_entity.select("entity", "de", salts.alias("salt")), ["entity", "salt"]).drop("salt"))
+    top = holders.agg(F.max("de").alias("de")).first().de or 0
+    df_term = docs.select(F.explode(_words(F.col(text))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("dt"))
+    df_term = df_term.where((F.col("dt") >= support) & (F.col("dt") <= most(F.lit(float(top)))))
+    terms = texts.join(holders.select("digest").distinct(), "digest", "left_semi").select("digest", F.explode("words").alias("term"))
+    pairs = cut(terms.join(df_term, "term").join(holders, "digest").where(F.col("dt") <= most(F.col("de"))))
+    df_pair = pairs.groupBy("entity", "term").agg(F.sum("copies").alias("det"), F.first("de").alias("de"), F.first("dt").alias("dt"))
     known = F.log2(F.lit(float(total)) * F.col("det") / (F.col("de") * F.col("dt"))) / F.log2(F.lit(float(total)) / F.col("de"))
-    risky = pairs.where(F.col("de") < total).select("entity", "term", known.alias("disclosure")).where(F.col("disclosure") >= generalise)
-    hits = near.join(risky, ["entity", "term"]).groupBy("digest", "start", "end").agg(F.max("disclosure").alias("disclosure"))
-    return found, hits.groupBy("digest").agg(F.sort_array(F.collect_list(F.struct("start", "end", "disclosure"))).alias("terms"))
+    risky = df_pair.where(F.col("det") >= support).select("entity", "term", known.alias("disclosure")).where(F.col("disclosure") >= generalise)
+    hits = pairs.select("digest", "entity", "term").join(risky, ["entity", "term"]).groupBy("digest", "term").agg(F.max("disclosure").alias("d"))
+    risk = cut(hits.groupBy("digest").agg(F.map_from_entries(F.collect_list(F.struct("term", "d"))).alias("risk")))
+    whole = docs.select(_digest(text).alias("digest"), F.col(text).alias("text")).join(risk.select("digest"), "digest", "left_semi")
+    whole = whole.groupBy("digest").agg(F.first("text").alias("text")).join(risk, "digest").join(texts.select("digest", "base"), "digest")
+    # columns of their own: inside a lambda they would be made anew for every term
+    parts = {"values": F.regexp_extract_all("text", F.lit(_TERM), F.lit(0)), "gaps": F.split("text", _TERM, -1)}
+    places = _places(F.col("gaps"), F.col("values"), F.col("risk"), F.col("base"))
+    return found, cut(whole.withColumns(parts).select("digest", places.alias("terms")))
 
 
 def _named(kind: str, spans: Column) -> Column:
@@ -194,12 +211,11 @@ def find_personal_data(
     *,
     doc_id: str = "doc_id",
     text: str = "text",
-    reach: int = 100,
     support: int = 2,
     generalise: float = 0.8,
 ) -> DataFrame:
     """One row per document: id, a list of spans for each kind, and ``terms``; as ``kind:start:end`` in base and spans."""
-    found, terms = disclosing_terms(docs, doc_id=doc_id, text=text, reach=reach, support=support, generalise=generalise)
+    found, terms = disclosing_terms(docs, doc_id=doc_id, text=text, support=support, generalise=generalise)
     base = F.concat(*[_named(k, F.col(k)) for k in PATTERNS])
     narrow = found.select("doc", "digest", *PATTERNS, base.alias("base"))
     none = F.array().cast("array<struct<start:bigint,end:bigint,disclosure:double>>")
@@ -244,7 +260,6 @@ def sanitise(
     *,
     doc_id: str = "doc_id",
     text: str = "text",
-    reach: int = 100,
     support: int = 2,
     generalise: float = 0.8,
     remove: float = 1.0,
@@ -253,7 +268,7 @@ def sanitise(
 
     A text without entities has no spans, so only the others are joined to theirs.
     """
-    found, terms = disclosing_terms(docs, doc_id=doc_id, text=text, reach=reach, support=support, generalise=generalise)
+    found, terms = disclosing_terms(docs, doc_id=doc_id, text=text, support=support, generalise=generalise)
     spans = _each(lambda kind: lambda s: F.struct(s.start.alias("start"), s.end.alias("end"), F.lit(MASKS[kind]).alias("mask")))
     own = found.where(F.size(spans) > 0).groupBy("digest").agg(*[F.first(k).alias(k) for k in PATTERNS])
     more = F.transform(

@@ -261,6 +261,45 @@ def test_sanitise_terms(spark):
     assert clean[100] == dict(own)[100] and clean[200] is None and clean[201] == "amber alone"
 
 
+def whole_document_terms(own, support=2, generalise=0.8):
+    """Spans of disclosing terms by document: plain counts over whole documents."""
+    import math
+    import re
+    from collections import Counter
+
+    word = re.compile(r"[^\W\d_]{3,}")
+    pairs, ent, term, held = Counter(), Counter(), Counter(), {}
+    for i, text in own:
+        spans = brute.base_spans(text)
+        entities = {f"{k}:{text[a:b].lower()}" for k in spans for a, b in spans[k]}
+        terms = {w.lower() for w in word.findall(text)}
+        held[i] = entities, [s for k in spans for s in spans[k]]
+        ent.update(entities)
+        term.update(terms)
+        pairs.update((e, t) for e in entities for t in terms)
+    n = len(own)
+    score = lambda e, t: math.log2(n * pairs[e, t] / (ent[e] * term[t])) / math.log2(n / ent[e])
+    for i, text in own:
+        entities, base = held[i]
+        bad = {t for e, t in pairs if e in entities and pairs[e, t] >= support and ent[e] < n and score(e, t) >= generalise}
+        free = lambda m: all(b < m.start() or m.end() < a for a, b in base)  # noqa: E731, B023
+        yield i, [m.span() for m in word.finditer(text) if m.group().lower() in bad and free(m)]
+
+
+def test_sanitise_whole_documents(spark):
+    """A term far from its entity is found, and every occurrence of it is masked."""
+    far = "plain filler words of no interest " * 20
+    own = [(i, f"Zebulon wrote. {far} mail zeb@host.org now. {far} regards Zebulon") for i in range(4)]
+    rnd = random.Random(6)
+    own += [(10 + i, " ".join(rnd.choice(["sun", "moon", "Tidal", "reef", "a@b.org", "c@d.org", "1.2.3.4", far]) for _ in range(9))) for i in range(30)]
+    own += [(100 + i, f"nothing here {far}") for i in range(60)]
+    df = spark.createDataFrame(own, "doc_id bigint, text string")
+    got = {r.doc_id: [(s.start, s.end) for s in r.terms] for r in sanitize.find_personal_data(df).collect()}
+    assert got == dict(whole_document_terms(own)) and len(got[0]) == 6
+    clean = {r.doc_id: r.text for r in sanitize.sanitise(df).collect()}
+    assert "Zebulon" not in clean[0] and "filler" in clean[0]
+
+
 def test_sanitise_masks_every_pattern_span(spark):
     own = [(1, "a b@c.de f 1.2.3.4 g 4111-1111-1111-1111 h +49 123 45678."), (2, "+4111111111111111 x"), (3, "no data"), (3, "b@c.de")]
     clean = sorted((r.doc_id, r.text) for r in sanitize.sanitise(spark.createDataFrame(own, "doc_id bigint, text string")).collect())
