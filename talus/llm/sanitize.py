@@ -42,7 +42,7 @@ MASKS = {"email": "[EMAIL]", "ip": "[IP]", "card": "[CARD]", "phone": "[PHONE]"}
 _TERM = r"\p{L}{3,}"
 _BLOCK = 256
 _SALTS = 32
-_SPAN = "array<struct<start:bigint,end:bigint,value:string,left:string,right:string>>"
+_SPAN = "array<struct<start:bigint,end:bigint,value:string>>"
 
 
 def _valid(kind: str, value: Column) -> Column:
@@ -65,16 +65,14 @@ def _may_hold(kind: str, text: Column) -> Column:
     return text.rlike(r"[0-9]\.[0-9]" if kind == "ip" else "[0-9][\\x20-]?[0-9]")
 
 
-def placed(gaps: Column, values: Column, reach: int) -> Column:
-    """Matches with offsets in code points, and up to ``reach`` characters of the texts beside them."""
+def placed(gaps: Column, values: Column) -> Column:
+    """Matches with offsets in code points."""
     rows = F.transform(
         values,
         lambda v, i: F.struct(
             v.alias("value"),
             F.length(F.get(gaps, i)).cast("bigint").alias("gap"),
             F.length(v).cast("bigint").alias("size"),
-            F.right(F.get(gaps, i), F.lit(reach)).alias("left"),
-            F.left(F.get(gaps, i + 1), F.lit(reach)).alias("right"),
         ),
     )
     count = F.ceil(F.size(values) / F.lit(_BLOCK)).cast("int")
@@ -91,7 +89,7 @@ def placed(gaps: Column, values: Column, reach: int) -> Column:
     def within(block: Column, first: Column) -> Column:
         def add(acc, r):
             start = acc["at"] + r.gap
-            span = F.struct(start.alias("start"), (start + r["size"]).alias("end"), r.value.alias("value"), r.left.alias("left"), r.right.alias("right"))
+            span = F.struct(start.alias("start"), (start + r["size"]).alias("end"), r.value.alias("value"))
             return F.struct((start + r["size"]).alias("at"), F.array_append(acc["all"], span).alias("all"))
 
         return F.aggregate(
@@ -111,8 +109,20 @@ def _each(make) -> Column:
     return F.concat(*[F.transform(F.col(k), make(k)) for k in PATTERNS])
 
 
+def _beside(text: Column, reach: int):
+    """A span with up to ``reach`` characters of the text on both sides, whatever else matches there."""
+
+    def add(s: Column) -> Column:
+        size = F.least(s.start, F.lit(reach)).cast("int")
+        left = F.substring(text, (s.start + 1).cast("int") - size, size)
+        right = F.substring(text, (s.end + 1).cast("int"), F.lit(reach))
+        return F.struct(s.start.alias("start"), s.end.alias("end"), s.value.alias("value"), left.alias("left"), right.alias("right"))
+
+    return add
+
+
 def pattern_spans(docs: DataFrame, text: str, names: dict[str, str], reach: int) -> DataFrame:
-    """Adds, for each kind, the spans that pass its test. ``text`` may not be null."""
+    """Adds, for each kind, the spans that pass its test, with the texts beside them if there is a reach. ``text`` may not be null."""
     values, gaps = dict(zip(PATTERNS, hidden(*PATTERNS))), dict(zip(PATTERNS, hidden(*PATTERNS)))
     none = F.array().cast("array<string>")
     docs = docs.withColumns(
@@ -125,8 +135,10 @@ def pattern_spans(docs: DataFrame, text: str, names: dict[str, str], reach: int)
         {gaps[k]: F.when(F.size(values[k]) > 0, F.split(F.col(text), p, -1)).otherwise(none) for k, p in PATTERNS.items()}
     )
     spans = {
-        names[k]: F.filter(placed(F.col(gaps[k]), F.col(values[k]), reach), _passes(k)) for k in PATTERNS
+        names[k]: F.filter(placed(F.col(gaps[k]), F.col(values[k])), _passes(k)) for k in PATTERNS
     }
+    if reach:
+        spans = {name: F.transform(s, _beside(F.col(text), reach)) for name, s in spans.items()}
     return docs.withColumns(spans).drop(*values.values(), *gaps.values())
 
 
@@ -150,7 +162,7 @@ def entities(docs: DataFrame, *, doc_id: str, text: str) -> DataFrame:
 
 def _places(gaps: Column, values: Column, risk: Column, base: Column) -> Column:
     """Every occurrence of a risky term that no pattern span holds or touches, in order."""
-    spans = placed(gaps, values, 0)
+    spans = placed(gaps, values)
     known = F.transform(
         spans, lambda s: F.struct(s.start.alias("start"), s.end.alias("end"), F.try_element_at(risk, F.lower(s.value)).alias("disclosure"))
     )

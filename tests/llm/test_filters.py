@@ -300,6 +300,20 @@ def test_sanitise_whole_documents(spark):
     assert "Zebulon" not in clean[0] and "filler" in clean[0]
 
 
+def test_sanitise_several_entities(spark):
+    """Neither short numbers nor other entities between an entity and a term hide the term."""
+    own = [(i, "Aurelia order 42 card 4111 1111 1111 1111 or a@b.org, c@d.org 17") for i in range(3)]
+    own += [(10 + i, "order 42 card or 17") for i in range(60)]
+    df = spark.createDataFrame(own, "doc_id bigint, text string")
+    got = {r.doc_id: [own[0][1][s.start : s.end] for s in r.terms] for r in sanitize.find_personal_data(df).collect() if r.doc_id < 3}
+    assert got == {i: ["Aurelia"] for i in range(3)}
+    spans = sanitize.pattern_spans(df.where("doc_id = 0"), "text", {k: k for k in sanitize.PATTERNS}, 30).first()
+    text = own[0][1]
+    for s in [*spans.card, *spans.email]:
+        assert (s.left, s.right) == (text[max(0, s.start - 30) : s.start], text[s.end : s.end + 30])
+    assert [len(spans.card), len(spans.email)] == [1, 2]
+
+
 def test_sanitise_masks_every_pattern_span(spark):
     own = [(1, "a b@c.de f 1.2.3.4 g 4111-1111-1111-1111 h +49 123 45678."), (2, "+4111111111111111 x"), (3, "no data"), (3, "b@c.de")]
     clean = sorted((r.doc_id, r.text) for r in sanitize.sanitise(spark.createDataFrame(own, "doc_id bigint, text string")).collect())
