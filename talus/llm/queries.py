@@ -5,7 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from talus.llm import bestfit, chat, decontaminate, language, mixing, packing, quality, sanitize, simhash, vptree
+from talus.llm import (
+    balance,
+    bestfit,
+    chat,
+    decontaminate,
+    infill,
+    language,
+    mixing,
+    packing,
+    quality,
+    repair,
+    sanitize,
+    simhash,
+    vptree,
+)
 from talus.llm.common import register, remainder, table
 
 _OP6 = r"""
@@ -132,3 +146,115 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, model).select(
         "doc_id", (remainder("doc_id", 3) == 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted")
     )
+
+
+_OP11 = r"""
+WITH RECURSIVE drawn AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+         xor(list_reduce(list_transform(string_split(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '), ''), lambda c: ascii(c)::BIGINT),
+             lambda crc, c: list_reduce(range(8), lambda v, b: CASE WHEN v % 2 = 1 THEN xor(v // 2, 3988292384) ELSE v // 2 END, xor(crc, c)), 4294967295::BIGINT),
+             4294967295) % 20 AS h
+  FROM conversations),
+damaged AS (
+  SELECT conv_id, turn, CASE h WHEN 4 THEN 'user' ELSE role END AS role,
+         CASE h WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+         unnest(range(CASE h WHEN 3 THEN 2 ELSE 1 END)) AS copy
+  FROM drawn WHERE h <> 0),
+placed AS (
+  SELECT conv_id, turn, role, text, row_number() OVER w AS place, lag(role[1]) OVER w || role[1] AS pair,
+         right(rtrim(text, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 1) AS stop
+  FROM damaged WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text)),
+faulty AS (
+  SELECT *, CASE WHEN stop = '' THEN 'blank' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY place) > 1 THEN 'duplicate' WHEN stop NOT IN ('.', '!', '?') THEN 'truncated' END AS fault,
+         CASE WHEN role[1] IN ('s', 'u', 'a') THEN role[1] ELSE 'x' END AS letter
+  FROM placed),
+counted AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0)::BIGINT AS gaps,
+         count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate,
+         count(*) FILTER (fault = 'truncated') AS truncated, count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal,
+         string_agg(CASE WHEN fault IN ('blank', 'duplicate') THEN '-' WHEN fault = 'truncated' THEN upper(letter) ELSE letter END, '' ORDER BY place) AS signs
+  FROM faulty GROUP BY conv_id),
+grammar(state, letter, next) AS (VALUES ('0', 's', 's'), ('0', 'u', 'u'), ('s', 'u', 'u'), ('u', 'a', 'a'), ('a', 'u', 'u')),
+added(state, more, edits, next) AS (
+  SELECT state, 0, '', state FROM (VALUES ('0'), ('s'), ('u'), ('a')) t(state)
+  UNION ALL SELECT state, 5, 'I', next FROM grammar WHERE letter <> 's'
+  UNION ALL SELECT g.state, 10, 'II', n.next FROM grammar g JOIN grammar n ON g.next = n.state WHERE g.letter <> 's' AND n.letter <> 's'),
+walk(conv_id, i, state, cost, audit) AS (
+  SELECT conv_id, 0::BIGINT, next, more::BIGINT, edits FROM counted, added WHERE state = '0'
+  UNION ALL
+  SELECT conv_id, i, state, cost, audit FROM (
+    SELECT *, row_number() OVER (PARTITION BY conv_id, state ORDER BY cost, audit) AS r FROM (
+      SELECT m.conv_id, m.i, a.next AS state, m.cost + a.more AS cost, m.audit || a.edits AS audit
+      FROM (
+        SELECT w.conv_id, i + 1 AS i, state, cost + 2 AS cost, audit || 'D' AS audit FROM walk w JOIN counted c USING (conv_id) WHERE i < length(signs)
+        UNION ALL
+        SELECT w.conv_id, i + 1, g.next, cost + CASE WHEN signs[i + 1] = upper(signs[i + 1]) THEN 5 ELSE 0 END + CASE WHEN lower(signs[i + 1]) = g.letter THEN 0 ELSE 1 END,
+               audit || CASE WHEN lower(signs[i + 1]) = g.letter THEN 'K' ELSE 'R' END
+        FROM walk w JOIN counted c USING (conv_id) JOIN grammar g ON g.state = w.state
+        WHERE i < length(signs) AND signs[i + 1] <> '-' AND (g.letter <> 's' OR lower(signs[i + 1]) = 's')
+      ) m JOIN added a ON a.state = m.state)) WHERE r = 1),
+best AS (
+  SELECT conv_id, cost, audit FROM (
+    SELECT w.*, row_number() OVER (PARTITION BY conv_id ORDER BY cost, audit) AS r
+    FROM walk w JOIN counted USING (conv_id) WHERE i = length(signs) AND state IN ('0', 'a')) WHERE r = 1),
+edits AS (
+  SELECT conv_id, pos, audit[pos] AS edit,
+         pos - length(replace(audit[1:pos], 'I', '')) AS inserted, length(replace(audit, 'D', '')) - length(replace(audit[1:pos], 'D', '')) AS left_after
+  FROM (SELECT conv_id, audit, unnest(range(1, length(audit) + 1)) AS pos FROM best)),
+repaired AS (
+  SELECT e.conv_id, string_agg(CASE WHEN edit = 'K' THEN f.role WHEN left_after % 2 = 1 THEN 'user' ELSE 'assistant' END || ':' ||
+                               CASE WHEN edit = 'I' THEN '' ELSE f.text END, chr(10) ORDER BY pos) AS said
+  FROM edits e LEFT JOIN faulty f ON f.conv_id = e.conv_id AND f.place = pos - inserted WHERE edit <> 'D' GROUP BY e.conv_id)
+SELECT conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate,
+       coalesce(truncated, 0)::BIGINT AS truncated, coalesce(illegal, 0)::BIGINT AS illegal, coalesce(cost, 0)::BIGINT AS cost,
+       coalesce(audit, '') AS audit, sha256(coalesce(said, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) LEFT JOIN counted USING (conv_id) LEFT JOIN best USING (conv_id) LEFT JOIN repaired USING (conv_id)
+"""
+
+
+@register("op11_conversation_repair", _OP11)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    broken = repair.damage(table(spark, sf_dir, "conversations"))
+    fixed = repair.repair(broken, present=F.col("present"))
+    said = F.array_join(F.transform("repaired", lambda t: F.concat(t.role, F.lit(":"), t.text)), "\n")
+    return fixed.withColumn("repaired", F.sha2(said, 256)).withColumnRenamed("repaired", "repaired_sha256")
+
+
+@register("op12_cube_mixture")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return balance.mix(table(spark, sf_dir, "documents"))
+
+
+_UNITS = r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+"
+_OP13 = rf"""
+WITH units AS (
+  SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '{_UNITS}') AS u,
+         [('0x' || substr(sha256('42:' || coalesce(doc_id::VARCHAR, '')), 8 * k - 7, 8))::BIGINT for k in [1, 2, 3, 4]] AS h
+  FROM documents),
+cuts AS (SELECT *, len(u) AS n, least(h[1] % (len(u) + 1), h[2] % (len(u) + 1)) AS a, greatest(h[1] % (len(u) + 1), h[2] % (len(u) + 1)) AS b FROM units),
+parts AS (
+  SELECT *, array_to_string(u[1:a], '') AS prefix, array_to_string(u[a + 1:b], '') AS middle, array_to_string(u[b + 1:], '') AS suffix,
+         CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h[3] % 100 >= 50 THEN 'plain'
+              WHEN h[4] % 100 < 80 THEN 'spm' ELSE 'psm' END AS form
+  FROM cuts)
+SELECT doc_id, n::BIGINT AS n, form, CASE WHEN form <> 'plain' THEN length(prefix)::BIGINT END AS prefix_chars,
+       CASE WHEN form <> 'plain' THEN length(middle)::BIGINT END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+                        ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+       sha256(text) AS restored_sha256
+FROM parts
+"""
+
+
+@register("op13_fill_in_middle", _OP13)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = infill.fill_in_middle(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return docs.select(
+        "doc_id",
+        "infill.n",
+        "infill.form",
+        "infill.prefix_chars",
+        "infill.middle_chars",
+        F.sha2("infill.output", 256).alias("output_sha256"),
+        F.sha2(infill.restored(F.col("infill.output"), F.col("infill.form")), 256).alias("restored_sha256"),
+    )
