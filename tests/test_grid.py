@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from talus.config import RESOLUTIONS
+from talus.functions import triangles
 from talus.functions.naming import change_columns
 from talus.functions.numeric import z_bin
 from talus.operators import events, grid, spatial
@@ -195,6 +196,64 @@ def test_fill_restores_a_plane(spark):
     assert stats.volume_change == pytest.approx(sum(plane(p, z) for p in range(12, 16) for z in range(4, 7)))
 
 
+def blobs(seed, wide, high):
+    """Two ragged clusters with gaps, a thin one and three cells far apart."""
+    rng = np.random.default_rng(seed)
+    rows = {}
+    for p, z in itertools.product(range(wide), range(high)):
+        left = abs(p - wide * 0.3) < wide * 0.22 and rng.random() < 0.25
+        right = 0.55 * wide < p < 0.9 * wide and z < high * 0.8 and not (0.65 * wide < p < 0.8 * wide and z > high * 0.2)
+        if left or right:
+            rows[p, z] = 1 if left else 2
+    for k in range(3):
+        rows[wide + 2 + 6 * k, high - 1 - (k % 2) * (high - 3)] = 3
+    value = lambda p, z: float(1 + rng.integers(1, 50) / 10)
+    return [(p, z, value(p, z) if (p, z) in rows else 0.0, rows.get((p, z), 0)) for p, z in itertools.product(range(wide + 20), range(high))]
+
+
+def brute_fill(rows, radius, buffer):
+    """Each hole by the whole triangulation of its nearest cluster."""
+    occupied = {(p, z): c for p, z, d, c in rows if d}
+    value = {(p, z): d for p, z, d, c in rows if d}
+    out = {}
+    shapes = {}
+    for c in set(occupied.values()):
+        points = [k for k, own in occupied.items() if own == c]
+        shape = triangles.Shape(points, (-np.inf, np.inf, -np.inf, np.inf), triangles.hull(points), radius, buffer)
+        shape.convex = not triangles.has_narrow(shape)
+        shapes[c] = shape, [value[k] for k in points]
+    for p, z, d, _ in rows:
+        if not d:
+            c = brute_nearest(occupied, (p, z))[3]
+            state, v = triangles.fill(*shapes[c], [(p, z)])[0]
+            if state == triangles.Shape.IN:
+                out[p, z] = (c, v)
+    return out, {c: s.convex for c, (s, _) in shapes.items()}
+
+
+def test_fill_does_not_depend_on_tiles(spark):
+    rows = blobs(3, 44, 26)
+    want, convex = brute_fill(rows, 4.0, 0.7)
+    assert convex == {1: False, 2: False, 3: True} and {c for c, _ in want.values()} == {1, 2, 3}
+    dense = cells(spark, rows)
+    for tile, offset in ((None, 0), (8, 5), (3, 1), (200, 0)):
+        filled = fill_holes(dense, 0.25, 0.7, min_volume=0.0, tile=tile, offset=offset).collect()
+        holes = {(p, z) for p, z, d, _ in rows if not d}
+        got = {(r.polygon_id, r.z_idx): (r.cluster_id, r.dist) for r in filled if (r.polygon_id, r.z_idx) in holes and r.dist}
+        assert got.keys() == want.keys()
+        assert all(got[k][0] == c and got[k][1] == pytest.approx(v) for k, (c, v) in want.items())
+
+
+def test_fill_of_three_cells_and_of_a_line(spark):
+    rows = [(0, 0, 3.0, 1), (30, 0, 3.0, 1), (15, 24, 3.0, 1), (60, 2, 5.0, 2), (64, 2, 5.0, 2), (70, 2, 5.0, 2)]
+    taken = {(p, z) for p, z, _, _ in rows}
+    rows += [(p, z, 0.0, 0) for p, z in itertools.product(range(75), range(25)) if (p, z) not in taken]
+    got = fill_holes(cells(spark, rows), 0.1, 0.2, min_volume=0.0).where("dist <> 0").collect()
+    inside = {(r.polygon_id, r.z_idx) for r in got}
+    assert (15, 8) in inside and {r.dist for r in got if r.cluster_id == 1} == {3.0}
+    assert {k for k in inside if k[0] >= 40} == {(60, 2), (64, 2), (70, 2)}
+
+
 def test_finished_grid_and_events(spark, tmp_path):
     rows = [(p, z, 0.5, 1) for p in range(3, 9) for z in range(2, 7) if (p, z) != (5, 4)]
     raw = cells(spark, rows).unionByName(cells(spark, [(4, 4, 0.3, 1), (5, 4, 0.3, 1), (30, 4, 0.2, 2)], "deposition"))
