@@ -152,12 +152,13 @@ def _words(text: Column) -> Column:
 
 
 def entities(docs: DataFrame, *, doc_id: str, text: str) -> DataFrame:
-    """Stored: id, digest of the text, one list of spans for each kind, and the terms of a text that has spans."""
+    """Stored: id, digest of the text, one list of spans for each kind, and of a text that has spans its terms and itself."""
     own = docs.select(F.col(doc_id).alias("doc"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     own = own.withColumn("digest", _digest("text"))
     found = pattern_spans(own, "text", {k: k for k in PATTERNS}, 0)
     held = F.size(F.concat(*[F.transform(F.col(k), lambda s: s.start) for k in PATTERNS])) > 0
-    return cut(found.select("doc", "digest", *PATTERNS, F.when(held, _words(F.col("text"))).alias("words")))
+    own_text = F.when(held, F.col("text")).alias("text")
+    return cut(found.select("doc", "digest", *PATTERNS, F.when(held, _words(F.col("text"))).alias("words"), own_text))
 
 
 def _places(gaps: Column, values: Column, risk: Column, base: Column) -> Column:
@@ -206,7 +207,8 @@ def disclosing_terms(docs: DataFrame, *, doc_id: str, text: str, support: int, g
     risky = df_pair.where(F.col("det") >= support).select("entity", "term", known.alias("disclosure")).where(F.col("disclosure") >= generalise)
     hits = pairs.select("digest", "entity", "term").join(risky, ["entity", "term"]).groupBy("digest", "term").agg(F.max("disclosure").alias("d"))
     risk = cut(hits.groupBy("digest").agg(F.map_from_entries(F.collect_list(F.struct("term", "d"))).alias("risk")))
-    whole = docs.select(_digest(text).alias("digest"), F.col(text).alias("text")).join(risk.select("digest"), "digest", "left_semi")
+    # only texts that hold an entity have places, so no other text is moved
+    whole = found.where(F.col("words").isNotNull()).select("digest", "text").join(risk.select("digest"), "digest", "left_semi")
     whole = whole.groupBy("digest").agg(F.first("text").alias("text")).join(risk, "digest").join(texts.select("digest", "base"), "digest")
     # columns of their own: inside a lambda they would be made anew for every term
     parts = {"values": F.regexp_extract_all("text", F.lit(_TERM), F.lit(0)), "gaps": F.split("text", _TERM, -1)}
