@@ -61,11 +61,12 @@ def read_header(f) -> dict:
     return {
         "count": count, "start": start, "dtype": dtype, "extra": extra,
         "scale": struct.unpack_from("<3d", head, 131), "offset": struct.unpack_from("<3d", head, 155),
+        "bounds": struct.unpack_from("<6d", head, 179),  # greatest and least x, y, z
     }
 
 
-def read_range(f, head: dict, first: int, n: int, wanted: list[str]) -> dict[str, np.ndarray]:
-    """Columns of ``n`` records from ``first`` on; absent columns become NaN."""
+def read_range(f, head: dict, first: int, n: int, wanted: list[str], exact: bool = False) -> dict[str, np.ndarray]:
+    """Columns of ``n`` records from ``first`` on, ``exact`` ones as whole numbers; absent columns become NaN."""
     f.seek(head["start"] + first * head["dtype"].itemsize)
     rec = np.frombuffer(f.read(n * head["dtype"].itemsize), dtype=head["dtype"])
     scaled = {name: (s, o) for name, _, s, o in head["extra"]}
@@ -76,7 +77,51 @@ def read_range(f, head: dict, first: int, n: int, wanted: list[str]) -> dict[str
             out[name] = rec[name.upper()] * head["scale"][i] + head["offset"][i]
         elif name in rec.dtype.names:
             s, o = scaled.get(name, (1.0, 0.0))
-            out[name] = rec[name].astype(float) * s + o
+            whole = exact and rec.dtype[name].kind in "iu" and (s, o) == (1.0, 0.0)
+            out[name] = rec[name].astype(np.int64) if whole else rec[name].astype(float) * s + o
         else:
             out[name] = np.full(len(rec), np.nan)
     return out
+
+
+def columns_of(head: dict) -> list[tuple[str, str]]:
+    """Names and SQL types of what a file holds: coordinates, then the record's other fields; whole numbers unless scaled."""
+    scaled = {name for name, _, s, o in head["extra"] if (s, o) != (1.0, 0.0)}
+    out = [(a, "double") for a in "xyz"]
+    for name in head["dtype"].names:
+        if name not in ("X", "Y", "Z", "_rest"):
+            whole = head["dtype"][name].kind in "iu" and name not in scaled
+            out.append((name, "bigint" if whole else "double"))
+    return out
+
+
+def encode(columns: dict[str, np.ndarray], scale: float) -> bytes:
+    """A file of version 1.4, point format 6: named fields of the format in place, all other columns as extra bytes."""
+    n = len(columns["x"])
+    own = {name for name, _ in _NEW}
+    codes = {t: code for code, t in EXTRA_TYPES.items()}
+    extra = {c: v for c, v in columns.items() if c not in own | {"x", "y", "z"}}
+    rec = np.zeros(n, np.dtype(_NEW + [(c, v.dtype.newbyteorder("<")) for c, v in extra.items()]))
+    offset, bounds = [], []
+    for axis in "xyz":
+        v = columns[axis]
+        low, high = (float(v.min()), float(v.max())) if n else (0.0, 0.0)
+        offset.append(float(np.floor(low)))
+        bounds += [high, low]
+        rec[axis.upper()] = np.round((v - offset[-1]) / scale)
+    for name, v in columns.items():
+        if name not in ("x", "y", "z"):
+            rec[name] = v
+    described = b""
+    for name, v in extra.items():
+        field = bytearray(192)
+        field[2] = codes[v.dtype.newbyteorder("<").str.replace("|", "")]
+        field[4 : 4 + len(name.encode())] = name.encode()[:32]
+        described += bytes(field)
+    vlr = struct.pack("<H16sHH32s", 0, b"LASF_Spec", 4, len(described), b"") + described if extra else b""
+    head = bytearray(375)
+    head[:4], head[24], head[25] = b"LASF", 1, 4
+    struct.pack_into("<HIIBHI", head, 94, 375, 375 + len(vlr), int(bool(extra)), 6, rec.dtype.itemsize, 0)
+    struct.pack_into("<3d3d6d", head, 131, scale, scale, scale, *offset, *bounds)
+    struct.pack_into("<Q", head, 247, n)
+    return bytes(head) + vlr + rec.tobytes()

@@ -21,6 +21,11 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return current
 
 
+def scratch_path(spark: SparkSession) -> str:
+    """A new place in the checkpoint folder, which all executors share."""
+    return f"{checkpoint_dir(spark).rstrip('/')}/talus-{uuid.uuid4().hex}"
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Compute once, store as a table in the checkpoint folder and go on from there.
 
@@ -28,6 +33,6 @@ def cut(df: DataFrame) -> DataFrame:
     rest of the plan true sizes and column pruning.
     """
     spark = df.sparkSession
-    path = f"{checkpoint_dir(spark).rstrip('/')}/talus-{uuid.uuid4().hex}"
+    path = scratch_path(spark)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

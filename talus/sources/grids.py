@@ -10,6 +10,7 @@ from talus.functions.naming import base_name, parse_interval, resolution_metres
 from talus.operators.grid import to_long, to_wide
 
 PREFIX = {"dist": "M3C2", "cluster_id": "ClusterID", "unc": "Uncertainty"}
+FOLDERS = ["location", "mode", "d1", "d2"]
 KIND = {"dist": "grid", "cluster_id": "clusters", "unc": "uncertainty"}
 
 
@@ -17,10 +18,25 @@ def read_grid_csv(spark: SparkSession, paths: str | list[str], kind: str, res: f
     """Cells of wide CSV files of one resolution.
 
     ``kind`` is ``dist``, ``cluster_id`` or ``unc``.  Interval, sign, stage and
-    resolution come from the file name.
+    resolution come from the file name; of a folder that ``write_grid_csv`` has
+    made, site, sign and interval come from the names of the folders in it.
     """
     wide = spark.read.option("header", True).option("nanValue", "NaN").csv(paths)
     first = wide.columns[0]
+    if set(FOLDERS) <= set(wide.columns):
+        long = to_long(wide, [*FOLDERS, first], res, kind)
+        value = F.col(kind).try_cast("int" if kind == "cluster_id" else "double")
+        return long.select(
+            "location",
+            "mode",
+            F.col("d1").cast("date").alias("d1"),
+            F.col("d2").cast("date").alias("d2"),
+            F.lit(float(res)).alias("resolution"),
+            F.col(f"`{first}`").cast("double").cast("long").alias("polygon_id"),
+            "z_idx",
+            "z_low",
+            value.alias(kind),
+        )
     name = base_name(F.col("_metadata.file_path"))
     keyed = wide.select("*", name.alias("_file"))
     ids = ["_file", first]
@@ -44,7 +60,7 @@ def read_grid_csv(spark: SparkSession, paths: str | list[str], kind: str, res: f
 
 def write_grid_csv(dense: DataFrame, path: str, kind: str, res: float, height: float, six_digits: bool = True) -> None:
     """Wide CSV of exact shape below ``location/mode/d1/d2``; values with six significant digits."""
-    ids = ["location", "mode", "d1", "d2"]
+    ids = FOLDERS
     out = dense
     if six_digits and kind != "cluster_id":
         out = dense.withColumn(kind, F.format_string("%.6g", F.col(kind)).try_cast("double"))

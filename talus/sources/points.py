@@ -9,18 +9,15 @@ from pyspark.sql import functions as F
 
 from talus.functions import las_records
 from talus.functions.naming import file_meta
+from talus.sources import las
 
-cloudpickle.register_pickle_by_value(las_records)
+for _module in (las_records, las):
+    cloudpickle.register_pickle_by_value(_module)
 
 COLUMNS = ["x", "y", "z", "intensity"]
 CHUNK = 1_000_000
 
 
-def _local(path: str) -> str:
-    """Executors open files through a mount they all share."""
-    return path.removeprefix("file:")
-
-
 def read_points(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
@@ -38,7 +35,7 @@ def las_headers(files: DataFrame) -> DataFrame:
             rows = []
             for path in batch["path"]:
                 try:
-                    with open(_local(path), "rb") as f:
+                    with las.opened(path) as f:
                         h = las_records.read_header(f)
                     rows.append((path, h["count"], *h["offset"], [e[0] for e in h["extra"]], None))
                 except (OSError, ValueError) as e:
@@ -63,7 +60,7 @@ def read_las(files: DataFrame, columns: list[str] = COLUMNS, chunk: int = CHUNK)
     def decode(batches):
         for batch in batches:
             for path, first, n in zip(batch["path"], batch["first"], batch["n"]):
-                with open(_local(path), "rb") as f:
+                with las.opened(path) as f:
                     cols = las_records.read_range(f, las_records.read_header(f), first, n, wanted)
                 yield pd.DataFrame({"path": path, **cols})
 

@@ -5,12 +5,14 @@ import struct
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import GreaterThan, LessThanOrEqual
+from pyspark.sql.types import StructType
 
 from talus.config import bin_count
 from talus.functions import las_records
 from talus.functions.geometry import to_utm
 from talus.operators import grid
-from talus.sources import grids, points, polygons, surveys
+from talus.sources import grids, las, points, polygons, surveys
 from talus.streaming.ingest import ingest_surveys, read_table
 
 
@@ -71,6 +73,55 @@ def test_unreadable_las_reports_an_error(spark, tmp_path):
     assert row.points is None and "LAS" in row.error
 
 
+def test_las_data_source(spark, tmp_path):
+    las.register(spark)
+    df = spark.range(5000).selectExpr(
+        "id AS point_id", "480000 + id / 8 AS x", "3600000 + id % 40 / 4 AS y", "id % 30 / 2 AS z", "id % 65536 AS intensity",
+        "id % 3 = 0 AS flag", "CASE WHEN id % 5 > 0 THEN id / 7 END AS share",
+    )
+    path = str(tmp_path / "cloud")
+    df.repartitionByRange(2, "x").write.format("las").mode("append").option("recordsPerFile", 700).save(path)
+    read = spark.read.format("las").option("splitBytes", 9000).load(f"file:{path}")
+    assert len(list((tmp_path / "cloud").glob("*.las"))) == 8 and read.rdd.getNumPartitions() > 8
+    assert dict(read.dtypes)["point_id"] == "bigint" and dict(read.dtypes)["share"] == "double"
+    got = read.withColumns({c: F.round(c, 3) for c in "xyz"}).withColumn("flag", F.col("flag") == 1)
+    assert got.select(*df.columns).exceptAll(df.withColumns({c: F.round(c, 3) for c in "xyz"})).isEmpty()
+    assert got.select("path", "point_number").distinct().count() == 5000
+    with pytest.raises(Exception, match="nulls"):
+        df.withColumn("intensity", F.lit(None).cast("bigint")).write.format("las").mode("append").save(str(tmp_path / "bad"))
+    with pytest.raises(Exception, match="appended"):
+        df.write.format("las").mode("overwrite").save(path)
+    whole = las.read_whole(spark, path, "point_id bigint, share double, nothing double")
+    assert whole.select("point_id", "share").exceptAll(df.select("point_id", "share")).isEmpty() and whole.count() == 5000
+    assert whole.where("nothing IS NOT NULL").isEmpty()
+
+
+def test_las_columns_and_bounds(spark, tmp_path):
+    las.register(spark)
+    rng = np.random.default_rng(1)
+    for k in range(4):
+        xyz = rng.uniform([100 * k, 0, 0], [100 * k + 99, 50, 30], (300, 3))
+        write_las(tmp_path / "in" / f"{k}.las", xyz, 2, {"extra": xyz[:, 2]} if k == 2 else None)
+    # the headers of these files hold no bounds, so nothing is skipped
+    read = spark.read.format("las").option("mergeSchema", True).load(str(tmp_path / "in"))
+    assert "extra" in read.columns and read.where("extra IS NOT NULL").count() == 300
+    assert "extra" not in spark.read.format("las").load(str(tmp_path / "in")).columns
+    made = tmp_path / "made"
+    read.select("x", "y", "z").repartition(4, F.floor(F.col("x") / 100)).write.format("las").mode("append").save(str(made))
+    files = [f for f, _ in las._listed(str(made), "*.las")]
+    source = las.LasSource({"path": str(made), "skipByBounds": "true"})
+    reader = source.reader(StructType.fromDDL("x double"))
+    assert len(list(reader.pushFilters([GreaterThan(("x",), 250.0), LessThanOrEqual(("x",), 320.0)]))) == 2
+    kept = [x for p in reader.partitions() for b in reader.read(p) for x in b["x"].to_pylist()]
+    assert {x // 100 for x in kept} >= {2, 3} and len(kept) < 1200 and len(files) >= 2
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    try:
+        some = spark.read.format("las").option("skipByBounds", True).schema("x double").load(str(made)).where("x > 250 AND x <= 320")
+        assert some.count() == read.where("x > 250 AND x <= 320").count()
+    finally:
+        spark.conf.unset("spark.sql.python.filterPushdown.enabled")
+
+
 def test_survey_list_round_trip(spark, tmp_path):
     rows = [("DelMar", datetime.date(2020, 1, 2), 600, 630, "VMQLZ_Truck", "20200102_600_630_x"),
             ("DelMar", datetime.date(2019, 1, 2), 590, 625, "MiniRanger_ATV", "20190102_590_625")]
