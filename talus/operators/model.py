@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import math
+from functools import reduce
+
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from talus.functions.numeric import safe_pct
@@ -86,8 +89,76 @@ def cross_validate(
     return out.withColumn("_s", stats).select("fold", "f1", F.col("_s.mean").alias("f1_mean"), F.col("_s.std").alias("f1_std"))
 
 
-def training_report(scored: DataFrame, cv: DataFrame | None = None) -> DataFrame:
-    """One row: accuracy, per-class scores, confusion counts and cross-validation result."""
+#: Distribution function of a Poisson variable of mean 1: how often a row is drawn into a bag as large as the data.
+_POISSON = [sum(math.exp(-1) / math.factorial(i) for i in range(k + 1)) for k in range(12)]
+
+
+def times_drawn(bag: int, key: str = "point_id", seed: int = 0) -> Column:
+    """How often a row is in a bag: a Poisson draw from a digest of bag, seed and key, so every scan agrees on it."""
+    u = draw(key, seed * 100_003 + bag)
+    count = F.lit(len(_POISSON))
+    for k, upto in reversed(list(enumerate(_POISSON))):
+        count = F.when(u < upto, k).otherwise(count)
+    return count.cast("int")
+
+
+def bagged_forest(
+    df: DataFrame, features: list[str] = FEATURES, trees: int = TREES, bags: int | None = None, depth: int = 10, seed: int = 0
+) -> list[PipelineModel]:
+    """The trees of a forest, grown by bags: trees of one bag see the same draw of rows and differ in the features tried.
+
+    Every tree has a bag of its own unless fewer are asked for, which saves
+    passes over the data.
+    """
+    bags = bags or trees
+    fitted = []
+    for bag in range(bags):
+        own = df.withColumn("_times", times_drawn(bag, seed=seed)).where("_times > 0")
+        own = own.withColumn("weight", F.col("weight") * F.col("_times")).drop("_times")
+        grown = forest(features, trees // bags + (bag < trees % bags), depth, seed + bag)
+        grown.getStages()[-1].setBootstrap(False).setSubsamplingRate(1.0)
+        fitted.append(grown.fit(own))
+    return fitted
+
+
+def votes(df: DataFrame, fitted: list[PipelineModel], unseen: bool = False, seed: int = 0) -> DataFrame:
+    """Rows with the summed votes for each class, how many bags voted, and the prediction.
+
+    ``unseen`` counts only the bags without the row: the out-of-bag vote.  A row
+    that is in every bag has no prediction then.
+    """
+    taken, out = [], df
+    for bag, one in enumerate(fitted):
+        names = {c: f"_{c}{bag}" for c in ("features", "rawPrediction", "probability", "prediction")}
+        out = one.transform(out).withColumnsRenamed(names)
+        own = vector_to_array(F.col(names["rawPrediction"]))
+        taken.append(F.when(times_drawn(bag, seed=seed) == 0, own) if unseen else own)
+        out = out.withColumn(f"_votes{bag}", taken[-1]).drop(*names.values())
+    held = [F.col(f"_votes{bag}") for bag in range(len(fitted))]
+    total = [reduce(lambda a, b: a + b, [F.coalesce(v[k], F.lit(0.0)) for v in held]) for k in (0, 1)]
+    bags = reduce(lambda a, b: a + b, [v.isNotNull().cast("int") for v in held])
+    out = out.select(*df.columns, F.array(*total).alias("votes"), bags.alias("bags"))
+    prediction = F.when(F.col("bags") > 0, (F.col("votes")[1] > F.col("votes")[0]).cast("double"))
+    return out.withColumn("prediction", prediction)
+
+
+def out_of_bag(df: DataFrame, fitted: list[PipelineModel], seed: int = 0) -> DataFrame:
+    """One row: rows that some bag did not see, and the share of them that its trees classify rightly."""
+    voted = votes(df, fitted, unseen=True, seed=seed).where(F.col("bags") > 0)
+    return voted.agg(F.count(F.lit(1)).alias("rows"), F.avg((F.col("prediction") == F.col("label")).cast("double")).alias("oob_score"))
+
+
+def cross_fitted(df: DataFrame, estimator: Pipeline, folds: int = 5, key: str = "point_id", seed: int = 0) -> DataFrame:
+    """Every row scored by a model that has been fitted on the other folds."""
+    marked = cut(df.withColumn("fold", F.floor(draw(key, seed) * folds).cast("int")))
+    parts = [
+        estimator.fit(marked.where(F.col("fold") != k)).transform(marked.where(F.col("fold") == k)) for k in range(folds)
+    ]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def training_report(scored: DataFrame, cv: DataFrame | None = None, oob: DataFrame | None = None) -> DataFrame:
+    """One row: accuracy, per-class scores, confusion counts, cross-validation result and out-of-bag score."""
     per = evaluate(scored)
     row = per.agg(
         F.first("accuracy").alias("test_accuracy"),
@@ -98,7 +169,7 @@ def training_report(scored: DataFrame, cv: DataFrame | None = None) -> DataFrame
     if cv is not None:
         best = cv.agg(F.struct(F.first("f1_mean").alias("mean"), F.first("f1_std").alias("std"))).scalar()
         row = row.withColumn("_cv", best).select("*", F.col("_cv.mean").alias("cv_f1_mean"), F.col("_cv.std").alias("cv_f1_std")).drop("_cv")
-    return row
+    return row if oob is None else row.withColumn("oob_score", oob.select("oob_score").scalar())
 
 
 def keep_class(df: DataFrame, label: int = 0, confidence: float | None = None) -> DataFrame:

@@ -274,6 +274,29 @@ def beach_model(spark, d):
     return stats.evaluate(scored)
 
 
+@query("oob_score")
+def oob_score(spark, d):
+    """Fifty trees in ten bags; the rows that each bag has not drawn judge it."""
+    data, _ = model.prepare(tables.points(spark, d), 1)
+    train = cut(model.balanced_weights(model.stratified_split(data, seed=2).where("NOT is_test")))
+    return model.out_of_bag(train, model.bagged_forest(train, bags=10, seed=1), seed=1)
+
+
+_BAG = """
+    , drawn AS (SELECT point_id, b AS bag, ('0x' || substr(md5((700021 + b) || ':' || point_id), 1, 13))::BIGINT / pow(16::DOUBLE, 13) AS u
+                FROM points, range(3) t(b)),
+    times AS (SELECT bag, CASE WHEN u < exp(-1) THEN 0 WHEN u < 2 * exp(-1) THEN 1 WHEN u < 2.5 * exp(-1) THEN 2 ELSE 3 END AS times FROM drawn)
+"""
+
+
+@query("bag_draws", sql("points", _BAG + "SELECT bag, times, count(*) AS rows FROM times GROUP BY ALL"))
+def bag_draws(spark, d):
+    """How often rows are drawn into three bags; three times or more together."""
+    p = tables.points(spark, d)
+    draws = F.array(*[F.struct(F.lit(b).cast("bigint").alias("bag"), F.least(model.times_drawn(b, seed=7), F.lit(3)).alias("times")) for b in range(3)])
+    return p.select(F.inline(draws)).groupBy("bag", "times").agg(F.count(F.lit(1)).alias("rows"))
+
+
 @query("beach_removal")
 def beach_removal(spark, d):
     points = tables.points(spark, d)
@@ -311,7 +334,7 @@ def vegetation_removal(spark, d):
     # uneven surroundings stand for vegetation; a tenth of the labels is turned over
     shaped = cut(change.shape_features(tables.cloud3d(spark, d), [1.0, 2.0]))
     uneven = F.col("p1_200cm") < 0.6
-    marked = cut(model.stratified_split(shaped.withColumn("label", (uneven != (F.col("point_id") % 10 == 0)).cast("int"))))
+    marked = shaped.withColumn("label", (uneven != (F.col("point_id") % 10 == 0)).cast("int"))
     names = ["p1_100cm", "p2_100cm", "p1_200cm", "p2_200cm"]
-    fitted = model.vegetation_classifier(names).fit(marked.where("NOT is_test"))
-    return model.remove_vegetation(marked.where("is_test").drop("label"), fitted).select("point_id", "p1_100cm", "p1_200cm")
+    scored = model.cross_fitted(marked, model.vegetation_classifier(names))
+    return model.keep_class(scored, 0, 0.8).select("point_id", "p1_100cm", "p1_200cm")

@@ -230,3 +230,38 @@ def test_vegetation_removal(spark):
     fitted = model.vegetation_classifier(["p1", "p2"]).fit(df)
     kept = model.remove_vegetation(df.drop("label"), fitted).toPandas()
     assert 150 < len(kept) <= 205 and kept.p1.min() > 0.45
+
+
+def test_out_of_bag_matches_brute_force(spark):
+    rng = np.random.default_rng(8)
+    xyz = rng.uniform(0, 10, (400, 3))
+    label = (xyz[:, 2] + rng.normal(0, 1.5, 400) < 5).astype(int)
+    rows = [(i, *map(float, p), float(p[0]), int(c)) for i, (p, c) in enumerate(zip(xyz, label))]
+    df = model.balanced_weights(spark.createDataFrame(rows, "point_id long, x double, y double, z double, intensity_norm double, label int"))
+    df = df.cache()
+    fitted = model.bagged_forest(df, trees=4, bags=3, depth=4, seed=5)
+    assert [m.stages[-1].getNumTrees for m in fitted] == [2, 1, 1]
+    seen, votes = [], []
+    for bag, one in enumerate(fitted):
+        seen.append({r.point_id: r.n for r in df.select("point_id", model.times_drawn(bag, seed=5).alias("n")).collect()})
+        votes.append({r.point_id: r.rawPrediction.toArray() for r in one.transform(df).collect()})
+    drawn = np.array([n for own in seen for n in own.values()])
+    assert 0.3 < (drawn == 0).mean() < 0.43 and abs(drawn.mean() - 1) < 0.1
+    right = total = 0
+    for i in range(400):
+        own = [votes[b][i] for b in range(3) if seen[b][i] == 0]
+        if own:
+            total += 1
+            right += int(sum(own)[1] > sum(own)[0]) == label[i]
+    got = model.out_of_bag(df, fitted, seed=5).first()
+    assert (got.rows, got.oob_score) == (total, pytest.approx(right / total))
+    every = {r.point_id: (r.bags, r.prediction) for r in model.votes(df, fitted).collect()}
+    assert all(every[i] == (3, float(sum(v[i] for v in votes)[1] > sum(v[i] for v in votes)[0])) for i in range(400))
+
+
+def test_cross_fitting_scores_every_row(spark):
+    rows = [(i, i / 100, int(i > 50)) for i in range(100)]
+    df = spark.createDataFrame(rows, "point_id long, a double, label int")
+    got = model.cross_fitted(df, model.vegetation_classifier(["a"]), folds=3).collect()
+    assert sorted(r.point_id for r in got) == list(range(100)) and {r.fold for r in got} == {0, 1, 2}
+    assert sum(r.prediction == r.label for r in got) > 90
