@@ -180,34 +180,52 @@ def _box_reach2() -> Column:
 def components(nodes: DataFrame, edges: DataFrame, by: list[str] = ()) -> DataFrame:
     """Connected components as (node, root), the root being the least node.
 
-    Each round, a node and its parent take the least grandparent among the
-    node's neighbours, then parents are shortened; rounds grow with the
-    logarithm of the diameter.
+    Each round contracts the graph: a node hooks to its least lesser neighbour,
+    chains of hooks are followed to their ends, and the edges become the
+    distinct pairs of different ends, so nodes and edges that are settled are
+    not read again. The least node of a component never hooks, so it is the root.
+    What the rounds have hooked is put together from the last round back.
+    Hubs only occur on the side of joins that adaptive execution can split.
     """
     by = list(by)
-    both = cut(
-        edges.select(*by, "src", "dst").unionByName(edges.select(*by, F.col("dst").alias("src"), F.col("src").alias("dst")))
-    )
-    parent = cut(nodes.select(*by, "node", F.col("node").alias("root")))
+    a, b = F.greatest("src", "dst"), F.least("src", "dst")
+    links = edges.where(F.col("src") != F.col("dst")).select(*by, a.alias("hi"), b.alias("lo"))
+    layers: list[DataFrame] = []
     while True:
-        up = parent.select(*by, F.col("node").alias("root"), F.col("root").alias("grand"))
-        state = parent.join(up, by + ["root"])  # node, root, grand
-        offers = (
-            both.join(state.select(*by, F.col("node").alias("dst"), "grand"), by + ["dst"])
-            .groupBy(*by, F.col("src").alias("node"))
-            .agg(F.min("grand").alias("offer"))
-            .join(state.select(*by, "node", "root"), by + ["node"])
-        )
-        proposals = (
-            state.select(*by, "node", F.col("grand").alias("p"))
-            .unionByName(offers.select(*by, "node", F.col("offer").alias("p")))
-            .unionByName(offers.select(*by, F.col("root").alias("node"), F.col("offer").alias("p")))
-        )
-        nxt = parent.join(proposals.groupBy(*by, "node").agg(F.min("p").alias("p")), by + ["node"])
-        nxt = cut(nxt.select(*by, "node", F.least("root", "p").alias("root"), (F.col("p") < F.col("root")).alias("moved")))
-        parent = nxt.drop("moved")
-        if nxt.where("moved").isEmpty():
-            return parent
+        links = cut(links)
+        if links.isEmpty():
+            break
+        hooks = links.groupBy(*by, F.col("hi").alias("node")).agg(F.min("lo").alias("parent"))
+        layer = _followed(hooks, by)
+        layers.append(layer)
+        upper = layer.select(*by, F.col("node").alias("hi"), F.col("parent").alias("p"))
+        lower = layer.select(*by, F.col("node").alias("lo"), F.col("parent").alias("q"))
+        moved = links.join(upper, by + ["hi"]).join(lower, by + ["lo"], "left")
+        moved = moved.select(*by, "p", F.coalesce("q", "lo").alias("q")).where(F.col("p") != F.col("q"))
+        links = moved.select(*by, F.greatest("p", "q").alias("hi"), F.least("p", "q").alias("lo")).distinct()
+    if not layers:
+        return nodes.select(*by, "node", F.col("node").alias("root"))
+    known = layers.pop()
+    while layers:
+        top = known.select(*by, F.col("node").alias("parent"), F.col("parent").alias("top"))
+        below = layers.pop().join(top, by + ["parent"], "left").select(*by, "node", F.coalesce("top", "parent").alias("parent"))
+        known = cut(known.unionByName(below))
+    found = nodes.select(*by, "node").join(known, by + ["node"], "left")
+    return cut(found.select(*by, "node", F.coalesce("parent", "node").alias("root")))
+
+
+def _followed(hooks: DataFrame, by: list[str]) -> DataFrame:
+    """Every node with the end of its chain of hooks; a chain gets to a third with each round."""
+    hooks = cut(hooks)
+    while True:
+        on = hooks.select(*by, F.col("node").alias("parent"), F.col("parent").alias("next"))
+        # two steps of one table take every node three hooks on
+        further = hooks.join(on, by + ["parent"], "left").select(*by, "node", F.coalesce("next", "parent").alias("parent"))
+        ends = further.join(on, by + ["parent"], "left").select(*by, "node", F.coalesce("next", "parent").alias("parent"), "next")
+        hooks = cut(ends)
+        if hooks.where("next IS NOT NULL").isEmpty():
+            return hooks.drop("next")
+        hooks = hooks.drop("next")
 
 
 def number_clusters(df: DataFrame, member: str, by: list[str] = (), label_base: int = 1) -> DataFrame:

@@ -120,3 +120,34 @@ def test_components_on_a_path(spark):
     got = components(nodes, edges).toPandas().set_index("node")["root"]
     for part in (ids[:150], ids[150:]):
         assert (got.loc[part] == part.min()).all()
+
+
+def brute_roots(count, edges):
+    root = list(range(count))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in edges:
+        a, b = find(a), find(b)
+        root[max(a, b)] = min(a, b)
+    return [find(x) for x in range(count)]
+
+
+def test_components_in_order_hubs_and_groups(spark):
+    rng = np.random.default_rng(3)
+    path = [(k, k + 1) for k in range(199)]
+    hub = [(499, k) for k in range(200, 480)] + [(k, k) for k in range(480, 499)]
+    loose = [tuple(map(int, rng.integers(500, 800, 2))) for _ in range(200)]
+    edges = path + hub + loose
+    both = [(g, a, b) for g in ("a", "b") for a, b in edges if g == "a" or a < 500]
+    nodes = spark.createDataFrame([(g, k) for g in ("a", "b") for k in range(800)], "g string, node long")
+    got = {(r.g, r.node): r.root for r in components(nodes, spark.createDataFrame(both, "g string, src long, dst long"), ["g"]).collect()}
+    assert len(got) == 1600
+    for g in ("a", "b"):
+        want = brute_roots(800, [(a, b) for own, a, b in both if own == g])
+        assert [got[g, k] for k in range(800)] == want
+    none = components(nodes, spark.createDataFrame([], "g string, src long, dst long"), ["g"])
+    assert none.where("root <> node").isEmpty() and none.count() == 1600
