@@ -9,7 +9,7 @@ from talus.operators import cluster, events, fill, grid, series, spatial, stats
 from talus.operators.inventory import latest_run as keep_latest
 from talus.operators.lineage import cut
 from talus.operators.ranks import ecdf as ecdf_of
-from talus.plans import tables
+from talus.plans import stages, tables
 from talus.plans.registry import query, r, sql
 
 KEYS = "location, mode, d1, d2, resolution"
@@ -345,20 +345,37 @@ def top_intervals(spark, d):
     return series.top_intervals(volumes, 15, ["resolution", "mode"])
 
 
-@query("volume_series", sql("cells dense clean", f"""
-    , staged AS (SELECT location, mode, resolution, 'raw' AS stage, d1, d2, dist, unc FROM cells
-                 UNION ALL SELECT location, mode, resolution, 'cleaned', d1, d2, dist, unc FROM cleaned),
+_KEPT = " UNION ALL ".join(
+    f"SELECT *, {least} AS least FROM {name}" for name, least in (("tenth", 25), ("fine_whole", 4), ("cells", 1))
+)
+
+
+@query("volume_series", sql("cells fine_whole tenth", f"""
+    , every AS ({_KEPT}),
+    topped AS (SELECT e.* EXCLUDE (dist, cluster_id), CASE WHEN z_low > coalesce(cliff_top_z, 9999) THEN 0 ELSE dist END AS dist,
+                      CASE WHEN z_low > coalesce(cliff_top_z, 9999) THEN 0 ELSE cluster_id END AS cluster_id
+               FROM every e LEFT JOIN cutoffs USING (location, polygon_id)),
+    sizes AS (SELECT {KEYS}, cluster_id, count(*) AS cells FROM topped WHERE cluster_id <> 0 GROUP BY ALL),
+    staged AS (SELECT {KEYS}, 'raw' AS stage, dist, unc FROM every
+               UNION ALL SELECT {KEYS}, 'cleaned', CASE WHEN s.cells >= least THEN dist ELSE 0 END, unc FROM topped LEFT JOIN sizes s USING ({KEYS}, cluster_id)),
     vol AS (SELECT location, mode, resolution, stage, d1, d2, sum(coalesce(dist, 0) * {AREA}) AS volume,
             sum((coalesce(dist, 0) - coalesce(unc, 0)) * {AREA}) AS vol_lower, sum((coalesce(dist, 0) + coalesce(unc, 0)) * {AREA}) AS vol_upper FROM staged GROUP BY ALL)
     SELECT location, mode, resolution, stage, d1, d2, {r('volume', 'volume')}, {r('vol_lower', 'vol_lower')}, {r('vol_upper', 'vol_upper')},
            {r('sum(volume) OVER w', 'cum_volume')}, {r('sum(vol_lower) OVER w', 'cum_vol_lower')}, {r('sum(vol_upper) OVER w', 'cum_vol_upper')}
     FROM vol WINDOW w AS (PARTITION BY location, mode, resolution, stage ORDER BY d2, d1)"""))
 def volume_series(spark, d):
-    pick = ["location", "mode", "resolution", "stage", "d1", "d2", "dist", "unc"]
-    c = cut(cells(spark, d))
-    clean = grid.clean_cells(grid.densify(c, tables.polygons(spark, d), 1.0, 30.0), tables.cutoffs(spark, d), 2)
-    staged = [df.withColumn("stage", F.lit(s)).select(*pick) for df, s in ((c, "raw"), (clean, "cleaned"))]
-    return series.volume_series(staged[0].unionByName(staged[1]))
+    """All three resolutions, raw and cleaned."""
+    return series.volume_series(_staged(spark, d, ("raw", "cleaned")))
+
+
+@query("filled_volume_series")
+def filled_volume_series(spark, d):
+    """All three resolutions after filling (erosion)."""
+    return series.volume_series(_staged(spark, d, ("filled",)))
+
+
+def _staged(spark, d, wanted):
+    return stages.staged_cells(placed(spark, d), tables.polygons(spark, d), tables.cutoffs(spark, d), 30.0, wanted)
 
 
 _MEASURES = "unnest(['volume', 'elevation', 'width', 'height']) AS measure, unnest([volume, elevation, width, height]) AS value"

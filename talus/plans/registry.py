@@ -201,6 +201,7 @@ _PARTS = {
     "cells": _cells("cells", 1.0, 30.0),
     "fine": _cells("fine", 0.25, 20.0),
     "fine_whole": _cells("fine_whole", 0.25, 30.0),
+    "tenth": _cells("tenth", 0.1, 30.0),
     "merged": _cells("merged", 1.0, 30.0, "location, mode"),
     "dense": _DENSE,
     "clean": _CLEAN,
@@ -212,7 +213,7 @@ _PARTS = {
 
 def sql(parts: str, body: str) -> str:
     """Common table expressions by name, then the statement (which may go on with further ones)."""
-    needs = {"cells": "polys change", "fine": "polys change", "fine_whole": "polys change", "merged": "polys change"}
+    needs = {"cells": "polys change", "fine": "polys change", "fine_whole": "polys change", "tenth": "polys change", "merged": "polys change"}
     names: list[str] = []
     for part in parts.split():
         for name in needs.get(part, "").split() + [part]:
