@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from talus.functions import naming
 from talus.functions.geometry import UTM_EASTING, UTM_K0, WGS84_A, WGS84_F, extend_line, to_utm
 from talus.functions.numeric import qc_flag, safe_pct
 from talus.operators import inventory, stats
-from talus.operators.lineage import checkpoint_dir
+from talus.operators.lineage import scratch_path
 from talus.operators.series import cumulative
 from talus.plans import tables
 from talus.plans.registry import query, r, sql
@@ -367,10 +365,14 @@ def describe_surveys(spark, d):
     SELECT location, survey_date, s.mop1, s.mop2, folder FROM surveys s JOIN sites ON least(mop2, hi) - greatest(mop1, lo) >= (hi - lo) * 2 / 3.0
     WHERE survey_id % 5 <> 0"""))
 def survey_stream(spark, d):
-    schema = tables.table(spark, d, "orders").schema
-    stream = spark.readStream.schema(schema).option("pathGlobFilter", "orders.parquet").parquet(d)
-    folder = f"{checkpoint_dir(spark).rstrip('/')}/ingest-{uuid.uuid4().hex}"
-    merge_stream(tables.survey_files_of(tables.surveys_of(stream)), f"{folder}/table", f"{folder}/state")
+    """Files arrive in two runs and several batches; a survey counts whenever its file comes."""
+    orders = tables.table(spark, d, "orders")
+    folder = scratch_path(spark)
+    for run in (0, 1):
+        orders.where(F.col("o_orderkey") % 2 == run).repartition(2, "o_orderkey").write.mode("append").parquet(f"{folder}/arrived")
+        stream = spark.readStream.schema(orders.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/arrived")
+        files = tables.survey_files_of(tables.surveys_of(stream))
+        merge_stream(files, f"{folder}/table", f"{folder}/state", late="accept")
     return read_table(spark, f"{folder}/table").select("location", "survey_date", "mop1", "mop2", "folder")
 
 
