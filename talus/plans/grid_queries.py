@@ -282,9 +282,17 @@ def event_series(spark, d):
 
 
 @query("blank_intervals", sql("cells dense clean", f"""
-    SELECT {KEYS}, 0.0::DOUBLE AS volume, 'Zero Volume' AS reason FROM (SELECT {KEYS}, sum(coalesce(dist, 0)) AS v FROM cleaned GROUP BY ALL) WHERE v = 0"""))
+    , least AS (SELECT floor(quantile_cont(m, 0.5))::BIGINT + 1 AS least FROM (SELECT max(cells) AS m FROM sizes GROUP BY {KEYS}))
+    SELECT {KEYS}, 0.0::DOUBLE AS volume, 'Zero Volume' AS reason FROM (
+      SELECT {KEYS}, sum(CASE WHEN s.cells >= least THEN dist ELSE 0 END) AS v
+      FROM topped LEFT JOIN sizes s USING ({KEYS}, cluster_id), least GROUP BY ALL) WHERE v = 0"""))
 def blank_intervals(spark, d):
-    return events.blank_intervals(events.interval_volume(cleaned(spark, d)))
+    """Cleaned so hard, with the median of the largest clusters for a limit, that some intervals lose all they had."""
+    keys = KEYS.split(", ")
+    frame, tops = cut(dense(spark, d)), tables.cutoffs(spark, d)
+    sizes = grid.apply_cutoff(frame, tops).where("cluster_id <> 0").groupBy(*keys, "cluster_id").count()
+    largest = sizes.groupBy(*keys).agg(F.max("count").alias("m")).agg(F.percentile("m", 0.5).alias("m")).first().m
+    return events.blank_intervals(events.interval_volume(grid.clean_cells(frame, tops, int(largest) + 1)))
 
 
 @query("cumulative_grid", sql("cells", f"""
