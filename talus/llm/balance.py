@@ -48,7 +48,7 @@ from pyspark.sql import functions as F
 from talus.llm.common import cut
 
 WORD = r"[^\x20\x09-\x0D]+"
-ROWS = 1 << 15  # documents of a bucket, on average
+ROWS = 1 << 12  # documents of a bucket, on average
 SALT_ROWS = 1 << 20  # documents of a source that meet one copy of its row
 COPIES = 1 << 16  # copies of a row laid out at once
 TRIES, TOLERANCE = 64, 0.005  # samples of a source drawn at most, and the share of its target that one may be off
