@@ -173,8 +173,7 @@ def predict(docs: DataFrame, model: Model, *, text: str = "text", out: str = "la
     return docs.withColumn(out, score.asNondeterministic()(F.col(text)))
 
 
-def drop_unknown(docs: DataFrame, model: Model, *, least: float = 0.5, **options) -> DataFrame:
-    """The documents whose language is recognised with a posterior of ``least`` or more."""
+def drop_unknown(docs: DataFrame, model: Model, **options) -> DataFrame:
+    """The documents for which a language is predicted, however short or mixed: all with a letter, if any is learned."""
     (found,) = hidden("language")
-    kept = predict(docs, model, out=found, **options)
-    return kept.where((F.col(f"{found}.lang_pred") != "und") & (F.col(f"{found}.score") >= least)).drop(found)
+    return predict(docs, model, out=found, **options).where(F.col(f"{found}.lang_pred") != "und").drop(found)

@@ -14,7 +14,7 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a letter, or in no language that the labelled two thirds teach, go."""
+    """Documents for which no language can be predicted go: null texts and those without a letter."""
     model = language.train(docs.where(remainder("doc_id", 3) != 1))
     return language.drop_unknown(docs, model)
 

@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -179,6 +180,8 @@ def test_language_odd(spark, odd, none):
     assert {r.lang_pred for r in got if r.doc_id in (3, 4, 7)} == {"en"}
     kept = language.drop_unknown(odd, model)
     assert kept.columns == odd.columns and kept.count() == odd.count() - 5
+    torn = language.Model(["a", "b", "c"], model.matrix[:, [0, 0, 0]], np.zeros(3))  # no language can win by half
+    assert language.drop_unknown(odd, torn).count() == odd.count() - 5
     empty = language.train(none)
     assert {r.language.lang_pred for r in language.predict(odd, empty).collect()} == {"und"}
     with pytest.raises(ValueError):
