@@ -9,9 +9,10 @@ mapped to a hidden vector h. A gated attention weight
 is learned from labels of whole texts; the weighted sum of the hidden vectors
 is the representation that a logistic output scores.
 
-The model is fitted in one task on a bounded sample: the ``sample`` labelled
-texts whose ids hash lowest, with at most ``bag`` passages each, spread evenly
-over the text. Scoring encodes all passages of all texts.
+The model is fitted in one task on a bounded sample of whole texts: of the
+``sample`` labelled texts whose ids hash lowest, those that come first and have
+``passages`` passages at most between them. A text that has more on its own is
+no part of the sample. Scoring encodes all passages of all texts.
 
 A null text is empty: one passage without bigrams. Labels that are null teach
 nothing, of several labels of one id the largest counts. Without labels, every
@@ -24,7 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from talus.llm.common import cut
@@ -115,20 +116,20 @@ def _text(t) -> str:
 
 def train(
     docs: DataFrame, labels: DataFrame, learn: Column, *, doc_id: str = "doc_id", text: str = "text", label: str = "quality",
-    sample: int = 4000, bag: int = 64, passage: int = 400,
+    sample: int = 4000, passages: int = 1 << 16, passage: int = 400,
 ) -> dict[str, np.ndarray] | None:
     """``learn`` marks the label rows to learn from. None without labels."""
     known = labels.where(learn & F.col(label).isNotNull()).groupBy(F.col(doc_id).alias("id")).agg(F.max(label).alias("y"))
     low = F.xxhash64("id")
     chosen = F.broadcast(known.orderBy(low, "id").limit(sample))
-    own = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("t")).join(chosen, "id")
+    size = F.greatest(F.ceil(F.length("t") / passage), F.lit(1)).alias("n")  # greatest skips the null of a null text
+    own = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("t")).join(chosen, "id").select("*", size)
 
     def bags(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for i, t, y in zip(batch["id"], batch["t"], batch["y"]):
+            for i, t, y, n in zip(batch["id"], batch["t"], batch["y"], batch["n"]):
                 x = encode([_text(t)], passage)[0]
-                x = x[np.linspace(0, len(x) - 1, min(bag, len(x))).round().astype(int)]
-                yield pd.DataFrame({"id": [i], "y": [float(y)], "x": [np.minimum(x, 255).astype(np.uint8).tobytes()]})
+                yield pd.DataFrame({"id": [i], "y": [float(y)], "n": [n], "x": [np.minimum(x, 255).astype(np.uint8).tobytes()]})
 
     def fitted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rows = [(r.x, r.y) for batch in batches for r in batch.itertuples()]
@@ -137,8 +138,11 @@ def train(
             m = fit(shaped, np.array([y for _, y in rows], np.float32))
             yield pd.DataFrame({"name": list(_NAMES), "data": [m[k].astype("<f4").tobytes() for k in _NAMES]})
 
-    encoded = cut(own.select("id", "t", "y").mapInPandas(bags, "id bigint, y double, x binary"))
-    least = encoded.orderBy(F.xxhash64("id"), "id", "x").limit(sample)  # an id may have several texts
+    encoded = cut(own.where(F.col("n") <= passages).mapInPandas(bags, "id bigint, y double, n bigint, x binary"))
+    order = [F.xxhash64("id"), F.col("id"), F.xxhash64("x"), F.col("x")]  # an id may have several texts
+    first = encoded.orderBy(*order).limit(sample)
+    least = first.withColumn("n", F.sum("n").over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)))
+    least = least.where(F.col("n") <= passages).select("y", "x")
     got = {r.name: np.frombuffer(bytes(r.data), "<f4") for r in least.coalesce(1).mapInPandas(fitted, "name string, data binary").collect()}
     if not got:
         return None

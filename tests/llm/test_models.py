@@ -132,6 +132,25 @@ def test_quality_odd(spark):
     assert abs(long.score - quality.forward(model, quality.scaled(counts), owner, 1)[0][0]) < 1e-5
 
 
+def test_quality_whole_bags(spark):
+    """A single passage out of 150 decides, wherever it stands; a text above the bound is no part of the sample."""
+    rnd = random.Random(8)
+    plain = lambda: "".join(rnd.choice("abcd ") for _ in range(20))
+    data = []
+    for i in range(300):
+        parts = [plain() for _ in range(150)]
+        if i % 2:
+            parts[rnd.randrange(150)] = "xyzzyxyzzyxyzzyxyzzy"
+        data.append((i, "".join(parts)))
+    docs = spark.createDataFrame(data, "doc_id bigint, text string")
+    labels = docs.select("doc_id", (F.col("doc_id") % 2).alias("quality"))
+    model = quality.train(docs, labels, F.col("doc_id") < 200, passage=20)
+    got = quality.score(docs.where("doc_id >= 200"), model, passage=20).collect()
+    assert sum((r.score >= 0.5) == r.doc_id % 2 for r in got) > 95
+    assert quality.train(docs, labels, F.lit(True), passage=20, passages=149) is None
+    assert quality.train(docs, labels, F.lit(True), passage=20, passages=300) is not None
+
+
 def plain_base(docs):
     """(n_tokens, n_known, N, base score) of each text."""
     import re
