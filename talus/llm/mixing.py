@@ -17,9 +17,17 @@ Training goes once over all training texts. Each task predicts every batch of
 its own texts from the counts it has so far, moves weights (online Newton steps)
 and map, and then adds the batch to its counts; tables are summed over tasks, weights averaged by
 the decisions behind them. Tables travel in blocks of slots, summed in a sorted
-stream, and have a fixed size; word counts are summed by a hash aggregation and
-stay distributed. Only the ``words`` most frequent come to the driver;
-the others get their counts by a join.
+stream, and have a fixed size. Word counts are summed by a hash aggregation and
+stay distributed; only the ``words`` most frequent come to the driver.
+
+Any other word of the corpus is remembered by its count, so the model grows with
+the corpus. After an escape, the word is either new, and spelled, or one of the
+``rest`` words seen before, in proportion to their counts n:
+
+    p = new * p(spelling) + (1 - new) * n / rest
+
+where new is the share of words seen once among ``rest`` (Good-Turing). Counts
+meet the words of the texts in a join.
 
 Scoring starts each text from the trained state and refines the mixture within
 the text, segment by segment, with a scale learned from the decisions before. The result is the sum
@@ -90,14 +98,16 @@ def _hashed(code, salt: int):
 class Vocabulary:
     """Counts of the most frequent words, and the codes of words and bytes."""
 
-    def __init__(self, counts: list[tuple[bytes, int]], total: int, distinct: int) -> None:
+    def __init__(self, counts: list[tuple[bytes, int]], total: int, distinct: int, once: int = 0) -> None:
+        """once: words seen once that are not among ``counts``."""
         self.total, self.distinct = total, distinct
         listed = sorted(((w, c) for w, c in counts if w != _END), key=lambda x: (-x[1], x[0]))
         self.number = {w: i for i, (w, _) in enumerate(listed)}
         self.end, self.escape = len(listed), len(listed) + 1
         self.ends = ends = dict(counts).get(_END, 0)
-        rest = total - ends - sum(c for _, c in listed)
-        self.word_code = _hashed(huffman([c for _, c in listed] + [ends + 1, max(rest, 0) + 1]), 0)
+        self.rest = rest = max(total - ends - sum(c for _, c in listed), 0)
+        self.new = (once + 1) / (rest + 1)
+        self.word_code = _hashed(huffman([c for _, c in listed] + [ends + 1, rest + 1]), 0)
         letters = np.ones(256)
         for w, c in listed[: 1 << 13]:
             np.add.at(letters, np.frombuffer(w + b" ", np.uint8), c)
@@ -153,8 +163,8 @@ class Run:
         return Run(self.code, self.symbols[at], [c[at] for c in self.contexts], self.owner[at], self.gates)
 
 
-def runs(texts: list[list[bytes]], vocabulary: Vocabulary) -> tuple[list[Run], np.ndarray, np.ndarray, list[bytes], np.ndarray]:
-    """The words and the bytes of spelled words; then symbols, owners, spelled words and their owners."""
+def runs(texts: list[list[bytes]], vocabulary: Vocabulary) -> tuple[list[Run], np.ndarray, np.ndarray, list[bytes], np.ndarray, np.ndarray]:
+    """The words and the bytes of spelled words; then symbols, owners, spelled words, their owners, the word of each byte."""
     number, escape, end = vocabulary.number.get, vocabulary.escape, vocabulary.end
     symbols = np.array([s for own in texts for s in (*[number(w, escape) for w in own], end)])
     owner = np.repeat(np.arange(len(texts)), [len(own) + 1 for own in texts])
@@ -168,7 +178,7 @@ def runs(texts: list[list[bytes]], vocabulary: Vocabulary) -> tuple[list[Run], n
     contexts = [np.full(len(symbols), 0x1234567, np.uint32), _mix(last), _mix(last * np.uint32(3) + _mix(older))]
     words = Run(vocabulary.word_code, symbols, contexts, owner, range(20))
     if not rare:
-        return [words], symbols, owner, rare, owner[spelled]
+        return [words], symbols, owner, rare, owner[spelled], spelled
     data = np.frombuffer(b"".join([w + b" " for w in rare]), np.uint8)
     word = np.repeat(np.arange(len(rare)), [len(w) + 1 for w in rare])
     chars = data.astype(np.uint32) + np.uint32(1)
@@ -177,7 +187,7 @@ def runs(texts: list[list[bytes]], vocabulary: Vocabulary) -> tuple[list[Run], n
     triple = pair + (three << np.uint32(18))
     contexts = [_mix(pair + np.uint32(1 << 20)), _mix(triple + np.uint32(1 << 29)), _mix(_mix(triple + np.uint32(1 << 30)) + four)]
     spelling = Run(vocabulary.byte_code, data.astype(np.int64), contexts, owner[spelled][word], range(20, GATES))
-    return [words, spelling], symbols, owner, rare, owner[spelled]
+    return [words, spelling], symbols, owner, rare, owner[spelled], word
 
 
 def _squash(clipped: np.ndarray) -> np.ndarray:
@@ -189,7 +199,7 @@ class Mixer:
     """Counts of each slot, weights of each gate, and the map that refines."""
 
     def __init__(self) -> None:
-        self.counts = np.zeros((2, PREDICTORS, SLOTS), np.uint32)  # decisions, ones
+        self.counts = np.zeros((2, PREDICTORS, SLOTS), np.int64)  # decisions, ones
         self.weights = np.full((GATES, PREDICTORS), 0.4)
         self.map = np.zeros((2, GATES, _BINS))
         self.curve = np.tile(np.eye(PREDICTORS) * 20, (GATES, 1, 1))
@@ -197,7 +207,7 @@ class Mixer:
     def stretched(self) -> np.ndarray:
         """log odds that each slot predicts"""
         n, ones = self.counts
-        return np.log((ones + np.float32(0.4)) / (n - ones + np.float32(0.4)))
+        return np.log((ones + 0.4) / (n - ones + 0.4)).astype(np.float32)
 
     @staticmethod
     def _bin(clipped: np.ndarray) -> np.ndarray:
@@ -228,14 +238,15 @@ class Mixer:
         one = np.concatenate(ones) if ones else np.zeros(0, np.uint8)
         for p in range(PREDICTORS if ones else 0):
             own = np.concatenate([level[p] for level in slots])
-            seen = np.bincount(own * np.uint32(2) + one, minlength=2 * SLOTS).reshape(-1, 2).astype(np.uint32)
-            self.counts[0, p] += seen.sum(axis=1, dtype=np.uint32)
+            seen = np.bincount(own * np.uint32(2) + one, minlength=2 * SLOTS).reshape(-1, 2)
+            self.counts[0, p] += seen.sum(axis=1)
             self.counts[1, p] += seen[:, 1]
         return len(one)
 
-    def log10(self, run: Run, table: np.ndarray, texts: int) -> np.ndarray:
-        """Sum over the decisions of each text. table: stretched predictions of all slots."""
-        total = np.zeros(texts)
+    def log10(self, run: Run, table: np.ndarray, texts: int, unit: np.ndarray | None = None) -> np.ndarray:
+        """Sum over the decisions of each text, or of each unit of symbols. table: stretched predictions of all slots."""
+        unit = run.owner if unit is None else unit
+        total = np.zeros(texts if unit is run.owner else int(unit.max(initial=-1)) + 1)
         if not len(run.owner):
             return total
         # segments of a text by its symbols: the first 64, the next 128, ...
@@ -271,7 +282,7 @@ class Mixer:
                 if b < len(order):
                     slope[rows] += (y - plain) * x
                     bend[rows] += plain * (1 - plain) * x * x
-            total += np.bincount(own.owner, logs + np.log10(chance), texts)
+            total += np.bincount(unit[order[a:b]], logs + np.log10(chance), len(total))
             if b < len(order):  # a Newton step of the scale of each text
                 curve += np.bincount(own.owner, bend, texts)
                 scale += (np.bincount(own.owner, slope, texts) / curve).astype(np.float32)
@@ -282,7 +293,7 @@ class Mixer:
         for b in range(flat.shape[1] // _BLOCK):
             part = flat[:, b * _BLOCK : (b + 1) * _BLOCK]
             if part[0].any():
-                yield b, part.astype("<i8").tobytes()
+                yield b, part.tobytes()
         yield -1, np.concatenate([[decisions], (self.weights * decisions).ravel(), self.map.ravel()]).astype("<f8").tobytes()
 
     @staticmethod
@@ -292,8 +303,7 @@ class Mixer:
         for b, data in rows:
             if b >= 0:
                 part = np.frombuffer(data, "<i8").reshape(2, -1)
-                scale = max(1, int(part.max()) >> 31)  # very long corpora: the ratio is what counts
-                flat[:, b * _BLOCK : (b + 1) * _BLOCK] = part // scale
+                flat[:, b * _BLOCK : (b + 1) * _BLOCK] = part
             else:
                 part = np.frombuffer(data, "<f8")
                 size = GATES * PREDICTORS
@@ -357,7 +367,9 @@ def vocabulary(counts: DataFrame, words: int) -> Vocabulary:
     least = int(inside["least"].min()) if len(inside) else 1 << 62
     top = counts.where((F.col("n") >= least) | (F.col("token") == F.lit(_END))).toPandas()
     frequent = [(bytes(t), int(n)) for t, n in zip(top["token"], top["n"])]
-    return Vocabulary(frequent, int(levels["n"].sum()), int(levels["tokens"].sum()))
+    once = int(levels["tokens"][levels["n"] == levels["tokens"]].sum()) if least > 1 else 0
+    once -= dict(frequent).get(_END, 0) == 1 < least
+    return Vocabulary(frequent, int(levels["n"].sum()), int(levels["tokens"].sum()), once)
 
 
 def train(texts: DataFrame, words) -> Mixer:
@@ -386,7 +398,7 @@ def score(
     counts = count_tokens(learned)
     vocab = context.broadcast(vocabulary(counts, words))
     mixer = context.broadcast(train(learned, vocab))
-    total, distinct = vocab.value.total, vocab.value.distinct
+    total, distinct, new, others = vocab.value.total, vocab.value.distinct, vocab.value.new, vocab.value.rest
 
     def rate(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         v, m = vocab.value, mixer.value
@@ -395,10 +407,11 @@ def score(
         for batch in batches:
             at = 0
             for split in _batches((tokens(t) for t in batch["t"]), _SCORED):
-                coded, symbols, owner, rare, owners = runs(split, v)
-                rest: list[Counter[bytes]] = [Counter() for _ in split]
-                for w, d in zip(rare, owners):
-                    rest[d][w] += 1
+                coded, symbols, owner, rare, owners, word = runs(split, v)
+                rest: list[dict[bytes, list[float]]] = [{} for _ in split]
+                if rare:
+                    for w, d, s in zip(rare, owners, m.log10(coded[1], table, len(split), word).tolist()):
+                        rest[d].setdefault(w, []).append(s)
                 size = np.array([len(t) + 1 for t in split])
                 part = batch.iloc[at : at + len(split)]
                 yield pd.DataFrame(
@@ -408,8 +421,8 @@ def score(
                         "n_tokens": size,
                         "sure": size - np.bincount(owners, minlength=len(split)) - (v.ends == 0),
                         "low": np.bincount(owner, v.base_of[symbols] * (symbols != v.escape), len(split)),
-                        "rest": [[{"token": w, "k": k} for w, k in r.items()] for r in rest],
-                        "score": sum(m.log10(run, table, len(split)).astype(float) for run in coded),
+                        "rest": [[{"token": w, "s": s} for w, s in r.items()] for r in rest],
+                        "score": m.log10(coded[0], table, len(split)),
                         "n_bytes": [len(t.encode("utf-8", "surrogatepass")) if isinstance(t, str) else 0 for t in part["t"]],
                         "row": row + np.arange(len(split)),
                     }
@@ -418,12 +431,21 @@ def score(
                 row += len(split)
 
     kind = docs.schema[doc_id].dataType.simpleString()
-    schema = f"d {kind}, h boolean, n_tokens bigint, sure bigint, low double, rest array<struct<token:binary,k:bigint>>, score double, n_bytes bigint, row bigint"
+    schema = f"d {kind}, h boolean, n_tokens bigint, sure bigint, low double, rest array<struct<token:binary,s:array<double>>>, score double, n_bytes bigint, row bigint"
     rated = cut(own.mapInPandas(rate, schema))
     rare = rated.select("row", F.explode("rest").alias("r")).select("row", "r.*")
     chance = F.log10((F.coalesce("n", F.lit(0)) + 0.5) / F.lit(total + 0.5 * (distinct + 1)))
+    seen = F.log10((1 - F.lit(new)) * F.col("n") / F.lit(max(others, 1)))  # null for a word without a count, or if all are new
+
+    def known_or_new(spelled):
+        """log10 of the sum of both ways, whatever their size."""
+        s = spelled + F.log10(F.lit(new))
+        return F.when(seen.isNull(), s).otherwise(F.greatest(s, seen) + F.log10(1 + F.pow(F.lit(10.0), -F.abs(s - seen))))
+
     more = rare.join(counts, "token", "left").groupBy("row").agg(
-        F.sum(F.col("k") * chance).alias("more"), F.sum(F.when(F.col("n") > 0, F.col("k"))).alias("found")
+        F.sum(F.size("s") * chance).alias("more"),
+        F.sum(F.when(F.col("n") > 0, F.size("s"))).alias("found"),
+        F.sum(F.aggregate("s", F.lit(0.0), lambda a, s: a + known_or_new(s))).alias("spelled"),
     )
     return rated.drop("rest").join(more, "row", "left").select(
         F.col("d").alias(doc_id),
@@ -432,6 +454,6 @@ def score(
         (F.col("sure") + F.coalesce("found", F.lit(0))).alias("n_known"),
         F.lit(total).cast("bigint").alias("train_tokens"),
         (F.col("low") + F.coalesce("more", F.lit(0.0))).alias("base_score"),
-        "score",
+        (F.col("score") + F.coalesce("spelled", F.lit(0.0))).alias("score"),
         "n_bytes",
     )

@@ -214,6 +214,32 @@ def test_mixing_learns(spark):
     assert got[0] > 0.6 * got[1]
 
 
+def test_mixing_remembers(spark):
+    """Words beyond the driver's table are known by their counts: p = new * p(spelling) + (1 - new) * n / rest."""
+    rnd = random.Random(9)
+    word = lambda: "".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(12))
+    pool = [word() for _ in range(400)]
+    train = [(i, " ".join(rnd.choice(pool) for _ in range(20))) for i in range(400)]
+    docs = train + [(1000, " ".join(pool[:50])), (1001, " ".join(word() for _ in range(50)))]
+    df = spark.createDataFrame(docs, "doc_id bigint, text string")
+    few, all_ = ({r.doc_id: r for r in mixing.score(df, F.col("doc_id") >= 1000, words=w).collect()} for w in (1, 1000))
+    assert few[1000].score > few[1001].score + 50 * 5  # a word costs 17 digits to spell, 3 to remember
+    assert few[1000].score > 1.5 * all_[1000].score
+    counts = Counter(w for _, t in train for w in t.split())
+    vocabulary = mixing.vocabulary(mixing.count_tokens(df.where("doc_id < 1000").select(F.col("text").alias("t"))), 1)
+    assert vocabulary.rest == sum(counts.values()) and vocabulary.new == (sum(n == 1 for n in counts.values()) + 1) / (vocabulary.rest + 1)
+    ways = vocabulary.new + sum((1 - vocabulary.new) * n / vocabulary.rest for n in counts.values())
+    assert abs(ways - 1) < 1e-12
+
+
+def test_mixing_huge_counts():
+    """Counts of more than 32 bits keep small neighbours in the block."""
+    part = np.zeros((2, mixing._BLOCK), np.int64)
+    part[:, 0], part[0, 1] = 1 << 40, 3
+    got = mixing.Mixer.of([(0, part.astype("<i8").tobytes())])
+    assert got.counts[0, 0, 0] == 1 << 40 and got.counts[0, 0, 1] == 3 and np.isfinite(got.stretched()).all()
+
+
 def test_mixing_empty(spark):
     none = spark.createDataFrame([], "doc_id bigint, text string")
     assert mixing.score(none, F.lit(False)).count() == 0
