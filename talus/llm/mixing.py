@@ -60,6 +60,7 @@ _BATCH = 200_000  # tokens to learn from at once
 _SCORED = 400_000  # tokens to score at once
 _STEP = 1 << 15  # decisions for each move of the weights
 _BINS = 24
+_LONGEST = 1023  # decisions of a code; a Huffman code is as long as its total weight is a Fibonacci number at most
 _END = b""
 
 
@@ -139,24 +140,31 @@ class Run:
     def __init__(self, code, symbols: np.ndarray, contexts: list[np.ndarray], owner: np.ndarray, gates: range) -> None:
         self.code, self.symbols, self.contexts, self.owner, self.gates = code, symbols, contexts, owner, gates
 
-    def levels(self) -> Iterator[tuple[int, np.ndarray, list[np.ndarray], np.ndarray]]:
-        """Gate, places of the symbols that go on, slots by predictor, bits."""
+    def lengths(self) -> np.ndarray:
+        return np.diff(self.code[0])[self.symbols]
+
+    def levels(self) -> Iterator[tuple[int, int, list[np.ndarray], np.ndarray]]:
+        """Gate, number of symbols that go on, slots by predictor, bits. Needs symbols in the order of ``falling``."""
         first, nodes, bits = self.code
         shift = np.uint32(32 - SLOTS.bit_length() + 1)
-        start, length = first[self.symbols], first[self.symbols + 1] - first[self.symbols]
-        alive, contexts, depth = np.arange(len(start)), self.contexts, 0
-        while True:
-            more = length > depth
-            if not more.all():  # few levels end codes; the others need no copies
-                alive, start, length = alive[more], start[more], length[more]
-                contexts = [c[more] for c in contexts]
-            if not len(alive):
+        start = first[self.symbols]
+        going = len(start) - np.cumsum(np.bincount(self.lengths(), minlength=1))
+        for depth, n in enumerate(going):
+            if not n:
                 return
-            place = start + depth
-            node = nodes[place]
-            slots = [((c ^ node) * np.uint32(0x9E3779B1)) >> shift for c in contexts]
-            yield self.gates[min(depth, len(self.gates) - 1)], alive, slots, bits[place]
-            depth += 1
+            place = start[:n] + depth
+            node = nodes.take(place, mode="clip")
+            slots = []
+            for c in self.contexts:
+                slot = c[:n] ^ node
+                slot *= np.uint32(0x9E3779B1)
+                slot >>= shift
+                slots.append(slot)
+            yield self.gates[min(depth, len(self.gates) - 1)], n, slots, bits.take(place, mode="clip")
+
+    def falling(self) -> Run:
+        """Longest codes first: those that go on are then always the first ones, and need no copies."""
+        return self.part(np.argsort((_LONGEST - self.lengths()).astype(np.uint16), kind="stable"))
 
     def part(self, at: np.ndarray) -> Run:
         """Some of the symbols."""
@@ -192,7 +200,10 @@ def runs(texts: list[list[bytes]], vocabulary: Vocabulary) -> tuple[list[Run], n
 
 def _squash(clipped: np.ndarray) -> np.ndarray:
     one = np.float32(1)
-    return one / (one + np.exp(-clipped))
+    out = np.negative(clipped)
+    np.exp(out, out=out)
+    out += one
+    return np.divide(one, out, out=out)
 
 
 class Mixer:
@@ -212,14 +223,14 @@ class Mixer:
     @staticmethod
     def _bin(clipped: np.ndarray) -> np.ndarray:
         """Bin of a mixed prediction; the upper end of the range is one more."""
-        return ((clipped + 12) * (_BINS / 24)).astype(np.int32)
+        return ((clipped + np.float32(12)) * np.float32(_BINS / 24)).astype(np.int32)
 
     def learn(self, run: Run) -> int:
         """Predicts, then moves the weights by an online Newton step every ``_STEP`` decisions, then counts."""
         table = self.stretched()
         slots: list[list[np.ndarray]] = []
         ones: list[np.ndarray] = []
-        for gate, _, level, bits in run.levels():
+        for gate, _, level, bits in run.falling().levels():
             x = np.empty((PREDICTORS, len(bits)), np.float32)
             for p in range(PREDICTORS):
                 x[p] = table[p].take(level[p], mode="clip")  # slots are within the table; the mode is the fast one
@@ -253,10 +264,11 @@ class Mixer:
         start = np.concatenate([[True], run.owner[1:] != run.owner[:-1]])
         first = np.maximum.accumulate(np.where(start, np.arange(len(start)), 0))
         segments = np.log2((np.arange(len(start)) - first) // 64 + 1).astype(np.int8)
-        order = np.argsort(segments, kind="stable")
+        key = segments.astype(np.uint16) << np.uint16(10) | (_LONGEST - run.lengths()).astype(np.uint16)
+        order = np.argsort(key, kind="stable")  # by segment; within, as in falling()
         edges = np.append(0, np.cumsum(np.bincount(segments)))
         scale, curve = np.ones(texts, np.float32), np.full(texts, 400.0)
-        weights, half, prior = self.weights.astype(np.float32), np.float32(0.5), np.float32(16)
+        weights, half, prior, one = self.weights.astype(np.float32), np.float32(0.5), np.float32(16), np.float32(1)
         # the refined prediction is half the plain one, half the map's: lift + keep * plain, by bin (the upper end is one more)
         n, ones = np.pad(self.map, ((0, 0), (0, 0), (0, 1)), "edge").astype(np.float32)
         keep, lift = half + half * prior / (n + prior), half * ones / (n + prior)
@@ -265,23 +277,31 @@ class Mixer:
             size = scale[own.owner]
             slope, bend = np.zeros((2, b - a), np.float32)
             logs, chance = np.zeros(b - a), np.ones(b - a)
-            for depth, (gate, alive, level, y) in enumerate(own.levels()):
-                x = weights[gate, 0] * table[0].take(level[0], mode="clip")
+            for depth, (gate, n, level, y) in enumerate(own.levels()):
+                x = table[0].take(level[0], mode="clip")
+                x *= weights[gate, 0]
                 for p in range(1, PREDICTORS):
-                    x += weights[gate, p] * table[p].take(level[p], mode="clip")
-                whole = len(alive) == b - a
-                mixed = np.clip(x * (size if whole else size[alive]), -12, 12)
+                    more = table[p].take(level[p], mode="clip")
+                    more *= weights[gate, p]
+                    x += more
+                mixed = x * size[:n]
+                np.clip(mixed, -12, 12, out=mixed)
                 plain = _squash(mixed)
                 at = self._bin(mixed)
-                p = lift[gate].take(at, mode="clip") + keep[gate].take(at, mode="clip") * plain
-                rows = slice(None) if whole else alive
-                chance[rows] *= np.abs((1 - y) - p)  # p of a one, 1 - p of a zero
+                p = keep[gate].take(at, mode="clip")
+                p *= plain
+                p += lift[gate].take(at, mode="clip")
+                p -= one - y
+                chance[:n] *= np.abs(p, out=p)  # p of a one, 1 - p of a zero
                 if depth % 32 == 31:  # before a product of so many can vanish
                     logs += np.log10(chance)
                     chance[:] = 1
                 if b < len(order):
-                    slope[rows] += (y - plain) * x
-                    bend[rows] += plain * (1 - plain) * x * x
+                    slope[:n] += (y - plain) * x
+                    plain *= one - plain
+                    x *= x
+                    x *= plain
+                    bend[:n] += x
             total += np.bincount(unit[order[a:b]], logs + np.log10(chance), len(total))
             if b < len(order):  # a Newton step of the scale of each text
                 curve += np.bincount(own.owner, bend, texts)
