@@ -43,6 +43,7 @@ import heapq
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain, repeat
 
 import numpy as np
 import pandas as pd
@@ -174,12 +175,13 @@ class Run:
 def runs(texts: list[list[bytes]], vocabulary: Vocabulary) -> tuple[list[Run], np.ndarray, np.ndarray, list[bytes], np.ndarray, np.ndarray]:
     """The words and the bytes of spelled words; then symbols, owners, spelled words, their owners, the word of each byte."""
     number, escape, end = vocabulary.number.get, vocabulary.escape, vocabulary.end
-    symbols = np.array([s for own in texts for s in (*[number(w, escape) for w in own], end)])
-    owner = np.repeat(np.arange(len(texts)), [len(own) + 1 for own in texts])
+    flat = list(chain.from_iterable(texts))
+    size = np.array([len(own) for own in texts])
+    owner = np.repeat(np.arange(len(texts)), size + 1)
+    symbols = np.full(len(owner), end)
+    symbols[np.arange(len(flat)) + np.repeat(np.arange(len(texts)), size)] = np.fromiter(map(number, flat, repeat(escape)), np.int64, len(flat))
     spelled = np.flatnonzero(symbols == escape)
-    before = np.arange(len(texts))[owner[spelled]]  # ends of earlier texts stand between the words
-    flat = [w for own in texts for w in own]
-    rare = [flat[i] for i in spelled - before]
+    rare = [flat[i] for i in spelled - owner[spelled]]  # ends of earlier texts stand between the words
     hashes = symbols.astype(np.uint32) * np.uint32(0xC2B2AE35) + np.uint32(1)
     hashes[spelled] = np.array([zlib.crc32(w) for w in rare], np.uint32)
     last, older = _before(hashes, owner, 1), _before(hashes, owner, 2)
@@ -218,7 +220,9 @@ class Mixer:
     def stretched(self) -> np.ndarray:
         """log odds that each slot predicts"""
         n, ones = self.counts
-        return np.log((ones + 0.4) / (n - ones + 0.4)).astype(np.float32)
+        out = ones.astype(np.float32) + np.float32(0.4)
+        out /= (n - ones).astype(np.float32) + np.float32(0.4)
+        return np.log(out, out=out)
 
     @staticmethod
     def _bin(clipped: np.ndarray) -> np.ndarray:
@@ -230,26 +234,29 @@ class Mixer:
         table = self.stretched()
         slots: list[list[np.ndarray]] = []
         ones: list[np.ndarray] = []
-        for gate, _, level, bits in run.falling().levels():
-            x = np.empty((PREDICTORS, len(bits)), np.float32)
-            for p in range(PREDICTORS):
-                x[p] = table[p].take(level[p], mode="clip")  # slots are within the table; the mode is the fast one
-            for a in range(0, len(bits), _STEP):
-                part, y = x[:, a : a + _STEP], bits[a : a + _STEP]
-                mixed = np.clip(self.weights[gate].astype(np.float32) @ part, -12, 12)
-                p = _squash(mixed)
-                bent = part * (p * (1 - p))
-                self.curve[gate] = 0.999 * self.curve[gate] + np.stack([bent @ row for row in part])
-                self.weights[gate] += np.linalg.solve(self.curve[gate] + np.eye(PREDICTORS), part @ (y - p))
-                at = np.minimum(self._bin(mixed), _BINS - 1)
-                self.map[0, gate] += np.bincount(at, minlength=_BINS)
-                self.map[1, gate] += np.bincount(at, y, _BINS)
+        room = np.empty((PREDICTORS, _STEP), np.float32)
+        for gate, n, level, bits in run.falling().levels():
+            for a in range(0, n, _STEP):
+                y = bits[a : a + _STEP]
+                part = room[:, : len(y)]
+                for p in range(PREDICTORS):
+                    table[p].take(level[p][a : a + _STEP], out=part[p], mode="clip")  # slots are within the table; the mode is the fast one
+                mixed = self.weights[gate].astype(np.float32) @ part
+                np.clip(mixed, -12, 12, out=mixed)
+                chance = _squash(mixed)
+                self.curve[gate] = 0.999 * self.curve[gate] + part * (chance * (1 - chance)) @ part.T
+                self.weights[gate] += np.linalg.solve(self.curve[gate] + np.eye(PREDICTORS), part @ (y - chance))
+                at = np.minimum(self._bin(mixed), _BINS - 1) * 2 + y
+                zeros, hits = np.bincount(at, minlength=2 * _BINS).reshape(-1, 2).T
+                self.map[:, gate] += zeros + hits, hits
             slots.append(level)
             ones.append(bits)
         one = np.concatenate(ones) if ones else np.zeros(0, np.uint8)
         for p in range(PREDICTORS if ones else 0):
-            own = np.concatenate([level[p] for level in slots])
-            seen = np.bincount(own * np.uint32(2) + one, minlength=2 * SLOTS).reshape(-1, 2)
+            own = np.concatenate([level[p] for level in slots], dtype=np.int64)  # the type that bincount works with
+            own <<= 1
+            own += one
+            seen = np.bincount(own, minlength=2 * SLOTS).reshape(-1, 2)
             self.counts[0, p] += seen.sum(axis=1)
             self.counts[1, p] += seen[:, 1]
         return len(one)
