@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import itertools
 import math
 from functools import reduce
 
@@ -11,7 +10,7 @@ from pyspark.sql import functions as F
 
 from talus.config import THIN_RADIUS
 from talus.operators.lineage import cut
-from talus.operators.neighbours import AXES
+from talus.operators.neighbours import AXES, SLACK, WIDTH, cell_hash, cell_keys, touched_cells
 
 
 def thin(points: DataFrame, radius: float = THIN_RADIUS, by: list[str] = (), seed: int = 0) -> DataFrame:
@@ -21,39 +20,31 @@ def thin(points: DataFrame, radius: float = THIN_RADIUS, by: list[str] = (), see
     keeps at most one point.  Each round every cell puts forward its open point
     of least hashed priority; one that beats the candidates of all cells around
     is kept, and open points too close to a kept point leave.  Candidates meet
-    through a grid of side radius, which holds at most 27 of them per cell
-    whatever the number of points.
+    through a grid a few radii wide, which holds a bounded number of them per
+    cell whatever the number of points.
     """
     by = list(by)
     side = radius / math.sqrt(3) * (1 - 1e-9)
-    cell, coarse = [f"c{a}" for a in AXES], [f"k{a}" for a in AXES]
-    offsets = F.array(
-        *[
-            F.struct(*[F.lit(d).alias(f"d{a}") for a, d in zip(AXES, o)])
-            for o in itertools.product((-1, 0, 1), repeat=3)
-        ]
-    )
+    cell, coarse = [f"c{a}" for a in AXES], ["k"]
+    wide, at = WIDTH * radius, [F.col(a) for a in AXES]
 
     def around(df: DataFrame) -> DataFrame:
-        """The rows repeated for the coarse cells within reach, positions renamed."""
-        near = df.select(
+        """The rows repeated for the coarse cells within reach, positions renamed; too many to be broadcast."""
+        reach = F.array_distinct(touched_cells(at, [F.lit(radius * SLACK)] * 3, wide))
+        return df.select(
             *by,
             F.col("point_id").alias("o_id"),
             F.col("pri").alias("o_pri"),
             *[F.col(a).alias(f"o_{a}") for a in AXES],
-            *coarse,
-            F.explode(offsets).alias("_o"),
-        )
-        return near.withColumns({f"k{a}": F.col(f"k{a}") + F.col(f"_o.d{a}") for a in AXES}).drop("_o")
-
-    def keyed(df: DataFrame, names: list[str], size: float) -> DataFrame:
-        return df.withColumns({n: F.floor(F.col(a) / F.lit(size)) for n, a in zip(names, AXES)})
+            F.explode(reach).alias("k"),
+        ).hint("merge")
 
     close = reduce(lambda u, v: u + v, [(F.col(a) - F.col(f"o_{a}")) ** 2 for a in AXES]) < F.lit(radius**2)
     # of exact copies only one can stay
     first = F.min(F.struct(F.xxhash64(F.col("point_id"), F.lit(seed)).alias("pri"), "point_id")).alias("_m")
     unique = points.groupBy(*by, *AXES).agg(first).select(*by, *AXES, "_m.*")
-    open_points = cut(keyed(keyed(unique, cell, side), coarse, radius))
+    placed = unique.withColumns(dict(zip(cell, cell_keys(at, side))) | {"k": cell_hash(cell_keys(at, wide))})
+    open_points = cut(placed)
     row = F.struct("pri", "point_id", *AXES, *coarse)
     kept = []
     while not open_points.isEmpty():
