@@ -105,7 +105,8 @@ def _cell_links(nodes, core_locs, eps, side, by, pair_limit) -> DataFrame:
     left = side_of("a", "src").withColumn("_o", F.explode(offsets))
     same = reduce(lambda u, v: u & v, [F.col(f"_o.d{a}") == 0 for a in AXES])
     left = left.withColumn("_same", same).withColumns({f"k{a}": F.col(f"k{a}") + F.col(f"_o.d{a}") for a in AXES})
-    pairs = left.drop("_o").join(side_of("b", "dst"), by + [f"k{a}" for a in AXES])
+    # Spark's estimate leaves out the copies, so without the hint it would broadcast them
+    pairs = left.drop("_o").hint("merge").join(side_of("b", "dst"), by + [f"k{a}" for a in AXES])
     pairs = pairs.where(~F.col("_same") | (F.col("src") < F.col("dst"))).drop("_same", *[f"k{a}" for a in AXES])
     links = []
     while True:
