@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from talus.config import MIN_CHANGE, NO_CUTOFF, bin_count
 from talus.functions.numeric import z_bin, z_low
-from talus.operators.lineage import cut
+from talus.operators.lineage import cut, spread
 from talus.operators.ranks import quantiles
 from talus.schema import CELL, INTERVAL
 
@@ -123,6 +123,8 @@ def densify(cells: DataFrame, polys: DataFrame, res: float, height: float, by: l
 
     Polygons meet the intervals of their site. A site is dealt over ``SALTS``
     keys, with its few intervals repeated for each, so no task gets a whole site.
+    The cells of a polygon come as one list, so what is joined has a row for
+    each interval and polygon, and bins are laid out afterwards.
     """
     by = list(by)
     salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt")
@@ -131,10 +133,19 @@ def densify(cells: DataFrame, polys: DataFrame, res: float, height: float, by: l
         polys.select("location", "polygon_id", F.pmod(F.hash("polygon_id"), F.lit(SALTS)).alias("_salt"))
         .join(intervals, ["location", "_salt"])
         .drop("_salt")
-        .withColumn("z_idx", F.explode(F.sequence(F.lit(0), F.lit(bin_count(height, res) - 1))))
-        .withColumn("z_low", z_low(F.col("z_idx"), res))
     )
-    return frame.join(cells.drop("z_low"), by + ["polygon_id", "z_idx"], "left")
+    place = by + ["polygon_id"]
+    values = [c for c in cells.columns if c not in (*place, "z_idx", "z_low")]
+    listed = cells.groupBy(*place).agg(
+        F.collect_list(F.struct(F.col("z_idx").alias("_z"), *values)).alias("_cells")
+    )
+    bins = spread(frame, *place).join(listed, place, "left").select(
+        *place, "_cells", F.explode(F.sequence(F.lit(0), F.lit(bin_count(height, res) - 1))).alias("z_idx")
+    )
+    # a bin without cells keeps its row
+    here = F.inline_outer(F.filter("_cells", lambda c: c["_z"] == F.col("z_idx")))
+    out = bins.select(*place, "z_idx", z_low(F.col("z_idx"), res).alias("z_low"), here)
+    return out.drop("_z")
 
 
 def to_wide(cells: DataFrame, value: str, res: float, height: float, prefix: str, ids: list[str]) -> DataFrame:
