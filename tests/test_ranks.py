@@ -64,3 +64,13 @@ def test_ecdf(skewed):
     got = ranks.ecdf(df, [], "v").toPandas()
     for r in got.sample(20, random_state=0).itertuples():
         assert r.ecdf == pytest.approx((pdf.v <= r.v).mean())
+
+
+def test_few_points_of_a_group_are_kept_before_they_move(skewed):
+    pdf, df = skewed
+    got = ranks.limit_points(df, 5, ["g"], "id")
+    assert "WindowGroupLimit" in got._jdf.queryExecution().executedPlan().toString()
+    want = pdf.sort_values("id").groupby("g").head(5)
+    assert sorted(got.toPandas().id) == sorted(want.id)
+    many = ranks.limit_points(df, ranks.FEW + 1, ["g"], "id").toPandas()
+    assert sorted(many.id) == sorted(pdf.sort_values("id").groupby("g").head(ranks.FEW + 1).id)
