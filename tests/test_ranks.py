@@ -74,3 +74,10 @@ def test_few_points_of_a_group_are_kept_before_they_move(skewed):
     assert sorted(got.toPandas().id) == sorted(want.id)
     many = ranks.limit_points(df, ranks.FEW + 1, ["g"], "id").toPandas()
     assert sorted(many.id) == sorted(pdf.sort_values("id").groupby("g").head(ranks.FEW + 1).id)
+
+
+def test_what_is_ranked_is_computed_once(skewed):
+    pdf, df = skewed
+    keyed = df.withColumn("key", F.md5(F.col("id").cast("string")))
+    got = ranks.row_ranks(keyed.select("g", "key", "v", "id"), ["g"], "v", tie="id")
+    assert "md5" not in got._jdf.queryExecution().executedPlan().toString()
