@@ -15,7 +15,6 @@ price of holding each file in memory.
 
 from __future__ import annotations
 
-import io
 import re
 import sys
 import uuid
@@ -129,6 +128,14 @@ def _array(values: np.ndarray, kind: pa.DataType) -> pa.Array:
     return pa.array(values, from_pandas=True).cast(kind)
 
 
+def _plain(batch: pa.RecordBatch, name: str) -> np.ndarray:
+    column = batch.column(name)
+    if column.null_count and not pa.types.is_floating(column.type):
+        raise ValueError(f"column {name} has nulls, for which LAS has no value")
+    values = column.to_numpy(zero_copy_only=False)
+    return values.astype(np.uint8) if values.dtype == bool else values
+
+
 @dataclass
 class Written(WriterCommitMessage):
     paths: list[str]
@@ -157,17 +164,20 @@ class LasWriter(DataSourceArrowWriter):
         return Written(done)
 
     def _file(self, batches: list[pa.RecordBatch]) -> str:
-        table = pa.Table.from_batches(batches)
-        columns = {}
-        for name, column in zip(table.column_names, table.columns):
-            if column.null_count and not pa.types.is_floating(column.type):
-                raise ValueError(f"column {name} has nulls, for which LAS has no value")
-            values = column.to_numpy()
-            columns[name] = values.astype(np.uint8) if values.dtype == bool else values
+        """Batches are encoded and written one at a time, so only what has been read is held."""
+        axes = [{a: _plain(b, a) for a in "xyz"} for b in batches]
+        low = {a: min((float(x[a].min()) for x in axes if len(x[a])), default=0.0) for a in "xyz"}
+        high = {a: max((float(x[a].max()) for x in axes if len(x[a])), default=0.0) for a in "xyz"}
+        kinds = {name: _plain(batches[0].slice(0, 0), name).dtype for name in batches[0].schema.names}
+        layout = las_records.Layout(kinds, low, high, self.scale)
         store, inside = _store(f"{self.path}/part-{uuid.uuid4().hex}.las")
         store.create_dir(inside.rsplit("/", 1)[0], recursive=True)
         with store.open_output_stream(inside) as f:
-            f.write(las_records.encode(columns, self.scale))
+            f.write(layout.header(sum(b.num_rows for b in batches)))
+            for batch in batches:
+                for at in range(0, batch.num_rows, BATCH):
+                    part = batch.slice(at, BATCH)
+                    f.write(layout.records({name: _plain(part, name) for name in part.schema.names}))
         return inside
 
     def commit(self, messages: list[Written | None]) -> None:
@@ -221,7 +231,7 @@ def read_whole(spark: SparkSession, path: str, schema: str) -> DataFrame:
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for content in batch["content"]:
-                f = io.BytesIO(content.as_buffer())
+                f = pa.BufferReader(content.as_buffer())  # reads in place
                 head = las_records.read_header(f)
                 for at in range(0, head["count"], BATCH):
                     cols = las_records.read_range(f, head, at, min(BATCH, head["count"] - at), wanted, exact=True)

@@ -1,8 +1,11 @@
 import datetime
 import json
+import os
 import struct
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import GreaterThan, LessThanOrEqual
@@ -66,6 +69,25 @@ def test_las_round_trip(spark, tmp_path):
     assert stats.size_mb["a.las"] == pytest.approx(1024 / 1024**2)
 
 
+def test_las_writer_holds_no_second_copy(tmp_path):
+    """What is written goes out piece by piece, and comes back whole."""
+    n = 400_000
+    made = {"point_id": np.arange(n), "x": np.arange(n) * 0.01, "y": -np.arange(n) / 7, "z": np.full(n, 3.5), "classification": np.arange(n) % 5}
+    whole = pa.table(made).to_batches(max_chunksize=100_000)
+    writer = las.LasWriter({"path": str(tmp_path / "out")})
+    tracemalloc.start()
+    done = writer.write(iter(whole))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(done.paths) == 1 and peak < os.path.getsize(done.paths[0]) * 0.8
+    with open(done.paths[0], "rb") as f:
+        head = las_records.read_header(f)
+        assert head["count"] == n and head["bounds"] == pytest.approx((n * 0.01 - 0.01, 0, 0, -(n - 1) / 7, 3.5, 3.5))
+        got = las_records.read_range(f, head, 0, n, list(made), exact=True)
+    for name, v in made.items():
+        assert np.abs(got[name] - v).max() <= 0.00051 * (name in "xyz")
+
+
 def test_unreadable_las_reports_an_error(spark, tmp_path):
     (tmp_path / "bad.las").write_bytes(b"x" * 400)
     files = spark.createDataFrame([(str(tmp_path / "bad.las"),)], "path string")
