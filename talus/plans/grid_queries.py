@@ -41,8 +41,14 @@ def dense(spark, d):
     return grid.densify(cut(cells(spark, d)), tables.polygons(spark, d), 1.0, 30.0)
 
 
+def laid_out(spark, d, clean):
+    """Cleaned cells in their dense frame. Cleaning makes empty cells zero, so they need not be there before it."""
+    frame = grid.densify(clean, tables.polygons(spark, d), 1.0, 30.0)
+    return frame.withColumns({"dist": F.coalesce("dist", F.lit(0.0)), "cluster_id": F.coalesce("cluster_id", F.lit(0))})
+
+
 def cleaned(spark, d):
-    return grid.clean_cells(cut(dense(spark, d)), tables.cutoffs(spark, d), 2)
+    return laid_out(spark, d, grid.clean_cells(cut(cells(spark, d)), tables.cutoffs(spark, d), 2))
 
 
 def all_events(spark, d):
@@ -164,10 +170,11 @@ def cluster_filter(spark, d):
            CASE WHEN k.cluster_id IS NOT NULL THEN d.cluster_id ELSE 0 END AS cluster_id
     FROM dep d LEFT JOIN backed k USING (location, d1, d2, cluster_id)"""))
 def footprint(spark, d):
-    frame, tops = cut(dense(spark, d)), tables.cutoffs(spark, d)
-    clean = grid.clean_cells(frame, tops, 2).where("mode = 'deposition'")
-    eroded = grid.apply_cutoff(frame, tops).where("mode = 'erosion'")
-    return grid.footprint_check(clean, eroded, 2).select(*KEYS.split(", "), "polygon_id", "z_idx", "dist", "cluster_id")
+    raw, tops = cut(cells(spark, d)), tables.cutoffs(spark, d)
+    clean = grid.clean_cells(raw, tops, 2).where("mode = 'deposition'")
+    eroded = grid.apply_cutoff(raw, tops).where("mode = 'erosion'")
+    checked = laid_out(spark, d, grid.footprint_check(clean, eroded, 2))
+    return checked.select(*KEYS.split(", "), "polygon_id", "z_idx", "dist", "cluster_id")
 
 
 @query("cluster_volumes", sql("cells", f"""
@@ -289,10 +296,11 @@ def event_series(spark, d):
 def blank_intervals(spark, d):
     """Cleaned so hard, with the median of the largest clusters for a limit, that some intervals lose all they had."""
     keys = KEYS.split(", ")
-    frame, tops = cut(dense(spark, d)), tables.cutoffs(spark, d)
-    sizes = grid.apply_cutoff(frame, tops).where("cluster_id <> 0").groupBy(*keys, "cluster_id").count()
+    # empty cells of a frame hold no volume and no cluster
+    raw, tops = cut(cells(spark, d)), tables.cutoffs(spark, d)
+    sizes = grid.apply_cutoff(raw, tops).where("cluster_id <> 0").groupBy(*keys, "cluster_id").count()
     largest = sizes.groupBy(*keys).agg(F.max("count").alias("m")).agg(F.percentile("m", 0.5).alias("m")).first().m
-    return events.blank_intervals(events.interval_volume(grid.clean_cells(frame, tops, int(largest) + 1)))
+    return events.blank_intervals(events.interval_volume(grid.clean_cells(raw, tops, int(largest) + 1)))
 
 
 @query("cumulative_grid", sql("cells", f"""
@@ -564,7 +572,8 @@ def fill_stats(spark, d):
     FROM cells c JOIN cleaned k USING ({KEYS}, polygon_id, z_idx) WHERE k.cluster_id <> 0"""))
 def align_cells(spark, d):
     raw = cut(cells(spark, d))
-    clean = grid.clean_cells(grid.densify(raw, tables.polygons(spark, d), 1.0, 30.0), tables.cutoffs(spark, d), 2)
+    # clusters lie on cells with data, so the empty ones need not be laid out
+    clean = grid.clean_cells(raw, tables.cutoffs(spark, d), 2)
     return grid.align_cells(raw, clean.where("cluster_id <> 0"), raw)
 
 

@@ -25,3 +25,14 @@ def test_nearest_cluster_does_not_depend_on_blocks(spark, monkeypatch):
         assert "lambdafunction" not in plan(found)  # offers of a column are not walked for every hole
         got = {(r.polygon_id, r.z_idx): (r.sq_dist, r.near_polygon, r.near_z, r.cluster_id) for r in found.collect()}
         assert got == {g: brute_nearest(occupied, g) for g in places if g not in occupied}
+
+
+def test_queries_do_not_clean_empty_cells(spark, monkeypatch):
+    import __spark_entry__ as entry
+
+    seen = []
+    clean = grid.clean_cells
+    monkeypatch.setattr(grid, "clean_cells", lambda c, *a: seen.append(c.where(F.col("dist").isNull()).count()) or clean(c, *a))
+    for name in ("footprint", "align_cells", "blank_intervals"):
+        entry.queries()[name](spark, "/root/testdata/sf0.001")
+    assert seen == [0, 0, 0]
