@@ -124,7 +124,8 @@ def densify(cells: DataFrame, polys: DataFrame, res: float, height: float, by: l
     Polygons meet the intervals of their site. A site is dealt over ``SALTS``
     keys, with its few intervals repeated for each, so no task gets a whole site.
     The cells of a polygon come as one list, so what is joined has a row for
-    each interval and polygon, and bins are laid out afterwards.
+    each interval and polygon, and bins are laid out afterwards. The list is
+    made a map once, so a bin finds its cells without a walk through lambdas.
     """
     by = list(by)
     salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt")
@@ -139,11 +140,12 @@ def densify(cells: DataFrame, polys: DataFrame, res: float, height: float, by: l
     listed = cells.groupBy(*place).agg(
         F.collect_list(F.struct(F.col("z_idx").alias("_z"), *values)).alias("_cells")
     )
-    bins = spread(frame, *place).join(listed, place, "left").select(
-        *place, "_cells", F.explode(F.sequence(F.lit(0), F.lit(bin_count(height, res) - 1))).alias("z_idx")
-    )
+    known = F.array_distinct(F.transform(F.filter("_cells", lambda c: c["_z"].isNotNull()), lambda c: c["_z"]))
+    by_bin = F.map_from_arrays(known, F.transform(known, lambda k: F.filter("_cells", lambda c: c["_z"] == k)))
+    mapped = spread(frame, *place).join(listed, place, "left").select(*place, by_bin.alias("_at"))
+    bins = mapped.select(*place, "_at", F.explode(F.sequence(F.lit(0), F.lit(bin_count(height, res) - 1))).alias("z_idx"))
     # a bin without cells keeps its row
-    here = F.inline_outer(F.filter("_cells", lambda c: c["_z"] == F.col("z_idx")))
+    here = F.inline_outer(F.try_element_at("_at", F.col("z_idx")))
     out = bins.select(*place, "z_idx", z_low(F.col("z_idx"), res).alias("z_low"), here)
     return out.drop("_z")
 

@@ -27,6 +27,16 @@ def test_nearest_cluster_does_not_depend_on_blocks(spark, monkeypatch):
         assert got == {g: brute_nearest(occupied, g) for g in places if g not in occupied}
 
 
+def test_bins_of_a_dense_frame_are_looked_up_not_filtered(spark):
+    some = cells(spark, [(1, 0, 0.5, 7), (1, 2, 0.25, 8), (1, 2, 0.75, 9), (2, 40, 1.0, 3)])
+    polys = spark.createDataFrame([("S", p) for p in (1, 2)], "location string, polygon_id long")
+    dense = grid.densify(some, polys, 1.0, 4.0)
+    top = plan(dense).split("Generate explode")[0]
+    assert "lambdafunction" not in top
+    got = sorted((r.polygon_id, r.z_idx, r.cluster_id or 0) for r in dense.collect())
+    assert got == [(1, 0, 7), (1, 1, 0), (1, 2, 8), (1, 2, 9), (1, 3, 0), (2, 0, 0), (2, 1, 0), (2, 2, 0), (2, 3, 0)]
+
+
 def test_queries_do_not_clean_empty_cells(spark, monkeypatch):
     import __spark_entry__ as entry
 
