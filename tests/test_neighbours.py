@@ -83,3 +83,33 @@ def test_copies_are_not_broadcast(spark, joins):
     ):
         joins.append(out._jdf.queryExecution().toString())
     assert not [plan for plan in joins if copied_side_broadcast(plan)]
+
+
+@pytest.mark.parametrize("shape", [Sphere(0.5), Cylinder(0.3, 0.8)])
+def test_dense_cells_are_searched_in_place(spark, joins, shape):
+    """Queries of dense cells are not multiplied by boxes; copies, groups and rows without a group count as in a join."""
+    p = cloud(spark, 6000, spread=1.0).withColumns({"w": F.lit(2), "g": F.when(F.col("point_id") % 50 > 0, F.lit("a"))})
+    p = p.unionByName(p.where("point_id < 100")).unionByName(p.where("point_id < 40").withColumn("g", F.lit("b")))
+    normals = list(axes())
+    turned = spark.createDataFrame([(i, *normals[i % len(normals)]) for i in range(60)], "point_id long, nx double, ny double, nz double")
+    q = p.where("point_id < 60").distinct().join(turned, "point_id").withColumnRenamed("point_id", "query_id").withColumn("x", F.col("x").cast("double"))
+    got = neighbours.range_moments(q, p, shape, ["g"], weight="w", least="point_id").toPandas().set_index(["g", "query_id"])
+    assert not [plan for plan in joins if "_whole" in plan]
+    pts, asked = p.toPandas(), q.where("g IS NOT NULL").toPandas()
+    assert len(got) == len(asked) and set(asked.g) == {"a", "b"}
+    for row in asked.itertuples():
+        own = pts[pts.g == row.g]
+        d = own[list(AXES)].to_numpy() - [row.x, row.y, row.z]
+        t = d @ [row.nx, row.ny, row.nz]
+        hit = (d**2).sum(1) <= 0.25 if isinstance(shape, Sphere) else (abs(t) <= 0.8) & ((d**2).sum(1) - t * t <= 0.09)
+        m, found = d[hit], got.loc[(row.g, row.query_id)]
+        second = [(m[:, a] * m[:, b]).sum() for a in range(3) for b in range(a, 3)]
+        assert found[neighbours.MOMENTS].tolist() == pytest.approx([2 * v for v in [len(m), *m.sum(0), *second]], abs=1e-8)
+        assert found["least"] == own.point_id[hit].min()
+
+
+def test_members_in_one_place_have_no_spread(spark):
+    rows = spark.range(400).selectExpr("id AS point_id", "0.1D + 0.2D AS x", "IF(id < 300, 0.7D, 9.1D) AS y", "id div 300 * 1.1D + 0.3D AS z")
+    got = neighbours.range_moments(rows.withColumnRenamed("point_id", "query_id"), rows, Sphere(0.5)).collect()
+    assert len(got) == 400 and {r.n for r in got} == {300, 100}
+    assert all(r[m] == 0 for r in got for m in neighbours.MOMENTS[1:])
