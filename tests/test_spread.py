@@ -69,3 +69,29 @@ def test_forests_grow_on_many_tasks(spark, monkeypatch):
     with pytest.raises(StopIteration):
         model.cross_validate(rows)
     assert min(seen) > 8
+
+
+def test_bags_are_drawn_once_and_read_by_many_tasks(spark, monkeypatch):
+    seen = []
+
+    class Watched:
+        def getStages(self):
+            return [self]
+
+        def setBootstrap(self, _):
+            return self
+
+        def setSubsamplingRate(self, _):
+            return self
+
+        def fit(self, train):
+            seen.append((train._jdf.queryExecution().toString(), tasks(train), train.schema["label"].metadata, train.agg(F.sum("weight")).first()[0]))
+
+    monkeypatch.setattr(model, "forest", lambda *a, **k: Watched())
+    rows = spark.range(4000, numPartitions=1).selectExpr(
+        "id AS point_id", "id % 7D AS x", "id % 11D AS y", "id % 13D AS z", "id % 17D AS intensity_norm", "cast(id % 2 AS int) AS label", "1D AS weight"
+    )
+    model.bagged_forest(rows, trees=3, bags=2, seed=4)
+    assert len(seen) == 2 and not any("md5" in plan or "Exchange" in plan for plan, *_ in seen)
+    assert all(count >= 8 and classes == model.TWO_CLASSES for _, count, classes, _ in seen)
+    assert [total for *_, total in seen] == [rows.agg(F.sum(model.times_drawn(bag, seed=4))).first()[0] for bag in range(2)]
